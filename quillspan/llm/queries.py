@@ -70,3 +70,41 @@ def p6_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     from .copies import collapsed
 
     return collapsed(table(spark, sf, "sentences"), "sentence_id", "original_text")
+
+
+def _both(f: Callable[..., DataFrame], spark: SparkSession, sf: str, parts: list[tuple[str, str, str]]) -> DataFrame:
+    """One operator over several tables, with the table's name in front."""
+    out = [f(table(spark, sf, t), i, c).select(F.lit(t).alias("tbl"), "*") for t, i, c in parts]
+    return out[0].unionByName(out[1])
+
+
+GARBLED = [("sentences", "sentence_id", "original_text"), ("raw_lines", "line_id", "source_path")]
+ALIKE = [("sentences", "sentence_id", "original_text"), ("search_requests", "request_id", "query")]
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .encoding import garbled
+
+    return _both(garbled, spark, sf, GARBLED).select("tbl", "rec_id")
+
+
+@query
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    from .encoding import garbled
+
+    return _both(garbled, spark, sf, GARBLED)
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .lookalikes import look_alike
+
+    return _both(look_alike, spark, sf, ALIKE).select("tbl", "rec_id").distinct()
+
+
+@query
+def p3_one_form(spark: SparkSession, sf: str) -> DataFrame:
+    from .lookalikes import one_form
+
+    return _both(one_form, spark, sf, ALIKE).select("tbl", "rec_id", "text")
