@@ -37,6 +37,14 @@ def _keyed(df: DataFrame, record_id: str, text: str) -> DataFrame:
     return rows.select("_id", digest(F.col("_l")).alias("_k"), F.when(F.col("_f").isNotNull(), digest(F.concat(F.lit("f:"), F.col("_f")))).alias("_kf"))
 
 
+def class_keys(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """``(_id, _k)``: the key of the class of copies that each record belongs to."""
+    keyed = _keyed(df, record_id, text)
+    # one small row per distinct key of field lines: which field class the letters belong to
+    links = keyed.where(F.col("_kf").isNotNull()).groupBy("_k").agg(F.min("_kf").alias("_g")).withColumnRenamed("_k", "_lk")
+    return keyed.join(links, F.col("_k") == F.col("_lk"), "left").select("_id", F.coalesce("_g", "_k").alias("_k"))
+
+
 def copy_groups(df: DataFrame, record_id: str, text: str, hot: int | None = None, salts: int = 64) -> DataFrame:
     """``(record_id, keep_id, copies)`` of every record with a letter or digit: the smallest id of its group, and the
     group's size.
@@ -53,11 +61,7 @@ def copy_groups(df: DataFrame, record_id: str, text: str, hot: int | None = None
     ids count as copies of themselves. An empty table gives an empty result; clashing extra columns are never read.
     """
     spark = df.sparkSession
-    keyed = _keyed(df, record_id, text)
-    # one small row per distinct key of field lines: which field class the letters belong to
-    links = keyed.where(F.col("_kf").isNotNull()).groupBy("_k").agg(F.min("_kf").alias("_g")).withColumnRenamed("_k", "_lk")
-    linked = keyed.join(links, F.col("_k") == F.col("_lk"), "left").select("_id", F.coalesce("_g", "_k").alias("_k"))
-    rows = stored(linked)
+    rows = stored(class_keys(df, record_id, text))
     counts = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -108,3 +108,18 @@ def p3_one_form(spark: SparkSession, sf: str) -> DataFrame:
     from .lookalikes import one_form
 
     return _both(one_form, spark, sf, ALIKE).select("tbl", "rec_id", "text")
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .nearlines import near_pairs
+
+    return near_pairs(table(spark, sf, "sentences"), "sentence_id", "original_text")
+
+
+@query
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of representatives of classes with equal word sets, for five words or more and a similarity of 0.8."""
+    from .nearlines import similar_classes
+
+    return similar_classes(table(spark, sf, "sentences"), "sentence_id", "original_text", 0.8, 5)[1]
