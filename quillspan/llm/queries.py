@@ -120,6 +120,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of representatives of classes with equal word sets, for five words or more and a similarity of 0.8."""
-    from .nearlines import similar_classes
+    from .nearlines import near_classes
 
-    return similar_classes(table(spark, sf, "sentences"), "sentence_id", "original_text", 0.8, 5)[1]
+    return near_classes(table(spark, sf, "sentences"), "sentence_id", "original_text")
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .pairs import defective
+
+    return defective(*(table(spark, sf, t) for t in ("search_requests", "search_responses", "suggestions")))
