@@ -62,7 +62,7 @@ SMALL_WORDS = {
     "en": "the a an and of in to with that this was were is are had have has so because before after while until unless although both every for from its their our his her it at as or when where which not but could would by on behind beside",
     "fr": "le la les un une des du de et est a à avec sans pour dans sur qui que ne pas plus très dès après avant pendant depuis malgré chez sa son ses cette cet ce au aux été en notre côté tôt",
     "de": "der die das und den dem des ein eine einen einer ist wird wurde mit von zu über für nach vor während trotz ohne gemäß im am aus auf alle jede jeden keine nicht mehr ältere später laut siehe in zur zum",
-    "es": "el la los las un una y de del en con sin por para no su sus más todavía durante después según ningún sólo al junto a través desde otra otro que se",
+    "es": "el la los las un una y de del en con sin por para no su sus más todavía durante después según ningún sólo al junto a través desde otra otro que se dos",
     "pt": "o a os as um uma e de do da dos das em com sem por para não seu sua mais até depois além às ao à no na nos nas que se foi três junto perto",
 }
 _OWN: dict[str, dict[str, float]] = {}
@@ -214,7 +214,7 @@ def word_statistics(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """``(word, known, final)`` over all texts - how often a word stands before another one, and how often a text ends
     with it and a full stop - and ``(word, longer)``, the proper beginnings of those words."""
     t = texts.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("_t"))
-    parts = t.select(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)).alias("_w"), F.col("_t").rlike(r"[.!?][\"'”’»)\]]*\s*$").alias("_e"))
+    parts = t.select(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)).alias("_w"), F.col("_t").rlike(r"[^.…][.!?][\"'”’»)\]]*\s*$").alias("_e"))
     flat = parts.select(F.size("_w").alias("_n"), "_e", F.posexplode("_w").alias("_p", "word"))
     inside = F.col("_p") < F.col("_n") - 1
     stats = flat.groupBy("word").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("known"), F.sum(F.when(~inside & F.col("_e"), 1).otherwise(0)).alias("final"))
