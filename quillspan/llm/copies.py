@@ -27,22 +27,34 @@ def field_list(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)[=:].*[=:].*[=:].*[=:]") & fields, F.array_join(F.array_sort(own), ";"))
 
 
+def digest(c: Column) -> Column:
+    """128 bits of a string."""
+    return F.unhex(F.md5(F.encode(c, "UTF-8")))
+
+
+def keys_of(t: Column) -> list[Column]:
+    """``_k``, the key of the letters and digits of a text, and ``_kf``, that of its sorted fields, if it is a line of fields."""
+    fields = field_list(t)
+    return [digest(folded(t)).alias("_k"), F.when(fields.isNotNull(), digest(F.concat(F.lit("f:"), fields))).alias("_kf")]
+
+
 def _keyed(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """(_id, _k): a 128-bit key of the folded text; lines of fields get that of their sorted fields instead, and so do
-    lines with the same letters and digits as such a line."""
     t = F.col(f"`{text}`")
-    rows = df.where(t.isNotNull() & F.col(f"`{record_id}`").isNotNull()).select(F.col(f"`{record_id}`").alias("_id"), folded(t).alias("_l"), field_list(t).alias("_f"))
-    rows = rows.where(F.col("_l") != "")
-    digest = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
-    return rows.select("_id", digest(F.col("_l")).alias("_k"), F.when(F.col("_f").isNotNull(), digest(F.concat(F.lit("f:"), F.col("_f")))).alias("_kf"))
+    rows = df.where(t.isNotNull() & F.col(f"`{record_id}`").isNotNull() & t.rlike(r"[\p{L}\p{N}]"))
+    return rows.select(F.col(f"`{record_id}`").alias("_id"), *keys_of(t))
 
 
 def class_keys(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``(_id, _k)``: the key of the class of copies that each record belongs to."""
-    keyed = _keyed(df, record_id, text)
+    return linked(_keyed(df, record_id, text))
+
+
+def linked(keyed: DataFrame) -> DataFrame:
+    """``_k`` replaced by the class's key: that of the fields, also for lines with the letters of a line of fields."""
     # one small row per distinct key of field lines: which field class the letters belong to
     links = keyed.where(F.col("_kf").isNotNull()).groupBy("_k").agg(F.min("_kf").alias("_g")).withColumnRenamed("_k", "_lk")
-    return keyed.join(links, F.col("_k") == F.col("_lk"), "left").select("_id", F.coalesce("_g", "_k").alias("_k"))
+    rest = [c for c in keyed.columns if c not in ("_k", "_kf")]
+    return keyed.join(links, F.col("_k") == F.col("_lk"), "left").select(*rest, F.coalesce("_g", "_k").alias("_k"))
 
 
 def copy_groups(df: DataFrame, record_id: str, text: str, hot: int | None = None, salts: int = 64) -> DataFrame:
