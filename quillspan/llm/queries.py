@@ -130,3 +130,42 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from .pairs import defective
 
     return defective(*(table(spark, sf, t) for t in ("search_requests", "search_responses", "suggestions")))
+
+
+def _leaks(f: Callable[..., DataFrame], spark: SparkSession, sf: str) -> DataFrame:
+    return f(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .leaks import leaked_passages
+
+    return _leaks(leaked_passages, spark, sf)
+
+
+@query
+def p9_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    from .leaks import leaks
+
+    return _leaks(leaks, spark, sf)
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the packing cuts."""
+    return p8_packed(spark, sf).where(F.col("piece") == 1).select("capacity_id", "doc_id")
+
+
+@query
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "capacities"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used per capacity, and the share of their room that is filled."""
+    used = p8_packed(spark, sf).groupBy("capacity_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    caps = table(spark, sf, "capacities").select("capacity_id", "max_tokens")
+    return used.join(caps, "capacity_id").select("capacity_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("max_tokens"))).alias("filled"))
