@@ -169,3 +169,17 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     used = p8_packed(spark, sf).groupBy("capacity_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     caps = table(spark, sf, "capacities").select("capacity_id", "max_tokens")
     return used.join(caps, "capacity_id").select("capacity_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("max_tokens"))).alias("filled"))
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .personal import personal_data
+
+    return personal_data(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+@query
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from .personal import redacted
+
+    return redacted(table(spark, sf, "documents"), "doc_id", "text")
