@@ -108,18 +108,21 @@ ID_SHAPES = [
 ]
 ID_ANY = re.compile(r"[A-Z0-9]*\d[A-Z0-9]*(?:[ \-./][A-Z0-9]*\d[A-Z0-9]*)*(?:[ \-]?[A-Z])?")
 ID_START = re.compile(rf"(?<![\w.,+(\-/#@])(?:\d{{3}}-\d{{2}}-\d|[A-Z]{{2}}{S}?\d{{2}}|\d{{3}}{S}\d{{3}}{S}\d{{3}}|[A-Z]{{1,2}}\d{{6}}|[XYZ]?-?\d{{7,8}}-?[A-Z]|\d{{6}}[-+]\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{3}}-)")
-LABEL_WORD = re.compile(r"SSN|ecurity|soc\.|NINO|NI n|nsurance|ID |tax|TIN|NIF|DNI|CPF|citizen|person|assport|travel doc|dentity|icen[cs]e|Ausweis|ausweis|asaporte|Steuer", re.I)
+# Parts of those names, by which they are looked for.
+LABEL_WORDS = ("ssn", "ecurity", "soc.", "nino", "ni n", "nsurance", "id ", "tax", "tin", "nif", "nie", "dni", "cpf", "curp", "citizen", "person", "assport", "travel doc", "dentity", "icense", "icence", "ausweis", "passeport", "asaporte", "steuer", "паспорт", "инн", "снилс", "ת.ז")
 
 # Kinds of streets and boxes.
 STREETS = r"(?:Street|Road|Lane|Avenue|Terrace|Gardens|Blvd\.?|Boulevard|Drive|Square|Court|Close|Place|Row|Way|Crescent|Hill|Park|Mews|Grove|St\.|Rd\.|Ave\.?|STREET|ROAD|LANE|AVENUE|TERRACE|GARDENS|BLVD\.?|BOULEVARD|DRIVE|SQUARE|COURT|CLOSE|PLACE|ROW|WAY|CRESCENT)"
-STREET_WORD = re.compile(
-    r"\b(?:street|road|lane|avenue|terrace|gardens|blvd|boulevard|drive|square|court|close|place|row|way|crescent|hill|park|mews|grove|st|rd|ave)\b|(?:straße|strasse|gasse|weg|platz|allee|ring|damm|ufer)\b|\b(?:rue|allée|chemin|quai|impasse|cours|rua|avenida|av\.|travessa|praça|calle|plaza|paseo|camino)\b|box\b|\bpostfach\b|\bapartado\b",
-    re.I,
-)
+# Words by which the other forms of addresses are looked for.
+STREET_ENDS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ring", "damm", "ufer")
+STREET_STARTS = ("rua", "avenida", "av.", "travessa", "praça", "calle", "plaza", "paseo", "camino")
+BOXES = ("box", "postfach", "apartado", "postale", "locked bag")
+NUMBERED = re.compile(r"\d{1,5}[A-Z]?(?:/\d+)?(?: ?(?:bis|ter))?,?\s[\s>|]*(?:[A-ZÀ-Þ]|(?:rue|avenue|boulevard|place|allée|chemin|quai|impasse|cours)\s)")
+FLAT = re.compile(rf"(?i:Flat|Apt\.?|Apartment|Unit|Suite|Room){S}\d+[A-Z]?,{S}$")
 ADDRESSES = [
     re.compile(p)
     for p in (
-        rf"(?:(?i:Flat|Apt\.?|Apartment|Unit|Suite|Room){S}\d+[A-Z]?,{S})?\d{{1,5}}[A-Z]?(?:/\d+)?{S}(?:(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little){S})?{CAP}(?:{S}{CAP})?{S}{STREETS}(?!\w)",
+        rf"\d{{1,5}}[A-Z]?(?:/\d+)?{S}(?:(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little){S})?{CAP}(?:{S}{CAP})?{S}{STREETS}(?!\w)",
         rf"\d{{1,4}}(?: ?(?:bis|ter))?,?{S}(?i:rue|avenue|boulevard|place|allée|chemin|quai|impasse|cours){S}(?:(?i:de la|de l['’]|des|du|de|d['’]){S}?)?{CAP}",
         rf"(?:{CAP}[ -])?[A-ZÀ-Þ][\w'’-]*(?i:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer){S}\d{{1,4}}[a-z]?(?!\w)",
         rf"(?i:Rua|Avenida|Av\.|Travessa|Praça|Calle|Plaza|Paseo|Camino){S}(?:(?i:de las?|de los|de|da|do|dos|das|del|la){S})*{CAP},?{S}(?:(?i:nº|n\.º|no\.){S}?)?\d{{1,5}}[A-Z]?(?!\w)",
@@ -139,6 +142,22 @@ LABELERS = {
 }
 
 Span = tuple[str, int, int, tuple[int, ...]]
+DIGIT = re.compile(r"\d")
+
+
+def _finds(text: str, words: tuple[str, ...]) -> Iterator[int]:
+    """Where any of the words begins, word by word."""
+    for w in words:
+        k = text.find(w)
+        while k >= 0:
+            yield k
+            k = text.find(w, k + len(w))
+
+
+def _lower(t: str) -> str:
+    """Lower case of the same length."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t)
 
 
 def _emails(t: str) -> Iterator[Span]:
@@ -178,7 +197,7 @@ def _phones(t: str) -> Iterator[Span]:
         yield "phone", a, best, (-1 if iso else 1, 1 if PHONE_WORDS.search(left) else 0, 1 if value[0] in "+(" or value.startswith("0") else 0, 1 if 9 <= n <= 14 else -1, -1 if NO_PHONE.search(left) or ID_LABEL.search(left) else 0)
 
 
-def _ids(t: str) -> Iterator[Span]:
+def _ids(t: str, low: str) -> Iterator[Span]:
     seen = set()
     for m in ID_START.finditer(t):
         a = m.start()
@@ -188,9 +207,10 @@ def _ids(t: str) -> Iterator[Span]:
         seen.add(a)
         left = t[max(0, a - 48) : a]
         yield "id_number", a, end, (1, 1 if ID_LABEL.search(left) else 0, -1 if PHONE_WORDS.search(left) else 0, -1 if not ID_LABEL.search(left) else 0)
-    for m in LABEL_WORD.finditer(t):  # a label with a value of another form
-        stop = min(len(t), m.end() + 40)
-        for x in ID_ANY.finditer(t, m.end(), stop):
+    for k in _finds(low, LABEL_WORDS):  # a label with a value of another form
+        if not DIGIT.search(t, k, k + 48):
+            continue
+        for x in ID_ANY.finditer(t, k, min(len(t), k + 48)):
             a = x.start()
             if a in seen or t[a - 1].isalnum() or t[x.end() : x.end() + 1].isalnum() or not ID_LABEL.search(t[max(0, a - 48) : a]):
                 break
@@ -200,20 +220,36 @@ def _ids(t: str) -> Iterator[Span]:
             break
 
 
-def _addresses(t: str) -> Iterator[Span]:
-    done = -1
-    for m in STREET_WORD.finditer(t):
-        if m.start() < done:
+def _address_spans(t: str, low: str) -> Iterator[tuple[int, int]]:
+    number, rue, german, first, box = ADDRESSES
+    for m in NUMBERED.finditer(t):
+        a = m.start()
+        if a and (t[a - 1].isalnum() or t[a - 1] in "-.#/"):
             continue
-        lo, hi = max(0, m.start() - 70, done), min(len(t), m.end() + 60)
-        best: tuple[int, int] | None = None
-        for p in ADDRESSES:
-            for x in p.finditer(t, lo, hi):
-                if x.start() <= m.start() < x.end() and (lo == 0 or not (t[x.start() - 1].isalnum() or t[x.start() - 1] in "-.#" and t[x.start()].isdigit())) and (best is None or x.start() < best[0]):
-                    best = x.span()
-        if best is None:
+        x = number.match(t, a) or rue.match(t, a)
+        if x:
+            flat = FLAT.search(t, max(0, a - 28), a)
+            yield flat.start() if flat else a, x.end()
+    for k in _finds(low, STREET_ENDS):
+        if DIGIT.search(t, k, k + 16):
+            x = next((x for x in german.finditer(t, max(0, k - 48), min(len(t), k + 40)) if x.start() <= k < x.end()), None)
+            if x and (not x.start() or not t[x.start() - 1].isalnum()):
+                yield x.span()
+    for k in _finds(low, STREET_STARTS):
+        if (not k or not t[k - 1].isalnum()) and DIGIT.search(t, k, k + 72) and (x := first.match(t, k)):
+            yield x.span()
+    for k in _finds(low, BOXES):
+        if DIGIT.search(t, k, k + 20):
+            x = next((x for x in box.finditer(t, max(0, k - 16), min(len(t), k + 40)) if x.start() <= k < x.end()), None)
+            if x and (not x.start() or not t[x.start() - 1].isalnum()):
+                yield x.span()
+
+
+def _addresses(t: str, low: str) -> Iterator[Span]:
+    done = -1
+    for a, z in sorted(set(_address_spans(t, low))):
+        if a < done:
             continue
-        a, z = best
         done = z
         left, right = t[max(0, a - 24) : a], t[z : z + 48]
         yield "address", a, z, (1, 1 if PLACE_AFTER.match(right) else 0, 1 if PLACE_WORDS.search(left) or not left else 0, 1 if not left.strip(" \t>|*-•") or left.rstrip(" \t>")[-1:] in "\n|,=:" else 0)
@@ -272,7 +308,8 @@ PERSON = re.compile(r"(?:\b(?:Dear|Hello|Signed:|Herr|Frau|Mme)\s|\bname=)$")
 
 def candidates(t: str) -> list[Span]:
     """All candidate spans of a text with the votes of their kind's labelers."""
-    out = [*_emails(t), *_phones(t), *_ids(t), *_addresses(t)]
+    low = _lower(t)
+    out = [*_emails(t), *_phones(t), *_ids(t, low), *_addresses(t, low)]
     return out + list(_names(t, [(a, z) for k, a, z, v in out if k != "id_number" and sum(v) > 0]))
 
 
