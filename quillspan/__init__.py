@@ -1,0 +1 @@
+"""Typo-tolerant line completion over text corpora, as Spark plans."""

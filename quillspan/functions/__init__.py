@@ -1,0 +1 @@
+"""Column functions: text normalization and one-edit matching."""

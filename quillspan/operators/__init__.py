@@ -1,0 +1 @@
+"""The engine's operators over DataFrames."""

@@ -1,0 +1 @@
+"""Queries over the test tables, with SQL that says the same."""

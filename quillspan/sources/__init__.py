@@ -1,0 +1 @@
+"""Where lines come from: archives, folders, document tables."""

@@ -1,0 +1 @@
+"""Sessions as streams."""
