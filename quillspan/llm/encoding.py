@@ -25,10 +25,12 @@ from .letters import cyrillic_skeleton, skeleton
 # Character sets whose bytes may have been shown for those of another.
 SHOWN_AS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8-r", "cp1253", "cp1254", "cp1255", "iso8859-2", "iso8859-15")
 MEANT = ("cp1252", "cp1251", "cp1255", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-5")
-# Letters that Western European text uses, lower case; pairs of accented letters that are usual.
+# Letters that Western European text uses, lower case; pairs of accented letters that are usual; letters
+# of other European alphabets.
 USUAL = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüßœÿ")
 USUAL_PAIRS = frozenset(("çã", "çõ", "çá", "çó", "éâ", "éé", "éê", "éè", "éï", "ïé", "èé", "áé", "íá", "íó", "íé", "áí", "óá", "úí", "öß", "üß", "äß", "éà"))
 RUSSIAN = frozenset(map(chr, range(0x430, 0x450))) | {"ё"}
+CENTRAL = frozenset("ąćęłńśźżčďěňřšťůžőűășşțţğıđāēīūģķļņėįųœħġċ")
 QUOTES = frozenset("“”‘’«»„‚‹›–—…•")
 SIGNS = frozenset("§°№€£¥©®™×÷−±¿¡′″†‡¶·")
 SPACING = frozenset("¤¦¨¬¯´¸¢£¥¶±ˆ˜ˇ˘˙˛˝‰†‡‚„‹›√∫∂∑∏≤≥≠∞◊≈∩≡⌠⌡⌐¡¿®©§÷×·°")
@@ -85,17 +87,19 @@ def cost(t: str, mixed: bool = False) -> float:
         elif cat[0] == "L":
             low = c.lower()
             if script == "LATIN":
-                total += 0 if low in USUAL else 1.5
+                total += 0 if low in USUAL else 0.4 if c in CENTRAL else 1.5
                 if c != low and not mixed and before.isalpha() and before == before.lower() != before.upper():
                     total += 2.5
                 elif c != low and not mixed and before.isalpha() and after.islower():
                     total += 1
                 if before >= "\x80" and before.isalpha() and _kind(before)[1] == "LATIN" and before not in "ªº" and (before + c).lower() not in USUAL_PAIRS:
-                    total += 1.2
+                    total += 0.4 if c in CENTRAL or before in CENTRAL else 1.2
+                if c == low and not mixed and "A" <= before <= "Z" and "A" <= after <= "Z":
+                    total += 2.5
                 if strange_after:
                     total += 2 if c != low or low in "ãâåîïðøñ" else 0.5
-                elif c != low and after in "\xa0":
-                    total += 1
+                elif c != low and after == "\xa0":
+                    total += 2
             elif script == "CYRILLIC":
                 total += 0 if low in RUSSIAN else 2
                 total += 1 if strange_after and after not in "“„–—" else 0
@@ -220,7 +224,7 @@ def apply(op: tuple[str, ...], t: str) -> str:
 
 
 UTF8_OPS = [("utf8", name, case) for case in ("same", "any") for name in SHOWN_AS]
-ALL_OPS = [("unescape",), *UTF8_OPS, *(("recode", a, b) for a in SHOWN_AS if a not in ("cp1253", "cp1254", "iso8859-15") for b in MEANT if a != b)]
+ALL_OPS = [*UTF8_OPS, *(("recode", a, b) for a in SHOWN_AS if a not in ("cp1253", "cp1254", "iso8859-15") for b in MEANT if a != b)]
 
 
 def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str, ...], ...]]:
@@ -231,9 +235,13 @@ def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str,
     by exchanging letters for those they look like is no case of a wrong encoding and is left alone.
     """
     start = cost(word, mixed)
+    if (plain := _unescaped(word)) != word and not plain.isascii():
+        new, saved, ops = search(plain, mixed)
+        return new, max(saved, MARGIN), (("unescape",), *ops)
     bare = unicodedata.normalize("NFC", WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), INVISIBLE.sub("", word)))
     for plain in (bare, skeleton(bare), cyrillic_skeleton(bare)):
-        if plain != word and cost(plain, mixed) <= 0.6 and not HARD.search(word):
+        spelled = plain == bare and any(_utf8_runs(word, BYTES[n], False) != word for n in ("latin-1", "cp1252"))
+        if plain != word and cost(plain, mixed) <= 0.6 and not spelled and not HARD.search(word):
             return word, 0.0, ()
     best, best_cost, best_ops = word, start, ()
     seen = {hash(word)}
@@ -245,7 +253,7 @@ def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str,
             best, best_cost, best_ops = text, rank, ops
         if own == 0 and ops:
             break
-        if own == 0 and not ESCAPED.search(text) or len(ops) >= DEPTH:
+        if own == 0 or len(ops) >= DEPTH:
             continue
         paid = rank - own
         for op in ALL_OPS:
@@ -255,18 +263,14 @@ def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str,
             seen.add(hash(new))
             price = STEP + (0.6 if op[0] == "recode" else 0.2 if op[-1] == "any" else 0)
             c = cost(new, mixed)
-            if c + price < own or op[0] == "unescape":
+            if c + price < own:
                 count += 1
                 heapq.heappush(queue, (c + paid + price, count, new, c, (*ops, op)))
-    if ops_unescape_only(best_ops) and word.isascii():
-        return best, MARGIN, best_ops
+    if any(o[0] == "recode" for o in best_ops) and cost(best, mixed) > 0.6:
+        return word, 0.0, ()  # bytes of one set can be read in any other: only a wholly plausible result counts
     return best, start - best_cost, best_ops
 
 
-def ops_unescape_only(ops: tuple) -> bool:
-    return bool(ops) and all(o[0] == "unescape" for o in ops)
-
-
 def of_mixed_case(t: str) -> bool:
     """Whether a line is written in arbitrary case: two words or more change from lower to upper case inside."""
     return sum(1 for m in ANY_WORD.finditer(t) if ODD_CASE.search(m[0])) >= 2 and sum(1 for m in ANY_WORD.finditer(t) if m[0].isascii() and ODD_CASE.search(m[0])) >= 1
