@@ -183,3 +183,23 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     from .personal import redacted
 
     return redacted(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_FOLDED = "regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_FIELD = "^[^\\p{L}\\p{N}]*([\\p{L}_][\\p{L}\\p{N}_.\\-]*)\\s*[=:]\\s*([^=:;|,]*[\\p{L}\\p{N}][^=:;|,]*)$"
+_GROUPS = f"""
+WITH t AS (SELECT sentence_id, original_text, {_FOLDED.format(c='original_text')} AS k, list_filter(string_split_regex(original_text, '[;|,\\t\\n\\r]+'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')) AS parts FROM sentences WHERE original_text IS NOT NULL),
+u AS (SELECT sentence_id, k, CASE WHEN len(parts) >= 4 AND len(list_filter(parts, lambda p: regexp_full_match(p, '{_FIELD[1:-1]}'))) = len(parts)
+ THEN 'f:' || array_to_string(list_sort(list_transform(parts, lambda p: {_FOLDED.format(c=f"regexp_extract(p, '{_FIELD}', 1)")} || '=' || {_FOLDED.format(c=f"regexp_extract(p, '{_FIELD}', 2)")})), ';') END AS f FROM t WHERE k <> ''),
+l AS (SELECT k, min(f) AS g FROM u WHERE f IS NOT NULL GROUP BY k),
+c AS (SELECT sentence_id, coalesce(g, u.k) AS c FROM u LEFT JOIN l ON u.k = l.k),
+m AS (SELECT sentence_id, min(sentence_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS copies FROM c)
+"""
+ORACLES["p6_found"] = _GROUPS + "SELECT keep_id, sentence_id AS copy_id FROM m WHERE keep_id <> sentence_id"
+ORACLES["p6_collapsed"] = _GROUPS + "SELECT keep_id, copies FROM m WHERE keep_id = sentence_id"
+ORACLES["p9_found"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+a AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+b AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM v))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)"""
