@@ -150,6 +150,20 @@ def gate_sql(query: str, line: str) -> str:
     return "(" + " OR ".join(f"contains({line}, '{t}')" for t in (query, *trigrams_of(query))) + ")"
 
 
+@lru_cache(4096)
+def any_pattern(query: str) -> str:
+    """One pattern for every way to match (two characters or more). The half that an edit leaves whole stands outside the
+    alternatives, so a search mostly compares one literal."""
+    a, b = halves(query)
+    later, earlier = [], []
+    for v in variants(query):
+        if v.position is None or v.position > len(a):
+            later.append(v.pattern[len(a) :])
+        else:
+            earlier.append(v.pattern[: len(v.pattern) - len(b)])
+    return f"{a}(?:{'|'.join(dict.fromkeys(later))})|(?:{'|'.join(dict.fromkeys(earlier))}){b}"
+
+
 class Compiled:
     """A query's searches for Python, where every row has a query of its own."""
 
@@ -158,12 +172,15 @@ class Compiled:
         self.halves = halves(query)
         self.gates = (query, *trigrams_of(query))
         self.groups = [(s, a, re.compile("|".join(b)) if b else None) for s, a, b in by_score(query)]
+        self.any = re.compile(any_pattern(query)) if len(query) > 1 else None
 
     def score(self, line: str, strict_recall: bool = False) -> int | None:
         if not self.query or not strict_recall and not any(g in line for g in self.gates):
             return None
         if len(self.query) > 1 and self.halves[0] not in line and self.halves[1] not in line:
             return None
+        if self.any and not self.any.search(line):
+            return None
         for points, texts, pattern in self.groups:
             if any(t in line for t in texts) or pattern is not None and pattern.search(line):
                 return points

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import Compiled, gate, may_match, score
+from ..functions.matching import Compiled, any_pattern, gate, may_match, score
 from ..functions.text import displayed, logged, normalize, normalize_text, trigrams
 from ..logs import logger
 
@@ -30,7 +30,10 @@ def matches(sentences: DataFrame, query: str, strict_recall: bool = False) -> Da
     if not q:
         return sentences.sparkSession.createDataFrame([], RESULT)
     line = F.col("normalized_text")
-    found = sentences.where(may_match(q, line, strict_recall)).withColumn("score", score(q, line)).where(F.col("score").isNotNull())
+    held = sentences.where(may_match(q, line, strict_recall))
+    if len(q) > 1:
+        held = held.where(line.rlike(any_pattern(q)))
+    found = held.withColumn("score", score(q, line)).where(F.col("score").isNotNull())
     return found.select(F.col("original_text").alias("completed_sentence"), F.col("source_path").alias("source_text"), F.col("offset").cast("int").alias("offset"), "score")
 
 
@@ -89,27 +92,26 @@ def batch_completions(sentences: DataFrame, queries: DataFrame, k: int = DEFAULT
     """
 
     known = queries.where(F.col("query").isNotNull()).select("query_id", "query")
-    short = F.length("_q")
-
     asked = known.select("query_id", normalize(F.col("query")).alias("_q")).where(F.col("_q") != "")
-    half = F.floor(short / 2).cast("int")
-    parts = asked.select(
-        "query_id",
-        "_q",
-        F.explode(
-            F.when(short >= 6, F.array(F.substring("_q", F.lit(1), half), F.substring("_q", half + 1, short))).otherwise(F.array(F.col("_q")))
-        ).alias("_part"),
-    )
-    grams = parts.select("query_id", "_q", "_part", F.explode(F.when(short >= 3, F.array_distinct(trigrams(F.col("_part")))).otherwise(F.array("_part"))).alias("_g"))
-    # the alphabet has 37 characters, so there are at most 37 + 37^2 + 37^3 = 52,059 keys: a bounded broadcast
-    wanted = F.broadcast(grams.select("_g").distinct())
+    size = F.length("_q")
+    half = F.floor(size / 2).cast("int")
+    part = F.explode(F.when(size >= 6, F.array(F.substring("_q", F.lit(1), half), F.substring("_q", half + 1, size))).otherwise(F.array("_q")))
+    grams = asked.where(size >= 3).select("query_id", "_q", part.alias("_part")).select("query_id", "_q", "_part", F.explode(F.array_distinct(trigrams(F.col("_part")))).alias("_g"))
     line = F.col("normalized_text")
-    runs = F.array_distinct(F.concat(trigrams(line), F.regexp_extract_all(line, F.lit("(?=(.{2}))"), F.lit(1)), F.split(line, "")))
-    held = sentences.select("source_path", "offset", F.explode(runs).alias("_g")).join(wanted, "_g")
+
+    def holding(runs: Column, wanted: DataFrame) -> DataFrame:
+        # the alphabet has 37 characters, so there are at most 37^3 = 50,653 keys: a bounded broadcast
+        return sentences.select("source_path", "offset", F.explode(F.array_distinct(runs)).alias("_g")).join(F.broadcast(wanted.select("_g").distinct()), "_g")
+
+    held = holding(trigrams(line), grams)
     sizes = F.broadcast(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
     rare = Window.partitionBy("query_id", "_part").orderBy(F.coalesce("_n", F.lit(0)).asc(), F.col("_g").asc())
-    chosen = grams.join(sizes, "_g", "left").withColumn("_r", F.row_number().over(rare)).where((short < 6) | (F.col("_r") == 1)).select("query_id", "_q", "_g")
-    met = held.join(chosen, "_g").select("query_id", "_q", "source_path", "offset").distinct()
+    chosen = grams.join(sizes, "_g", "left").withColumn("_r", F.row_number().over(rare)).where((size < 6) | (F.col("_r") == 1)).select("query_id", "_q", "_g")
+    met = held.join(chosen, "_g").select("query_id", "_q", "source_path", "offset")
+    # queries of one or two characters only match as they stand; without any, this part is empty and costs nothing
+    tiny = asked.where(size < 3).select("query_id", "_q", F.col("_q").alias("_g"))
+    pairs = F.concat(F.regexp_extract_all(line, F.lit("(?=(.{2}))"), F.lit(1)), F.split(line, ""))
+    met = met.unionByName(holding(pairs, tiny).join(tiny, "_g").select("query_id", "_q", "source_path", "offset")).distinct()
     both = met.join(sentences.select("source_path", "offset", "original_text", "normalized_text"), ["source_path", "offset"])
 
     @F.pandas_udf("int")

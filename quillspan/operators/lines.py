@@ -18,8 +18,13 @@ def raw_lines(files: DataFrame) -> DataFrame:
 
 
 def sentences(files: DataFrame) -> DataFrame:
-    """``raw_lines`` with ``normalized_text`` ('' for lines of punctuation only). No shuffle."""
-    return raw_lines(files).select("original_text", normalize(F.col("original_text")).alias("normalized_text"), "source_path", "offset", "file_ord")
+    """``raw_lines`` with ``normalized_text`` ('' for lines of punctuation only). No shuffle.
+
+    The normalized text comes out of a generator: the optimiser would otherwise copy its expression into every search over
+    it, and normalize a line again for each.
+    """
+    norm = F.explode(F.array(normalize(F.col("original_text")))).alias("normalized_text")
+    return raw_lines(files).select("original_text", norm, "source_path", "offset", "file_ord")
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ s AS (SELECT original_text, {NORM.format(c='original_text')} AS normalized_text,
 """
 IDS = LINES + """, n AS (SELECT *, row_number() OVER (ORDER BY file_ord, source_path, "offset") - 1 AS sentence_id FROM s)
 """
-WORDS = ", w AS (SELECT DISTINCT word, source_path, \"offset\" FROM (SELECT unnest(string_split(normalized_text, ' ')) AS word, source_path, \"offset\" FROM s) WHERE word <> '')\n"
-GRAMS = ", g AS (SELECT DISTINCT substr(normalized_text, i, 3) AS trigram, source_path, \"offset\" FROM (SELECT normalized_text, source_path, \"offset\", unnest(range(1, length(normalized_text) - 1)) AS i FROM s))\n"
+WORDS = ", w AS (SELECT DISTINCT word, source_path, \"offset\", id FROM (SELECT unnest(string_split(normalized_text, ' ')) AS word, source_path, \"offset\", file_ord * 16777216 + \"offset\" AS id FROM s) WHERE word <> '')\n"
+GRAMS = ", g AS (SELECT DISTINCT substr(normalized_text, i, 3) AS trigram, id FROM (SELECT normalized_text, file_ord * 16777216 + \"offset\" AS id, unnest(range(1, length(normalized_text) - 1)) AS i FROM s))\n"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -62,8 +62,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with a key that needs no numbering: what identifies a line is its path and offset."""
-    return corpus(spark, sf).withColumn("sentence_id", F.struct("source_path", "offset"))
+    """Lines with a key that needs no numbering: the file's order and the line's offset in one number."""
+    return corpus(spark, sf).withColumn("sentence_id", F.shiftleft("file_ord", 24) + F.col("offset"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,19 +113,19 @@ ORACLES["display_text"] = LINES + f"""SELECT source_path, "offset", regexp_repla
 @query
 def word_postings(spark: SparkSession, sf: str) -> DataFrame:
     p = index.posting_sizes(index.word_pairs(_keyed(spark, sf)), "word")
-    return p.select("word", "lines", F.col("first_id.source_path").alias("first_path"), F.col("first_id.offset").alias("first_offset"))
+    return p.select("word", "lines", "first_id")
 
 
-ORACLES["word_postings"] = LINES + WORDS + """SELECT word, count(*) AS lines, min({'p': source_path, 'o': "offset"}).p AS first_path, min({'p': source_path, 'o': "offset"}).o AS first_offset FROM w GROUP BY word"""
+ORACLES["word_postings"] = LINES + WORDS + "SELECT word, count(*) AS lines, min(id) AS first_id FROM w GROUP BY word"
 
 
 @query
 def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
     p = index.posting_sizes(index.trigram_pairs(_keyed(spark, sf)), "trigram")
-    return p.select("trigram", "lines", F.col("first_id.source_path").alias("first_path"), F.col("first_id.offset").alias("first_offset"))
+    return p.select("trigram", "lines", "first_id")
 
 
-ORACLES["trigram_postings"] = LINES + GRAMS + """SELECT trigram, count(*) AS lines, min({'p': source_path, 'o': "offset"}).p AS first_path, min({'p': source_path, 'o': "offset"}).o AS first_offset FROM g GROUP BY trigram"""
+ORACLES["trigram_postings"] = LINES + GRAMS + "SELECT trigram, count(*) AS lines, min(id) AS first_id FROM g GROUP BY trigram"
 
 
 @query
@@ -172,7 +172,10 @@ ORACLES["vocabulary_fuzzy"] = LINES + WORDS + f"SELECT DISTINCT word FROM w WHER
 
 
 def _ids(df: DataFrame) -> DataFrame:
-    return df.select(F.col("sentence_id.source_path").alias("source_path"), F.col("sentence_id.offset").alias("offset"))
+    return df.select("sentence_id")
+
+
+ID = 'file_ord * 16777216 + "offset" AS sentence_id'
 
 
 @query
@@ -180,7 +183,7 @@ def candidates_short(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(index.candidates(_keyed(spark, sf), SHORT))
 
 
-ORACLES["candidates_short"] = LINES + f"""SELECT source_path, "offset" FROM s WHERE {m.gate_sql(SHORT, 'normalized_text')}"""
+ORACLES["candidates_short"] = LINES + f"SELECT {ID} FROM s WHERE {m.gate_sql(SHORT, 'normalized_text')}"
 
 
 @query
@@ -193,8 +196,8 @@ def _long_sql() -> str:
     exact = ", ".join(f"'{w}'" for w in parts)
     grams = " OR ".join(f"contains(normalized_text, '{x}')" for x in t.trigrams_of(LONG))
     return LINES + WORDS + f""", u AS (SELECT a.word AS asked FROM (VALUES {', '.join(f"('{w}')" for w in parts)}) a(word) WHERE a.word NOT IN (SELECT word FROM w)),
-    c AS (SELECT source_path, "offset" FROM w WHERE word IN ({exact}) UNION SELECT source_path, "offset" FROM w, u WHERE levenshtein(word, asked) <= 1 UNION SELECT source_path, "offset" FROM s WHERE {grams})
-    SELECT source_path, "offset" FROM c"""
+    c AS (SELECT id AS sentence_id FROM w WHERE word IN ({exact}) UNION SELECT id FROM w, u WHERE levenshtein(word, asked) <= 1 UNION SELECT {ID} FROM s WHERE {grams})
+    SELECT sentence_id FROM c"""
 
 
 ORACLES["candidates_long"] = _long_sql()
@@ -205,7 +208,7 @@ def trigram_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(index.trigram_candidates(index.trigram_pairs(_keyed(spark, sf)), LONG))
 
 
-ORACLES["trigram_lookup"] = LINES + 'SELECT source_path, "offset" FROM s WHERE ' + " OR ".join(f"contains(normalized_text, '{x}')" for x in t.trigrams_of(LONG))
+ORACLES["trigram_lookup"] = LINES + f"SELECT {ID} FROM s WHERE " + " OR ".join(f"contains(normalized_text, '{x}')" for x in t.trigrams_of(LONG))
 
 
 @query
@@ -213,7 +216,7 @@ def word_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(index.word_candidates(index.word_pairs(_keyed(spark, sf)), "harbor"))
 
 
-ORACLES["word_lookup"] = LINES + WORDS + "SELECT source_path, \"offset\" FROM w WHERE word = 'harbor'"
+ORACLES["word_lookup"] = LINES + WORDS + "SELECT id AS sentence_id FROM w WHERE word = 'harbor'"
 
 
 # completion
