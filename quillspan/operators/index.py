@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,25 +81,36 @@ def short_query_candidates(pairs: DataFrame, vocab_pairs: DataFrame, query: str)
     return trigram_candidates(pairs, query).union(vocab_pairs.where(F.col("word").contains(query)).select("sentence_id")).distinct()
 
 
-def candidates(sentences: DataFrame, query: str) -> DataFrame:
+def candidates(sentences: DataFrame, query: str, pairs: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """Ids of the lines a normalized query is checked against.
 
     Up to five characters: lines with a trigram of it or with a word that holds it. Longer ones: lines with a trigram of
-    it, or with one of its words, or - for a word that no line has - with a word one edit away.
+    it, or with one of its words, or - for a word that no line has - with a word one edit away. ``pairs`` and ``grams`` are
+    stored index tables; without them the lines themselves are searched, which is cheaper than making the tables for one
+    query.
     """
     if not query:
         return sentences.select("sentence_id").limit(0)
-    pairs, grams = word_pairs(sentences), trigram_pairs(sentences)
+    line, parts = F.col("normalized_text"), trigrams_of(query)
+    by_trigram = trigram_candidates(grams, query) if grams is not None else sentences.where(reduce(lambda a, b: a | b, [line.contains(t) for t in parts], F.lit(False))).select("sentence_id")
     if len(query) <= SHORT_QUERY:
-        return short_query_candidates(grams, pairs, query)
+        # a word holds a query without a space exactly if the line does
+        by_word = pairs.where(F.col("word").contains(query)) if pairs is not None else sentences.where(line.contains(query) if " " not in query else F.lit(False))
+        return by_trigram.union(by_word.select("sentence_id")).distinct()
     wanted = list(dict.fromkeys(query.split()))
+    table = pairs if pairs is not None else word_pairs(sentences)
+    if pairs is None:
+        padded = F.concat(F.lit(" "), line, F.lit(" "))
+        exact = sentences.where(reduce(lambda a, b: a | b, [padded.contains(f" {w} ") for w in wanted]))
+        held = exact.select(F.explode(F.array_intersect(words(line), F.array(*map(F.lit, wanted)))).alias("word"))
+    else:
+        exact = held = pairs.where(F.col("word").isin(wanted))
     asked = sentences.sparkSession.createDataFrame([(w,) for w in wanted], "asked string")
-    exact = pairs.where(F.col("word").isin(wanted)).select("sentence_id")
-    unknown = asked.join(pairs.where(F.col("word").isin(wanted)), F.col("asked") == F.col("word"), "left_anti")
+    unknown = asked.join(held, F.col("asked") == F.col("word"), "left_anti")
     # each unknown word against the vocabulary: a query has a handful of words, so they are the broadcast side
-    close = vocabulary(sentences).join(F.broadcast(unknown), F.levenshtein("word", "asked", 1) >= 0).select("word").distinct()
-    fuzzy = pairs.join(close, "word", "left_semi").select("sentence_id")
-    return exact.union(fuzzy).union(trigram_candidates(grams, query)).distinct()
+    close = table.select("word").join(F.broadcast(unknown), F.levenshtein("word", "asked", 1) >= 0).select("word").distinct()
+    fuzzy = table.join(close, "word", "left_semi").select("sentence_id")
+    return exact.select("sentence_id").union(fuzzy).union(by_trigram).distinct()
 
 
 def lookup(sentences: DataFrame, ids: DataFrame) -> DataFrame:
@@ -114,10 +126,11 @@ class CorpusIndex:
         self.words = words_table if words_table is not None else word_pairs(sentences)
         self.trigrams = trigram_table if trigram_table is not None else trigram_pairs(sentences)
         self.vocabulary = vocab if vocab is not None else vocabulary(sentences)
+        self._tables = (words_table, trigram_table)
 
     @classmethod
     def build(cls, files: DataFrame) -> CorpusIndex:
-        return cls(_lines.numbered(_lines.sentences(files)).drop("file_ord"))
+        return cls(_lines.numbered(files).drop("file_ord"))
 
     @classmethod
     def build_from_zip(cls, spark: SparkSession, path: str) -> CorpusIndex:
@@ -127,7 +140,7 @@ class CorpusIndex:
         return self.sentences.where(F.col("sentence_id") == sentence_id)
 
     def candidates(self, query: str) -> DataFrame:
-        return candidates(self.sentences, normalize_text(query))
+        return candidates(self.sentences, normalize_text(query), *self._tables)
 
     def counts(self) -> DataFrame:
         return index_counts(self.sentences)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +30,35 @@ def sentences(files: DataFrame) -> DataFrame:
     return raw_lines(files).select("original_text", norm, "source_path", "offset", "file_ord")
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """``sentence_id`` from 0 in the order of files and lines, dense.
+def numbered(files: DataFrame) -> DataFrame:
+    """``sentences`` with ``sentence_id``: from 0, dense, in the order of files (``file_ord``, ``source_path``) and lines.
 
-    A global window would put all rows into one task; instead rows are range-partitioned and sorted, the few counts per
-    partition are added up on the driver, and each row gets its partition's base plus its place in it.
+    Only the number of lines of each file is sorted; the text stays where it is unless there are too many files for their
+    first numbers to be broadcast. Neither files nor lines ever meet in one task: numbers are added up within the ranges
+    of the sort, and the ranges' totals on the driver.
     """
-    ordered = lines.repartitionByRange("file_ord", "source_path", "offset").sortWithinPartitions("file_ord", "source_path", "offset")
-    placed = ordered.withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")).drop("_m")
-    base, total = {}, 0
-    for r in placed.groupBy("_p").count().orderBy("_p").collect():  # one row per partition
-        base[r["_p"]] = total
-        total += r["count"]
-    if not base:
-        return placed.select(F.col("_i").alias("sentence_id"), *[c for c in lines.columns if c != "sentence_id"])
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_p"))
-    return placed.select((start + F.col("_i")).cast("long").alias("sentence_id"), *[c for c in lines.columns if c != "sentence_id"])
+    kept = F.filter(F.transform(F.split("text", LINE_SEP, -1), lambda x, i: F.struct(i.alias("offset"), x.alias("original_text"))), lambda s: ~is_blank(s["original_text"]))
+    counts = files.groupBy("file_ord", "source_path").agg(F.sum(F.coalesce(F.size(kept), F.lit(0))).alias("n")).persist()
+
+    def running(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        total, part = 0, TaskContext.get().partitionId()
+        for p in parts:
+            ends = p["n"].cumsum() + total
+            yield pd.DataFrame({"_o": p["file_ord"], "_s": p["source_path"], "_part": part, "_first": ends - p["n"], "_end": ends})
+            total = int(ends.iloc[-1]) if len(p) else total
+
+    ordered = counts.repartitionByRange("file_ord", "source_path").sortWithinPartitions("file_ord", "source_path")
+    first = ordered.mapInPandas(running, "_o long, _s string, _part int, _first long, _end long").persist()
+    ends = first.groupBy("_part").agg(F.max("_end").alias("n")).orderBy("_part").collect()  # one row per range
+    base = [(r["_part"], sum(x["n"] for x in ends[:k])) for k, r in enumerate(ends)]
+    bases = F.broadcast(files.sparkSession.createDataFrame(base, "_part int, _base long"))
+    first = first.join(bases, "_part").select("_o", "_s", (F.col("_base") + F.col("_first")).alias("_first"))
+    both = files.join(first, F.col("file_ord").eqNullSafe(F.col("_o")) & (F.col("source_path") == F.col("_s")))
+    split = both.select("source_path", "file_ord", "_first", F.posexplode(kept).alias("_i", "_l"))
+    norm = F.explode(F.array(normalize(F.col("_l.original_text")))).alias("normalized_text")
+    return split.select((F.col("_first") + F.col("_i")).alias("sentence_id"), F.col("_l.original_text").alias("original_text"), norm, "source_path", F.col("_l.offset").alias("offset"), "file_ord")
 
 
 def legacy_lines(files: DataFrame) -> DataFrame:

@@ -114,8 +114,8 @@ class HotReloadableIndex:
         clock: Callable[[], float] = time.monotonic,
     ) -> None:
         self.spark = spark
-        self.dir = snapshots_dir or os.environ.get("ZDT_SNAPSHOTS_DIR") or "snapshots"
-        self.interval = float(os.environ.get("ZDT_RELOAD_CHECK_INTERVAL_SECONDS", INTERVAL_SECONDS)) if check_interval_seconds is None else check_interval_seconds
+        self.dir = snapshots_dir or os.environ.get("QUILLSPAN_SNAPSHOTS_DIR") or "snapshots"
+        self.interval = float(os.environ.get("QUILLSPAN_RELOAD_SECONDS", INTERVAL_SECONDS)) if check_interval_seconds is None else check_interval_seconds
         self.zip_path, self.cache_path, self.clock = zip_path, cache_path, clock
         self._index: CorpusIndex | None = None
         self._version: str | None = None

@@ -83,7 +83,7 @@ ORACLES["corpus_lines"] = LINES + 'SELECT original_text, normalized_text, source
 
 @query
 def sentence_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.numbered(corpus(spark, sf)).select("sentence_id", "source_path", "offset")
+    return lines.numbered(from_documents(table(spark, sf, "documents"))).select("sentence_id", "source_path", "offset")
 
 
 ORACLES["sentence_ids"] = IDS + 'SELECT sentence_id, source_path, "offset" FROM n'
@@ -131,7 +131,7 @@ ORACLES["trigram_postings"] = LINES + GRAMS + "SELECT trigram, count(*) AS lines
 @query
 def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Words in two lines or more, their first and last line and the length of the list."""
-    n = lines.numbered(corpus(spark, sf))
+    n = lines.numbered(from_documents(table(spark, sf, "documents")))
     p = index.postings(index.word_pairs(n), "word").where(F.size("ids") > 1)
     return p.select("word", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
 

@@ -74,10 +74,10 @@ def test_folder(spark, tmp_path):
 
 def test_numbers_are_dense_and_ordered(spark):
     docs = spark.createDataFrame([(i, f"l{i}\n\nm{i}\n", "s") for i in range(50)], "doc_id long, text string, source string")
-    rows = lines.numbered(lines.sentences(from_documents(docs))).orderBy("sentence_id").collect()
+    rows = lines.numbered(from_documents(docs)).orderBy("sentence_id").collect()
     assert [r["sentence_id"] for r in rows] == list(range(100))
     assert [(r["file_ord"], r["offset"]) for r in rows] == sorted((r["file_ord"], r["offset"]) for r in rows)
-    assert lines.numbered(lines.sentences(from_documents(docs.limit(0)))).count() == 0
+    assert lines.numbered(from_documents(docs.limit(0))).count() == 0
 
 
 def test_index(spark, sentences):
