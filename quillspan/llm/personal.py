@@ -122,7 +122,7 @@ FLAT = re.compile(rf"(?i:Flat|Apt\.?|Apartment|Unit|Suite|Room){S}\d+[A-Z]?,{S}$
 ADDRESSES = [
     re.compile(p)
     for p in (
-        rf"\d{{1,5}}[A-Z]?(?:/\d+)?{S}(?:(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little){S})?{CAP}(?:{S}{CAP})?{S}{STREETS}(?!\w)",
+        rf"\d{{1,5}}[A-Z]?(?:/\d+)?{S}(?!(?:The|THE)\b)(?:(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little){S})?{CAP}(?:{S}{CAP})?{S}{STREETS}(?!\w)",
         rf"\d{{1,4}}(?: ?(?:bis|ter))?,?{S}(?i:rue|avenue|boulevard|place|allée|chemin|quai|impasse|cours){S}(?:(?i:de la|de l['’]|des|du|de|d['’]){S}?)?{CAP}",
         rf"(?:{CAP}[ -])?[A-ZÀ-Þ][\w'’-]*(?i:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer){S}\d{{1,4}}[a-z]?(?!\w)",
         rf"(?i:Rua|Avenida|Av\.|Travessa|Praça|Calle|Plaza|Paseo|Camino){S}(?:(?i:de las?|de los|de|da|do|dos|das|del|la){S})*{CAP},?{S}(?:(?i:nº|n\.º|no\.){S}?)?\d{{1,5}}[A-Z]?(?!\w)",
@@ -275,7 +275,7 @@ def _names(t: str, beside: list[tuple[int, int]]) -> Iterator[Span]:
         known = w in FIRST_NAMES or len(w) > 2 and w in FIRST_UPPER
         if known:
             turned = UPPER_LAST.search(t, max(0, a - 48), a)
-            if turned and turned[1].title() not in FIRST_NAMES:
+            if turned and turned.start(1) >= taken and turned[1].title() not in FIRST_NAMES:
                 yield "name", turned.start(1), m.end(), votes(turned.start(1), m.end(), 1, 1)
                 taken = m.end()
                 continue
@@ -313,6 +313,10 @@ def candidates(t: str) -> list[Span]:
     return out + list(_names(t, [(a, z) for k, a, z, v in out if k != "id_number" and sum(v) > 0]))
 
 
+# How often a labeler is expected to vote against, abstain and vote for.
+ON_TRUE, ON_FALSE = {-1: 0.05, 0: 0.45, 1: 0.5}, {-1: 0.35, 0: 0.6, 1: 0.05}
+
+
 class Model:
     """Reliabilities by expectation-maximisation, and the classifier trained on what it believes."""
 
@@ -326,17 +330,23 @@ class Model:
 
     @staticmethod
     def believe(votes: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
-        """Posterior of a true span per vote pattern (labelers independent given the truth)."""
+        """Posterior of a true span per vote pattern (labelers independent given the truth).
+
+        A labeler's rates are estimated around what a labeler is: on false spans it rarely votes for, on true ones rarely
+        against. For false spans that prior weighs as much as a part of all candidates, since few of them may be there to
+        learn from; without it the model would tell two sorts of true spans apart instead.
+        """
         p = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5))
+        heavy = max(10.0, 0.3 * n.sum())
         for _ in range(rounds):
-            prior = ((p * n).sum() + 1) / (n.sum() + 2)
+            true, false = p * n, (1 - p) * n
+            prior = (true.sum() + 1) / (n.sum() + 2)
             log = np.full(len(p), np.log(prior) - np.log(1 - prior))
             for j in range(votes.shape[1]):
                 for v in (-1, 0, 1):
                     at = votes[:, j] == v
-                    # smoothing holds on to what a vote means where few spans tell
-                    yes = ((p * n)[at].sum() + (3 if v == 1 else 1)) / ((p * n).sum() + 5)
-                    no = (((1 - p) * n)[at].sum() + (3 if v == -1 else 1)) / (((1 - p) * n).sum() + 5)
+                    yes = (true[at].sum() + 10 * ON_TRUE[v]) / (true.sum() + 10)
+                    no = (false[at].sum() + heavy * ON_FALSE[v]) / (false.sum() + heavy)
                     log[at] += np.log(yes) - np.log(no)
             new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
             if np.abs(new - p).max() < 1e-6:
