@@ -333,13 +333,13 @@ class Model:
         """Posterior of a true span per vote pattern (labelers independent given the truth).
 
         A labeler's rates are estimated around what a labeler is: on false spans it rarely votes for, on true ones rarely
-        against. For false spans that prior weighs as much as a part of all candidates, since few of them may be there to
-        learn from; without it the model would tell two sorts of true spans apart instead.
+        against. For false spans that prior stands in for those that are missing from three tenths of all candidates;
+        without it, where hardly any are there to learn from, the model would tell two sorts of true spans apart instead.
         """
         p = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5))
-        heavy = max(10.0, 0.3 * n.sum())
         for _ in range(rounds):
             true, false = p * n, (1 - p) * n
+            heavy = max(10.0, 0.3 * n.sum() - false.sum())
             prior = (true.sum() + 1) / (n.sum() + 2)
             log = np.full(len(p), np.log(prior) - np.log(1 - prior))
             for j in range(votes.shape[1]):
