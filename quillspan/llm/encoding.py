@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -43,6 +44,12 @@ WORD = re.compile(r"[^ \t\r\n]+")
 WIDE = re.compile("[\uff00-\uffef\u3000\xa0\u2007\u202f]")
 INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff]")
 CYRILLIC_WORD = re.compile("[\u0400-\u04ff]+")
+RUSSIAN_WORD = re.compile("(?<![\u0400-\u04ff])[а-яё]{3,}(?![\u0400-\u04ff])")
+PURE_CYRILLIC = re.compile(r"[\u0400-\u04ff\W\d_]+")
+HEBREW_WORD = re.compile("[א-ת]{2,}")
+# How many of a thousand letters of Russian text each letter is.
+LETTER_SHARE = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 0.4), strict=True))
+LETTER_LOG = {c: math.log(n / 1000) for c, n in LETTER_SHARE.items()}
 RUSSIAN_VOWELS = frozenset("аеёиоуыэюяіїє")
 ODD_CASE = re.compile(r"[a-zа-яё][A-ZА-ЯЁ]")
 ANY_WORD = re.compile(r"[^\W\d_]{2,}")
@@ -57,10 +64,11 @@ def _kind(c: str) -> tuple[str, str]:
     return cat, script if script in ("LATIN", "CYRILLIC", "GREEK", "HEBREW") else ("LATIN" if cat[0] == "L" and c in "ªº" else script and "OTHER")
 
 
-def cost(t: str, mixed: bool = False) -> float:
+def cost(t: str, mixed: bool = False, line: str = "") -> float:
     """How implausible the characters of a word are: 0 for ordinary words of any language.
 
-    ``mixed``: the word stands in a line of arbitrary upper and lower case, so case tells nothing.
+    ``mixed``: the word stands in a line of arbitrary upper and lower case, so case tells nothing. ``line``: ``ru`` or ``he``
+    for a word in a line with words in small Russian or in Hebrew letters.
     """
     if t.isascii() and not HARD.search(t):
         return 0.0
@@ -92,6 +100,12 @@ def cost(t: str, mixed: bool = False) -> float:
                     total += 2.5
                 elif c != low and not mixed and before.isalpha() and after.islower():
                     total += 1
+                if low in "ãâ" and after in "œÿƒžšŸŽŠŒ":
+                    total += 1.5
+                if low in "ùûò" and not before.isalnum() and not after.isalnum():
+                    total += 2.2
+                if c == "ß" and before.lower() in "bcdfghjklmnpqrstvwxz":
+                    total += 2.2
                 if before >= "\x80" and before.isalpha() and _kind(before)[1] == "LATIN" and before not in "ªº" and (before + c).lower() not in USUAL_PAIRS:
                     total += 0.4 if c in CENTRAL or before in CENTRAL else 1.2
                 if c == low and not mixed and "A" <= before <= "Z" and "A" <= after <= "Z":
@@ -102,7 +116,7 @@ def cost(t: str, mixed: bool = False) -> float:
                     total += 2
             elif script == "CYRILLIC":
                 total += 0 if low in RUSSIAN else 2
-                total += 1 if strange_after and after not in "“„–—" else 0
+                total += 1.5 if strange_after and after not in "“„–—" else 0
             elif script == "OTHER" or script not in ("GREEK", "HEBREW"):
                 total += 3
             if before.isalpha() and before not in "ªº" and ("LATIN" if before < "\x80" else _kind(before)[1]) != script:
@@ -136,9 +150,25 @@ def cost(t: str, mixed: bool = False) -> float:
             total += 1.5
         if len(w) > 2 and not mixed and w[0].islower() and w[1:].isupper():
             total += 2.2
+        elif line == "ru" and not mixed and w.isupper() and (gain := likely(_recoded(w, "cp1251", "koi8-r")) - likely(w)) > 0.8:
+            total += 1.5 + gain
+    if t[0] == "ô" and re.fullmatch("ô[A-Za-z]+ö[.,;:!?]*", t):
+        total += 2.2  # quotes in another set
+    if line and all("à" <= c <= "ÿ" for c in t if c.isalpha()) and sum(c.isalpha() for c in t) > 1:
+        total += 1.5
     return total
 
 
+def likely(w: str) -> float:
+    """Logarithm of a Russian word's likelihood by the frequency of its letters."""
+    return sum(LETTER_LOG.get(c, -7.0) for c in w.lower())
+
+
+def script_of_line(t: str) -> str:
+    """``ru`` if the line has words in small Russian letters, ``he`` if it has Hebrew ones."""
+    return "ru" if RUSSIAN_WORD.search(t) else "he" if HEBREW_WORD.search(t) else ""
+
+
 def _byte_of(name: str) -> dict[str, int]:
     """Character to byte in a character set; bytes it leaves out stand for the control characters of their number."""
     out = {}
@@ -227,22 +257,34 @@ UTF8_OPS = [("utf8", name, case) for case in ("same", "any") for name in SHOWN_A
 ALL_OPS = [*UTF8_OPS, *(("recode", a, b) for a in SHOWN_AS if a not in ("cp1253", "cp1254", "iso8859-15") for b in MEANT if a != b)]
 
 
-def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str, ...], ...]]:
+def search(word: str, mixed: bool = False, line: str = "") -> tuple[str, float, tuple[tuple[str, ...], ...]]:
     """The cheapest text reachable from a word, the cost it saves, and the operations that lead there.
 
     Best first: the queue is ordered by the text's cost plus what its operations cost. A state is visited once. A
     successor is kept if it is cheaper than its parent, so the search ends by itself. A word that becomes plausible
     by exchanging letters for those they look like is no case of a wrong encoding and is left alone.
     """
-    start = cost(word, mixed)
+    start = cost(word, mixed, line)
     if (plain := _unescaped(word)) != word and not plain.isascii():
-        new, saved, ops = search(plain, mixed)
+        new, saved, ops = search(plain, mixed, line)
         return new, max(saved, MARGIN), (("unescape",), *ops)
     bare = unicodedata.normalize("NFC", WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), INVISIBLE.sub("", word)))
     for plain in (bare, skeleton(bare), cyrillic_skeleton(bare)):
-        spelled = plain == bare and any(_utf8_runs(word, BYTES[n], False) != word for n in ("latin-1", "cp1252"))
-        if plain != word and cost(plain, mixed) <= 0.6 and not spelled and not HARD.search(word):
+        healed = [h for n in ("latin-1", "cp1252", "cp1251") if (h := _utf8_runs(word, BYTES[n], False)) != word]
+        spelled = any(cost(h, mixed, line) == 0 for h in healed)
+        if plain != word and cost(plain, mixed, line) <= 0.6 and not spelled and not HARD.search(word):
             return word, 0.0, ()
+    for ops in (UTF8_OPS, ALL_OPS):  # what spells UTF-8 is no chance; other sets are only tried where that explains nothing
+        best, rank, used = _cheapest(word, start, ops, mixed, line)
+        if start - rank >= MARGIN and cost(best, mixed, line) <= 0.6:
+            break
+    if any(o[0] == "recode" for o in used) and cost(best, mixed, line) > 0.6:
+        return word, 0.0, ()  # bytes of one set can be read in any other: only a wholly plausible result counts
+    return best, start - rank, used
+
+
+def _cheapest(word: str, start: float, tried: list, mixed: bool, line: str) -> tuple[str, float, tuple[tuple[str, ...], ...]]:
+    """The best-first search itself: the cheapest text, its cost with that of its operations, and these."""
     best, best_cost, best_ops = word, start, ()
     seen = {hash(word)}
     queue: list[tuple[float, int, str, float, tuple]] = [(start, 0, word, start, ())]
@@ -256,19 +298,18 @@ def search(word: str, mixed: bool = False) -> tuple[str, float, tuple[tuple[str,
         if own == 0 or len(ops) >= DEPTH:
             continue
         paid = rank - own
-        for op in ALL_OPS:
+        for op in tried:
             new = apply(op, text)
             if new == text or hash(new) in seen:
                 continue
             seen.add(hash(new))
             price = STEP + (0.6 if op[0] == "recode" else 0.2 if op[-1] == "any" else 0)
-            c = cost(new, mixed)
-            if c + price < own:
+            c = cost(new, mixed, line)
+            # a text that spells UTF-8 may have to pass through control characters on its way
+            if c + price < own + (10 if op[0] == "utf8" and op[2] == "same" else 0):
                 count += 1
                 heapq.heappush(queue, (c + paid + price, count, new, c, (*ops, op)))
-    if any(o[0] == "recode" for o in best_ops) and cost(best, mixed) > 0.6:
-        return word, 0.0, ()  # bytes of one set can be read in any other: only a wholly plausible result counts
-    return best, start - best_cost, best_ops
+    return best, best_cost, best_ops
 
 
 def of_mixed_case(t: str) -> bool:
@@ -280,29 +321,30 @@ class Repairer:
     """Repairs texts word by word and remembers the words it has seen."""
 
     def __init__(self, most_words: int = 200_000) -> None:
-        self.words: dict[tuple[str, bool], tuple[str, bool, tuple]] = {}
+        self.words: dict[tuple[str, bool, str], tuple[str, bool, tuple]] = {}
         self.most = most_words
 
-    def word(self, w: str, mixed: bool = False) -> tuple[str, bool, tuple]:
-        got = self.words.get((w, mixed))
+    def word(self, w: str, mixed: bool = False, line: str = "") -> tuple[str, bool, tuple]:
+        got = self.words.get((w, mixed, line))
         if got is None:
             if len(self.words) >= self.most:  # only frees memory: a word that comes again is searched again
                 self.words.clear()
             hard = bool(HARD.search(w))
-            suspicious = hard or cost(w, mixed) >= MARGIN or bool(ESCAPED.search(w))
-            new, saved, ops = search(w, mixed) if suspicious else (w, 0.0, ())
+            suspicious = hard or cost(w, mixed, line) >= MARGIN or bool(ESCAPED.search(w))
+            new, saved, ops = search(w, mixed, line) if suspicious else (w, 0.0, ())
             wrong = hard or saved >= MARGIN
-            got = self.words[w, mixed] = (new if wrong else w, wrong, ops if wrong else ())
+            got = self.words[w, mixed, line] = (new if wrong else w, wrong, ops if wrong else ())
         return got
 
-    def _hebrew(self, w: str, result: tuple, parts: list) -> tuple:
-        """Words shown in Western letters may be Russian or Hebrew; Hebrew has no capitals, and its letters end earlier."""
+    def _hebrew(self, w: str, result: tuple, parts: list, line: str) -> tuple:
+        """Words shown in Western letters may be Russian or Hebrew: what the rest of the line is, else - Hebrew has no
+        capitals, and its letters end earlier - what their letters allow."""
         ops = result[2]
-        if len(ops) == 1 and ops[0][0] == "recode" and ops[0][1] in ("latin-1", "cp1252") and ops[0][2] == "cp1251":
+        if len(ops) == 1 and ops[0][0] == "recode" and ops[0][1] in ("latin-1", "cp1252") and ops[0][2] in ("cp1251", "cp1255"):
             shown = [c for m in parts for c in m[0] if "À" <= c <= "ÿ"]
-            if all("à" <= c <= "ú" for c in shown):
-                op = ("recode", ops[0][1], "cp1255")
-                return apply(op, w), True, (op,)
+            hebrew = line == "he" or not line and all("à" <= c <= "ú" for c in shown)
+            op = ("recode", ops[0][1], "cp1255" if hebrew else "cp1251")
+            return apply(op, w), True, (op,)
         return result
 
     def text(self, t: str) -> tuple[bool, str, bool]:
@@ -310,19 +352,19 @@ class Repairer:
         parts = [m for m in WORD.finditer(t) if not m[0].isascii() or ESCAPED.search(m[0]) or HARD.search(m[0])]
         if not parts:
             return False, t, True
-        mixed = of_mixed_case(t)
-        results = [self.word(m[0], mixed) for m in parts]
+        mixed, line = of_mixed_case(t), script_of_line(t)
+        results = [self.word(m[0], mixed, line) for m in parts]
         if not any(r[1] for r in results):
             return False, t, True
-        results = [self._hebrew(m[0], r, parts) for m, r in zip(parts, results, strict=True)]
+        results = [self._hebrew(m[0], r, parts, line) for m, r in zip(parts, results, strict=True)]
         usual = Counter(r[2] for r in results if r[1] and r[2]).most_common(1)
         out, at = [], 0
         for m, (new, wrong, _) in zip(parts, results, strict=True):
-            if not wrong and usual:  # a word that is plausible by chance was garbled along with the others
+            if not wrong and usual and not (PURE_CYRILLIC.fullmatch(m[0]) and not m[0].isupper()):  # a word that is plausible by chance was garbled along with the others
                 other = m[0]
                 for op in usual[0][0]:
                     other = apply(op, other)
-                if cost(other, mixed) <= cost(m[0], mixed):
+                if cost(other, mixed, line) <= cost(m[0], mixed, line):
                     new = other
             out += [t[at : m.start()], new]
             at = m.end()
