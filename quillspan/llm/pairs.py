@@ -59,7 +59,7 @@ DECLINED = re.compile(r"declin|refus|can't assist|cannot assist|can't help|canno
 
 # Frequent small words of each language.
 SMALL_WORDS = {
-    "en": "the a an and of in to with that this was were is are had have has so because before after while until unless although both every for from its their our his her it at as or when where which not but could would by on behind beside",
+    "en": "the a an and of in to with that this was were is are had have has so because before after while until unless although both every for from its their our his her it at as or when where which not but could would by on behind beside those these this most some two our my your no from",
     "fr": "le la les un une des du de et est a à avec sans pour dans sur qui que ne pas plus très dès après avant pendant depuis malgré chez sa son ses cette cet ce au aux été en notre côté tôt",
     "de": "der die das und den dem des ein eine einen einer ist wird wurde mit von zu über für nach vor während trotz ohne gemäß im am aus auf alle jede jeden keine nicht mehr ältere später laut siehe in zur zum",
     "es": "el la los las un una y de del en con sin por para no su sus más todavía durante después según ningún sólo al junto a través desde otra otro que se dos",
@@ -101,7 +101,7 @@ def language_scores(t: str) -> dict[str, float]:
     """Evidence per Latin-script language: small words it has (shared ones count less), and letters that hint at it."""
     score = dict.fromkeys(SMALL_WORDS, 0.0)
     for w in TOKEN.findall(t):
-        if w[0].isupper() and len(w) > 3:
+        if w[0].isupper() and len(w) > 3 and w.lower() not in _OWN:
             continue
         w = w.lower()
         for part in re.split(r"['’]", w):
@@ -119,6 +119,23 @@ def language_scores(t: str) -> dict[str, float]:
     return score
 
 
+def possible_languages(t: str) -> set[str]:
+    """The languages that have all of a short text's small words and accented letters; empty where nothing tells."""
+    s = script_of(t)
+    if s in ("ru", "he"):
+        return {s}
+    left, told = set(SMALL_WORDS), False
+    for w in TOKEN.findall(t):
+        for part in re.split(r"['’]", w.lower()):
+            own = set(_OWN.get(part, ()))
+            if own and left & own:
+                left, told = left & own, True
+        for c in w.lower():
+            if c in LETTER_HINTS and left & (own := set(LETTER_HINTS[c].split())):
+                left, told = left & own, True
+    return left if told else set()
+
+
 def language_of(t: str) -> str:
     """``ru``, ``he``, one of the Latin-script languages, or '' where nothing tells."""
     s = script_of(t)
@@ -169,14 +186,10 @@ def defects(query: str | None, text: str | None, known: int | None, final: int |
         out.append("refusal")
     rest = continuation(query or "", text)
     if not out and q:
-        a, b = language_of(query or ""), language_of(rest)
-        if b and a and a != b:
-            if a in SMALL_WORDS and b in SMALL_WORDS:
-                s = language_scores(rest)
-                other = s[b] >= s[a] + 1
-            else:
-                other = True
-            if other:
+        may, b = possible_languages(query or ""), language_of(rest)
+        if b and may and b not in may:
+            found = language_scores(rest)
+            if b not in found or found[b] >= max((found[x] for x in may if x in found), default=0) + 1:
                 out.append("other_language")
     word, tail = ending(text)
     closing = tail.strip("\"'”’»)]} ")
