@@ -126,6 +126,8 @@ def possible_languages(t: str) -> set[str]:
         return {s}
     left, told = set(SMALL_WORDS), False
     for w in TOKEN.findall(t):
+        if re.match(r"(?:[dlnscjmt]|qu)['’]", w.lower()) and "fr" in left:
+            left, told = {"fr"}, True
         for part in re.split(r"['’]", w.lower()):
             own = set(_OWN.get(part, ()))
             if own and left & own:
