@@ -405,3 +405,17 @@ def test_query_log_and_entry(spark, sentences):
     assert best_completions(sentences(["a"]), "a").count() == 1
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_main(spark, archive, tmp_path, monkeypatch):
+    from quillspan.__main__ import main
+
+    monkeypatch.setenv("AUTOCOMPLETE_LOG_FILE", str(tmp_path / "a.log"))
+    monkeypatch.delenv("GEMINI_API_KEY", raising=False)
+    path = archive({"a.txt": "To be or not to be"})
+    for more, script in (([], ["to be", "/mode ai", "x", "~"]), (["--basic"], ["to be", "~"])):
+        out, typed = [], iter(script)
+        assert main(["--snapshots-dir", str(tmp_path / "none"), "--zip", path, "--cache", str(tmp_path / "c"), *more], spark, lambda p: next(typed), out.append) == 0
+        assert "1. To be or not to be (a.txt:0, score=10)" in "\n".join(out) and out[-1] == "Goodbye."
+    for h in [h for h in logging.getLogger().handlers if getattr(h, "_quillspan", False)]:
+        logging.getLogger().removeHandler(h)
