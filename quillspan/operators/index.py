@@ -26,9 +26,11 @@ def trigram_pairs(sentences: DataFrame) -> DataFrame:
     return sentences.select(F.explode(F.array_distinct(trigrams(F.col("normalized_text")))).alias("trigram"), "sentence_id")
 
 
-def postings(pairs: DataFrame, key: str) -> DataFrame:
-    """``(key, ids)`` with sorted distinct ids. A key of most rows becomes one long array; use the pairs at large scale."""
-    return pairs.groupBy(key).agg(F.sort_array(F.collect_set("sentence_id")).alias("ids"))
+def postings(pairs: DataFrame, key: str, span: int = 1 << 20) -> DataFrame:
+    """``(key, part, ids)`` with sorted distinct ids. A part covers ``span`` ids, so no list holds more than that, and a key
+    that most lines have is spread over as many rows as it needs."""
+    part = F.floor(F.col("sentence_id") / span).cast("long").alias("part")
+    return pairs.groupBy(key, part).agg(F.sort_array(F.collect_set("sentence_id")).alias("ids"))
 
 
 def posting_sizes(pairs: DataFrame, key: str) -> DataFrame:
@@ -42,12 +44,10 @@ def vocabulary(sentences: DataFrame) -> DataFrame:
 
 def index_counts(sentences: DataFrame) -> DataFrame:
     """One row: ``sentences``, ``words``, ``trigrams``."""
-    n = sentences.agg(F.count(F.lit(1)).alias("sentences"))
-    w = vocabulary(sentences).agg(F.count(F.lit(1)).alias("words"))
-    t = sentences.select(F.explode(F.array_distinct(trigrams(F.col("normalized_text")))).alias("t")).distinct().agg(F.count(F.lit(1)).alias("trigrams"))
-    # three single rows side by side, by a constant key
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(n).join(one(w), "_one").join(one(t), "_one").select("sentences", "words", "trigrams")
+    grams = sentences.select(F.explode(F.array_distinct(trigrams(F.col("normalized_text")))).alias("t")).distinct()
+    parts = (("sentences", sentences), ("words", vocabulary(sentences)), ("trigrams", grams))
+    counts = [d.agg(*[(F.count(F.lit(1)) if name == own else F.lit(0).cast("long")).alias(name) for name, _ in parts]) for own, d in parts]
+    return reduce(DataFrame.unionByName, counts).agg(*[F.sum(name).alias(name) for name, _ in parts])
 
 
 def word_candidates(pairs: DataFrame, word: str) -> DataFrame:

@@ -132,8 +132,9 @@ ORACLES["trigram_postings"] = LINES + GRAMS + "SELECT trigram, count(*) AS lines
 def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Words in two lines or more, their first and last line and the length of the list."""
     n = lines.numbered(from_documents(table(spark, sf, "documents")))
-    p = index.postings(index.word_pairs(n), "word").where(F.size("ids") > 1)
-    return p.select("word", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+    p = index.postings(index.word_pairs(n), "word")
+    whole = p.groupBy("word").agg(F.sum(F.size("ids")).alias("n"), F.min(F.element_at("ids", 1)).alias("first"), F.max(F.element_at("ids", -1)).alias("last"))
+    return whole.where("n > 1")
 
 
 ORACLES["posting_lists"] = IDS + ", w AS (SELECT DISTINCT word, sentence_id FROM (SELECT unnest(string_split(normalized_text, ' ')) AS word, sentence_id FROM n) WHERE word <> '') SELECT word, count(*) AS n, min(sentence_id) AS first, max(sentence_id) AS last FROM w GROUP BY word HAVING count(*) > 1"
