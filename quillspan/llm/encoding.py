@@ -131,6 +131,8 @@ def cost(t: str, mixed: bool = False, line: str = "") -> float:
             total += 0.2
         elif cat == "Cf":
             total += 0.2
+        elif c == "·" and lettered == 2 and before not in "lL":
+            total += 2.2
         elif c in "’·-‑":
             total += 0 if lettered == 2 else 0.2
         elif c in QUOTES:
