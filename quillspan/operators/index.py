@@ -108,7 +108,7 @@ def candidates(sentences: DataFrame, query: str, pairs: DataFrame | None = None,
     asked = sentences.sparkSession.createDataFrame([(w,) for w in wanted], "asked string")
     unknown = asked.join(held, F.col("asked") == F.col("word"), "left_anti")
     # each unknown word against the vocabulary: a query has a handful of words, so they are the broadcast side
-    close = table.select("word").join(F.broadcast(unknown), F.levenshtein("word", "asked", 1) >= 0).select("word").distinct()
+    close = table.select("word").distinct().join(F.broadcast(unknown), F.levenshtein("word", "asked", 1) >= 0).select("word").distinct()
     fuzzy = table.join(close, "word", "left_semi").select("sentence_id")
     return exact.select("sentence_id").union(fuzzy).union(by_trigram).distinct()
 
