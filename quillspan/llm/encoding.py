@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .letters import cyrillic_skeleton, skeleton
 
 # Character sets whose bytes may have been shown for those of another.
-SHOWN_AS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8-r", "cp1253", "cp1254", "cp1255", "iso8859-2", "iso8859-15")
+SHOWN_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866", "koi8-r", "cp1253", "cp1254", "cp1255", "iso8859-2", "iso8859-15")
 MEANT = ("cp1252", "cp1251", "cp1255", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-5")
 # Letters that Western European text uses, lower case; pairs of accented letters that are usual; letters
 # of other European alphabets.
@@ -361,12 +361,14 @@ class Repairer:
         results = [self._hebrew(m[0], r, parts, line) for m, r in zip(parts, results, strict=True)]
         usual = Counter(r[2] for r in results if r[1] and r[2]).most_common(1)
         out, at = [], 0
-        for m, (new, wrong, _) in zip(parts, results, strict=True):
-            if not wrong and usual and not (PURE_CYRILLIC.fullmatch(m[0]) and not m[0].isupper()):  # a word that is plausible by chance was garbled along with the others
+        for m, (new, _, ops) in zip(parts, results, strict=True):
+            # words of one line were garbled alike: what most of them underwent is tried for those that are plausible by
+            # chance, and for those that could be read in other ways as well
+            if usual and ops != usual[0][0] and not (PURE_CYRILLIC.fullmatch(m[0]) and not m[0].isupper()):
                 other = m[0]
                 for op in usual[0][0]:
                     other = apply(op, other)
-                if cost(other, mixed, line) <= cost(m[0], mixed, line):
+                if cost(other, mixed, line) <= cost(new, mixed, line):
                     new = other
             out += [t[at : m.start()], new]
             at = m.end()
