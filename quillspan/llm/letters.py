@@ -3,8 +3,8 @@
 # Letters of other scripts, and variants, next to the Latin letter each looks like.
 LATIN_LOOKS = dict(
     zip(
-        "аеорсухіјѕһԁԛԝӏкАВЕЅЗКМНОРСТУХІЈԌ" + "οναιρυχκγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ" + "օսոհցԼՕՍ" + "ɑıɡʏɪɩꞵᴏᴠᴡᴢᴜ",
-        "aeopcyxijshdqwlkABES3KMHOPCTYXIJG" + "ovaipuxkyABEZHIKMNOPTYXcj" + "ounhgLOU" + "aigyiiBovwzu",
+        "аеорсухіјѕһԁԛԝӏкАВЕЅЗКМНОРСТУХІЈԌ" + "οναιρυχκγόίΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ" + "օսոհցԼՕՍ" + "ɑıɡʏɪɩꞵᴏᴠᴡᴢᴜ",
+        "aeopcyxijshdqwlkABES3KMHOPCTYXIJG" + "ovaipuxkyóíABEZHIKMNOPTYXcj" + "ounhgLOU" + "aigyiiBovwzu",
         strict=True,
     )
 )

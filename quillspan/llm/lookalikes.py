@@ -127,7 +127,9 @@ def normalized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
             out[place[grown] + k] = t.more[t.at[low[grown]] + k]
         row = np.repeat(row, count)
         new = out
-    points = new.astype(np.uint32)
+    # letters before marks, so that a mark is composed with the letter its word needs
+    points, changed = _letters(new.astype(np.uint32), row, n, t)
+    np.bitwise_or.at(found, row[changed], np.uint8(LETTER))
 
     # marks: each pass joins the first mark after a letter to it, until no pair has a composed letter
     while len(points) > 1:
@@ -147,8 +149,6 @@ def normalized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         stay[at] = False
         points, row = points[stay], row[stay]
 
-    points, changed = _letters(points, row, n, t)
-    np.bitwise_or.at(found, row[changed], np.uint8(LETTER))
     start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
     return to_strings(points, start, valid), found
 
