@@ -230,8 +230,17 @@ def similar_classes(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
 
 
 def near_classes(df: DataFrame, record_id: str, text: str, t: float = 0.8, least_words: int = 5) -> DataFrame:
-    """``(a, b)``: pairs of representatives of classes with equal word sets; see ``near_pairs``."""
-    return similar_classes(word_sets(df, record_id, text, least_words), t)[1]
+    """``(kind, a, b)``: a row ``member`` for every record with at least ``least_words`` distinct words, with its id and its
+    class (the smallest id with the same words), and a row ``link`` for every two classes with a Jaccard similarity of at
+    least ``t``, ``a < b``. A class without a link, and one of a single record, has its members all the same.
+
+    Records that are null, short or repeated are treated as in ``near_pairs``: the first two are in no class, and a repeated
+    row is one member.
+    """
+    sets = word_sets(df, record_id, text, least_words)
+    classes, links = similar_classes(sets, t)
+    members = sets.select("_id", "_sig").join(classes.select("_sig", "rep"), "_sig").select(F.col("_id").alias("a"), F.col("rep").alias("b")).distinct()
+    return members.select(F.lit("member").alias("kind"), "a", "b").unionByName(links.select(F.lit("link").alias("kind"), "a", "b"))
 
 
 def near_pairs(df: DataFrame, record_id: str, text: str, t: float = 0.7, least_words: int = 14) -> DataFrame:

@@ -119,7 +119,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of representatives of classes with equal word sets, for five words or more and a similarity of 0.8."""
+    """Every line's class of equal word sets, and the links between classes, for five words or more and a similarity of 0.8."""
     from .nearlines import near_classes
 
     return near_classes(table(spark, sf, "sentences"), "sentence_id", "original_text")

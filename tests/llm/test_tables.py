@@ -161,6 +161,23 @@ def test_many_equal_lines_meet_once(spark):
     assert got == {(i, 1000) for i in range(400)} | {(i, 1001) for i in range(400)} | {(1000, 1001)}
 
 
+def test_near_classes_hold_every_line(spark):
+    rng = random.Random(9)
+    rows = lines(rng, 120, (5, 12), 25, 3)
+    lone = [f"x{i}" for i in range(7)]
+    rows += [(200, " ".join(lone)), (201, " ".join(reversed(lone))), (202, " ".join(lone[3:] + lone[:3])), (203, "y1 y2 y3 y4 y5"), (204, "y1 y2 y3 y4"), (200, " ".join(lone))]
+    df = spark.createDataFrame([*rows, (205, None), (None, "z1 z2 z3 z4 z5")], "id long, txt string")
+    got = [tuple(r) for r in nearlines.near_classes(df, "id", "txt").select("kind", "a", "b").collect()]
+    sets = {i: frozenset(normalize_text(x).split()) for i, x in rows}
+    sets = {i: s for i, s in sets.items() if len(s) >= 5}
+    rep = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    links = {(a, b) for a, b in brute_pairs(rows, 0.8, 5) if rep[a] == a and rep[b] == b}
+    assert len(got) == len(set(got)) and links
+    assert {(a, b) for k, a, b in got if k == "link"} == links
+    assert {a: b for k, a, b in got if k == "member"} == rep
+    assert len(got) == len(rep) + len(links) and rep[202] == 200 and rep[203] == 203 and len(set(rep.values())) < len(rep) - 5
+
+
 # packing
 
 
