@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # First-person phrases that decline to write, per language (matched in lower case).
 REFUSALS = re.compile(
     "|".join(
@@ -81,6 +83,9 @@ UNFINISHED = frozenset(
     " и в на по до из без под над от к с у о об для при за через не или что как его их".split()
 )
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+# A word stands at proper ends as good as never below the share SELDOM; a share is judged as if WEIGHT more uses
+# with the USUAL share of ends (5-10 % of the words in each language) had been seen, so that a few uses decide nothing.
+SELDOM, USUAL, WEIGHT = 0.02, 0.06, 6
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 
 
@@ -147,6 +152,14 @@ def language_of(t: str) -> str:
     return ranked[0][1] if ranked[0][0] >= 0.9 and ranked[0][0] >= ranked[1][0] + 0.5 else ""
 
 
+def told_language(t: str) -> str:
+    """``language_of``, or the one language that a text with little evidence can be in."""
+    found = language_of(t)
+    if not found and len(may := possible_languages(t)) == 1:
+        found = next(iter(may))
+    return found
+
+
 def continuation(query: str, text: str) -> str:
     """The text without the query in front of it (compared by words)."""
     q, at, k = words_of(query), 0, 0
@@ -175,9 +188,19 @@ def ending(t: str) -> tuple[str, str]:
     return (last[0].lower(), t[last.end() :].strip()) if last else ("", t.strip())
 
 
-def defects(query: str | None, text: str | None, known: int | None, final: int | None, longer: bool | None) -> list[str]:
+def broken(known: int, final: int, longer: int) -> bool:
+    """Whether a last word is a piece of a word, or one that needs a next one.
+
+    A piece is hardly seen beside the ``longer`` words it begins, and not at ends; shares only, so the size of the table
+    doesn't matter.
+    """
+    n = known + final
+    return n < SELDOM * longer and final <= SELDOM * n or final + WEIGHT * USUAL < SELDOM * (n + WEIGHT)
+
+
+def defects(query: str | None, text: str | None, known: int | None, final: int | None, longer: int | None) -> list[str]:
     """The defects of one pair. ``known``/``final``: how often the text's last word stands inside or at a proper end of
-    other texts; ``longer``: whether it begins another known word."""
+    other texts in its language; ``longer``: how often words stand there that it begins."""
     if text is None or not any(c.isalnum() for c in text):
         return ["empty"]
     q, own = set(words_of(query or "")), set(words_of(text))
@@ -201,12 +224,12 @@ def defects(query: str | None, text: str | None, known: int | None, final: int |
         if closing or word in UNFINISHED:
             out.append("truncated")
         elif not word.isdigit():
-            n, f = known or 0, final or 0
-            if n + f == 0 and longer or n >= 30 and f < 0.02 * (n + f):
+            if broken(known or 0, final or 0, longer or 0):
                 out.append("truncated")
     return out
 
 
+COUNTS = ("known", "final", "longer")
 SCHEMA = "response_id long, rank_no int, defect string"
 
 
@@ -221,20 +244,40 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(rank, pa.int32()), pa.array(defect, pa.string())], names=["response_id", "rank_no", "defect"])
 
 
+def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their language."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([told_language(t) for t in b.column(0).to_pylist()], pa.string())], names=["_t", "_lang"])
+
+
+PAIR = "response_id long, rank_no int, query string, _text string, _lang string"
+
+
+def _pair_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the language in which the answer ends: that of what follows the query, else of the whole text."""
+    for b in batches:
+        lang = [(told_language(continuation(q or "", t)) or told_language(t)) if t else "" for q, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string())], names=["response_id", "rank_no", "query", "_text", "_lang"])
+
+
 def last_word(c: str) -> Column:
     return F.lower(F.regexp_extract(F.col(c), r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)[^\p{L}\p{N}]*$", 1))
 
 
-def word_statistics(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """``(word, known, final)`` over all texts - how often a word stands before another one, and how often a text ends
-    with it and a full stop - and ``(word, longer)``, the proper beginnings of those words."""
-    t = texts.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("_t"))
-    parts = t.select(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)).alias("_w"), F.col("_t").rlike(r"[^.…][.!?][\"'”’»)\]]*\s*$").alias("_e"))
-    flat = parts.select(F.size("_w").alias("_n"), "_e", F.posexplode("_w").alias("_p", "word"))
+def word_statistics(texts: DataFrame, text: str) -> DataFrame:
+    """``(_lang, word, known, final, longer)``: per language, and under '' over all texts, how often a word stands before
+    another one, how often a text ends with it and a full stop, and how often longer words stand there that it begins."""
+    t = texts.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("_t")).mapInArrow(_languages, "_t string, _lang string")
+    parts = t.select("_lang", F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)).alias("_w"), F.col("_t").rlike(r"[^.…][.!?][\"'”’»)\]]*\s*$").alias("_e"))
+    flat = parts.select("_lang", F.size("_w").alias("_n"), "_e", F.posexplode("_w").alias("_p", "word"))
     inside = F.col("_p") < F.col("_n") - 1
-    stats = flat.groupBy("word").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("known"), F.sum(F.when(~inside & F.col("_e"), 1).otherwise(0)).alias("final"))
-    begins = stats.where((F.col("known") + F.col("final") >= 1) & (F.length("word") > 1)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word")).distinct()
-    return stats, begins.withColumn("longer", F.lit(True))
+    uses = stored(flat.groupBy("_lang", "word").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("known"), F.sum(F.when(~inside & F.col("_e"), 1).otherwise(0)).alias("final")))
+    every = uses.groupBy("word").agg(F.sum("known").alias("known"), F.sum("final").alias("final")).select(F.lit("").alias("_lang"), "word", "known", "final")
+    stats = uses.where(F.col("_lang") != "").unionByName(every)
+    begun = stats.where(F.length("word") > 1).select("_lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), (F.col("known") + F.col("final")).alias("longer"))
+    none = F.lit(0).cast("long")
+    both = stats.select("*", none.alias("longer")).unionByName(begun.select("_lang", "word", none.alias("known"), none.alias("final"), "longer"))
+    return both.groupBy("_lang", "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def defective(requests: DataFrame, responses: DataFrame, suggestions: DataFrame, most_results: int = 5) -> DataFrame:
@@ -255,7 +298,12 @@ def defective(requests: DataFrame, responses: DataFrame, suggestions: DataFrame,
     none = both.where(F.col("_s").isNull() & F.col("query").rlike(r"[^\s ​]") & (F.coalesce("most", F.lit(0)) <= most_results))
     silent = none.select("response_id", F.lit(0).alias("rank_no"), F.when(F.col("error").rlike("(?i)" + DECLINED.pattern), "refusal").otherwise("empty").alias("defect"))
 
-    stats, begins = word_statistics(suggestions, "text")
-    pairs = both.where(F.col("_s").isNotNull()).select("response_id", "rank_no", "query", "_text", F.when(~F.col("_text").rlike(r"[.!?][\"'”’»)\]]*\s*$"), last_word("_text")).alias("word"))
-    judged = pairs.join(stats, "word", "left").join(begins, "word", "left").select("response_id", "rank_no", "query", "_text", "known", "final", "longer")
+    pairs = both.where(F.col("_s").isNotNull()).select("response_id", "rank_no", "query", "_text").mapInArrow(_pair_languages, PAIR)
+    pairs = stored(pairs.withColumn("word", F.when(~F.col("_text").rlike(r"[.!?][\"'”’»)\]]*\s*$"), last_word("_text"))))
+    stats = stored(word_statistics(suggestions, "text").join(pairs.select("word").distinct(), "word", "left_semi"))
+    own, every = stats.where(F.col("known") + F.col("final") + F.col("longer") > 0), stats.where(F.col("_lang") == "")
+    every = every.select("word", *(F.col(c).alias(f"_{c}") for c in COUNTS))
+    # a word that its language doesn't have at all is looked up in all texts
+    found = [F.when(F.col("known").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in COUNTS]
+    judged = pairs.join(own, ["_lang", "word"], "left").join(every, "word", "left").select("response_id", "rank_no", "query", "_text", *found)
     return judged.mapInArrow(_rows, SCHEMA).unionByName(silent.select("response_id", F.col("rank_no").cast("int"), "defect"))

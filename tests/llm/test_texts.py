@@ -129,6 +129,26 @@ def test_broken_words():
     assert pairs.defects("The pump", "The pump met Zorblax", 0, 0, None) == []
 
 
+@pytest.mark.parametrize("scale", [1, 10, 100])
+def test_broken_words_at_any_size(scale):
+    """A piece with stray uses is a piece, a word with ends is sound, however large the table."""
+    assert pairs.defects("The pump", "The pump moved in the mir", scale, 0, 300 * scale) == ["truncated"]
+    assert pairs.defects("The pump", "The pump moved the key", 80 * scale, 9 * scale, 300 * scale) == []
+    assert pairs.defects("The pump", "The pump moved the quest", 3 * scale, 2 * scale, 300 * scale) == []
+
+
+@pytest.mark.parametrize("copies", [1, 8, 40])
+def test_words_of_other_languages_do_not_count(spark, copies):
+    """'mir' is a German word, and a piece of 'mirror' in English."""
+    known = ["The pump is behind the mirror.", "The mirror was in the old house.", "Der alte Tisch ist von mir und der Frau.", "Das war nicht von mir."]
+    rows = [(9, 1, "The old pump was seen in the mir"), (9, 2, "Der neue Stuhl ist nicht von mir"), *((8, k, t) for k, t in enumerate(known * copies))]
+    req = spark.createDataFrame([(1, 0, "The old pump", "AI", 3)], "request_id long, attempt int, query string, mode string, max_results long")
+    resp = spark.createDataFrame([(9, 1, None)], "response_id long, request_id long, error string")
+    sug = spark.createDataFrame(rows, "response_id long, rank_no int, text string")
+    got = {tuple(r) for r in pairs.defective(req, resp, sug).collect()}
+    assert got == {(9, 1, "truncated"), (9, 2, "other_language")}
+
+
 def test_defective_table(spark):
     req = spark.createDataFrame([(1, 1, "old", "CORPUS", 5), (1, 2, "The pump", "AI", 0), (2, 1, "The pump", "AI", 6), (3, 1, None, "AI", 1), (4, 1, "The pump", "AI", None), (5, 1, "The pump", "CORPUS", 1), (6, 1, "The pump", "AI", 5)], "request_id long, attempt int, query string, mode string, max_results long")
     res = spark.createDataFrame([(10, 1, None), (20, 2, "too many"), (30, 3, "blank"), (40, 4, "request was turned down"), (50, 5, None), (60, 6, "timed out"), (None, 1, None)], "response_id long, request_id long, error string")
