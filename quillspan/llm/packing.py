@@ -1,8 +1,8 @@
 """Problem 8: documents into containers of a fixed number of tokens.
 
-Within a shard, Martello and Toth's reduction first fixes small sets that provably dominate every other set holding their
-largest document (for every packing there is one at least as good that has them); what is left is packed by best fit,
-largest first. Shards hold a bounded number of documents, so a shard costs at most its last, partly filled containers.
+Within a shard, Martello and Toth's reduction first fixes small sets that provably dominate every other set holding the
+document they start from (for every packing there is one at least as good that has them); what is left is packed by best
+fit, largest first. Shards hold a bounded number of documents, so a shard costs at most its last, partly filled containers.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ class Sizes:
 def dominant_set(left: Sizes, largest: int, capacity: int) -> list[int] | None:
     """The sizes that, with ``largest``, dominate every set that holds it; None if none of up to three does.
 
-    ``left`` is without ``largest``. A set dominates another if the other's documents can be put, in groups, into places
+    ``left`` is without ``largest``; it holds all other sizes, larger ones too. A set dominates another if the other's documents can be put, in groups, into places
     of single documents of the first that are no smaller.
     """
     room = capacity - largest
@@ -116,21 +116,32 @@ def insort_back(left: Sizes, s: int) -> None:
     left.count[s] = left.count.get(s, 0) + 1
 
 
-def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers as lists of sizes (each from 1 to ``capacity``)."""
+def reduced(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Containers that some packing with the fewest containers has, and the sizes they leave, from the largest on.
+
+    A size without a dominating set stays in the instance, so that the sets of smaller ones are held against those with it
+    as well; it is only not tried again as the start of a set.
+    """
     left = Sizes(sizes)
     done: list[list[int]] = []
-    rest: list[int] = []
-    while left.order:
-        j = left.order[-1]
+    j = left.largest(capacity)
+    while j:
         left.take(j)
         fixed = dominant_set(left, j, capacity)
         if fixed is None:
-            rest.append(j)
+            insort_back(left, j)
+            j = left.largest(j - 1)
             continue
         for s in fixed:
             left.take(s)
         done.append([j, *fixed])
+        j = left.largest(j)
+    return done, [s for s in reversed(left.order) for _ in range(left.count[s])]
+
+
+def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Containers as lists of sizes (each from 1 to ``capacity``)."""
+    done, rest = reduced(sizes, capacity)
     room: list[tuple[int, int]] = []  # free room of open containers, in order
     open_: list[list[int]] = []
     for s in rest:  # from the largest on

@@ -239,6 +239,24 @@ def test_fixed_sets_cost_nothing():
     assert fixed > 50
 
 
+def test_whole_reduction_costs_nothing():
+    """All sets put aside together, by search: what is left needs just the other containers."""
+    assert packing.pack_sizes([45, 10, 10, 10], 100) == [[45, 10, 10, 10]]
+    rng = random.Random(6)
+    fixed = several = extra = 0
+    for _ in range(200):
+        cap = rng.randint(8, 60)
+        sizes = [rng.randint(1, max(2, cap * rng.choice([1, 2]) // 3)) for _ in range(9)]
+        done, rest = packing.reduced(sizes, cap)
+        fewest = best(sizes, cap)
+        assert sorted([*rest, *(s for c in done for s in c)]) == sorted(sizes) and all(sum(c) <= cap for c in done)
+        assert len(done) + best(rest, cap) == fewest, (sizes, cap, done)
+        containers = packing.pack_sizes(sizes, cap)
+        assert sorted(s for c in containers for s in c) == sorted(sizes) and all(sum(c) <= cap for c in containers)
+        fixed, several, extra = fixed + len(done), several + bool(done and rest), extra + len(containers) - fewest
+    assert fixed > 50 and several > 20 and extra <= 10
+
+
 def test_packed_table(spark):
     text = "word " * 50
     docs = spark.createDataFrame([(1, text, 9), (2, None, 9), (3, "", 9), (4, "hi there", 9), (4, "hi there", 9), (None, "x", 9), (5, "x <|endoftext|> y", 9)], "doc_id long, text string, container int")
