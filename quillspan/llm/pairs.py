@@ -1,8 +1,8 @@
 """Problem 7: prompt and answer pairs with a defect.
 
 Rules in order: nothing there, only the prompt's words, a phrase that declines, another script or language, an end that
-breaks off. An empty pair has no other defect, a copied one no defect of its ending or language; otherwise every rule that
-fires gives a row.
+breaks off. An empty pair has no other defect, nor has a copied one (it continues nothing, and its words end where the
+prompt's do); a refusal has no other language (it continues nothing either). Otherwise every rule that fires gives a row.
 """
 
 from __future__ import annotations
