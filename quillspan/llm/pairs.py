@@ -211,8 +211,11 @@ def defects(query: str | None, text: str | None, known: int | None, final: int |
         out.append("refusal")
     rest = continuation(query or "", text)
     if not out and q:
+        asked, given = script_of(query or ""), script_of(rest)
         may, b = possible_languages(query or ""), language_of(rest)
-        if b and may and b not in may:
+        if asked and given and asked != given:
+            out.append("other_language")
+        elif b and may and b not in may:
             found = language_scores(rest)
             if b not in found or found[b] >= max((found[x] for x in may if x in found), default=0) + 1:
                 out.append("other_language")

@@ -129,6 +129,17 @@ def test_broken_words():
     assert pairs.defects("The pump", "The pump met Zorblax", 0, 0, None) == []
 
 
+@pytest.mark.parametrize(
+    ("query", "text", "want"),
+    [
+        ("Kloteli harbor", "Каждая строка ждёт новой проверки.", ["other_language"]), ("Kloteli harbor", "Kloteli harbor הספר הישן שומר את התשובות.", ["other_language"]), ("Каждая строка", "pumps moved quickly.", ["other_language"]),
+        ("Kloteli harbor", "Kloteli harbor pumps moved quickly.", []), ("Kloteli", "Kloteli ждёт новой проверки.", []), ("Каждая строка", "Каждая строка Gudeplur.", []),
+    ],
+)
+def test_scripts_tell_without_small_words(query, text, want):
+    assert pairs.defects(query, text, 50, 40, None) == want
+
+
 @pytest.mark.parametrize("scale", [1, 10, 100])
 def test_broken_words_at_any_size(scale):
     """A piece with stray uses is a piece, a word with ends is sound, however large the table."""
