@@ -40,6 +40,10 @@ ESCAPED = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});|\\
 #: What a row must hold to be looked at (Java syntax): anything beyond ASCII, or an escape.
 LOOKED_AT = r"[^\x00-\x7f]|[\x01-\x08\x0e-\x1f\x7f]|&#?\w{2,8};|\\[ux][0-9a-fA-F]{2}|(%[89A-Fa-f][0-9A-Fa-f]){2}|(=[89A-F][0-9A-F]){2}"
 MARGIN, STEP, DEPTH = 0.9, 0.5, 5
+#: Cost from which a word is garbled though nothing repairs it.
+LOST = 6
+#: What is left of a letter spelled in UTF-8 whose last byte was dropped.
+CUT = re.compile("[a-zß-ÿ][ÂÃÐÑ][a-zß-ÿ]")
 WORD = re.compile(r"[^ \t\r\n]+")
 WIDE = re.compile("[\uff00-\uffef\u3000\xa0\u2007\u202f]")
 INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff]")
@@ -319,6 +323,22 @@ def of_mixed_case(t: str) -> bool:
     return sum(1 for m in ANY_WORD.finditer(t) if ODD_CASE.search(m[0])) >= 2 and sum(1 for m in ANY_WORD.finditer(t) if m[0].isascii() and ODD_CASE.search(m[0])) >= 1
 
 
+def lost(word: str, mixed: bool = False, line: str = "") -> bool:
+    """Whether a word that nothing repairs shows wrong characters all the same: bytes dropped on the way, or a set not known
+    here. It must be implausible in each form of what it may look like, have signs or capitals among its letters, and hold
+    Latin and Cyrillic letters only: words of other scripts can't be judged."""
+    if not mixed and CUT.search(word):
+        return True
+    bare = unicodedata.normalize("NFC", WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), INVISIBLE.sub("", word)))
+    letters = [c for c in bare if c >= "\x80" and c.isalpha() and c not in "ªºµ"]
+    if len(letters) < 2 or any(_kind(c)[1] not in ("LATIN", "CYRILLIC") for c in letters):
+        return False
+    inner = list(zip(bare, bare[1:], bare[2:], strict=False))
+    odd = sum(c >= "\x80" and _kind(c)[0] in ("No", "Sm", "Sc", "Sk", "So", "Po") and c not in QUOTES and (a.isalpha() or b.isalpha()) for a, c, b in inner)
+    odd += 0 if mixed else sum(a.islower() and c.isupper() for a, c, _ in inner)
+    return odd >= 2 and min(cost(x, mixed, line) for x in (bare, skeleton(bare), cyrillic_skeleton(bare))) >= LOST
+
+
 class Repairer:
     """Repairs texts word by word and remembers the words it has seen."""
 
@@ -335,6 +355,8 @@ class Repairer:
             suspicious = hard or cost(w, mixed, line) >= MARGIN or bool(ESCAPED.search(w))
             new, saved, ops = search(w, mixed, line) if suspicious else (w, 0.0, ())
             wrong = hard or saved >= MARGIN
+            if suspicious and not wrong and lost(w, mixed, line):
+                wrong, new, ops = True, w, ()
             got = self.words[w, mixed, line] = (new if wrong else w, wrong, ops if wrong else ())
         return got
 
@@ -360,8 +382,8 @@ class Repairer:
             return False, t, True
         results = [self._hebrew(m[0], r, parts, line) for m, r in zip(parts, results, strict=True)]
         usual = Counter(r[2] for r in results if r[1] and r[2]).most_common(1)
-        out, at = [], 0
-        for m, (new, _, ops) in zip(parts, results, strict=True):
+        out, at, whole = [], 0, True
+        for m, (new, wrong, ops) in zip(parts, results, strict=True):
             # words of one line were garbled alike: what most of them underwent is tried for those that are plausible by
             # chance, and for those that could be read in other ways as well
             if usual and ops != usual[0][0] and not (PURE_CYRILLIC.fullmatch(m[0]) and not m[0].isupper()):
@@ -370,10 +392,11 @@ class Repairer:
                     other = apply(op, other)
                 if cost(other, mixed, line) <= cost(new, mixed, line):
                     new = other
+            whole = whole and not (wrong and new == m[0])
             out += [t[at : m.start()], new]
             at = m.end()
         fixed = "".join([*out, t[at:]])
-        return True, fixed, not HARD.search(fixed)
+        return True, fixed, whole and not HARD.search(fixed)
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +411,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``(rec_id, repaired, whole)`` for every record whose text shows wrongly decoded characters.
 
-    ``whole`` is false where something stays lost (replacement or control characters). No shuffle: rows of plain ASCII are
+    ``whole`` is false where something stays lost (replacement or control characters, words nothing repairs). No shuffle: rows of plain ASCII are
     dropped by the JVM, the others are searched where they are read. Null or empty texts are never garbled, null ids stay
     null, repeated rows are reported each; an empty table gives an empty result. Only the two named columns are read.
     """

@@ -42,6 +42,16 @@ def test_repairs(wrong, right):
     assert found and (right is None or fixed == right and whole)
 
 
+@pytest.mark.parametrize("wrong", ["数据库测试文件".encode("gbk").decode("latin-1"), "資料庫測試".encode("big5").decode("latin-1"), "日本語のテキスト".encode("shift_jis").decode("mac_roman"), "die neue StraÃe"])
+def test_what_nothing_repairs_is_reported(wrong):
+    assert encoding.Repairer().text(wrong) == (True, wrong, False)
+
+
+@pytest.mark.parametrize("text", ["x²+y²≤r² für ΔE≈½mv²", "NGUYỄN ĐẶNG Thị Hằng", "ZAŻÓŁĆ GĘŚLĄ", "әңгімелеу қазақша", "İstanbul'da ŞİŞLİ", "Python入門と日本語", "ёлка/ёж·№5"])
+def test_unusual_text_is_not_lost(text):
+    assert not any(encoding.lost(w) for w in text.split())
+
+
 def test_look_alikes_are_no_wrong_encoding():
     for t in ("thе quiеt hаrbor", "Νο frοzen rivеr", "нoвoй пpoвepки", "ａｍｂｅｒ café", "café", "Por\xa0três pontes", "sl​ow"):
         assert not encoding.Repairer().text(t)[0], t
