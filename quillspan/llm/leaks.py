@@ -1,6 +1,6 @@
 """Problem 9: passages of held-out items inside documents.
 
-Of every window of words of an item the rarest n-gram is a seed. Documents are cut into words once, all documents of a batch
+Every n-gram of an item is a seed; where only long runs of equal words are asked for, the rarest of every window. Documents are cut into words once, all documents of a batch
 in one array; seeds are found by their rolling hash. Around each seed the item is aligned with the document (Smith-Waterman,
 all candidates of a batch at once), which scores edited copies, and the same table tells the longest run of equal words.
 """
@@ -21,7 +21,7 @@ from .common import mix
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, SLACK = 5, 12
-#: Every so many consecutive words of an item hold a seed.
+#: Every so many consecutive words of an item hold a seed, where only longer runs are asked for.
 SEEDED = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items that one pass over the documents may carry; a larger set is taken in several passes.
@@ -158,12 +158,12 @@ def _search(items: Items, least_score: int):
     return run
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 13, least_score: int = 20) -> DataFrame:
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 13, least_score: int = 20, seeded: int = GRAM) -> DataFrame:
     """``(doc_id, item_id, score, longest_run)`` once per pair: the best local alignment of an item with a document, in
     matched words times two less edits, and the most consecutive words both have.
 
-    Every run of ``SEEDED`` words of an item holds a seed, so no run of ``window`` words is missed; edited passages are found
-    as far as one seed of five words is left whole. Documents are read once, where they are, and not moved. The items are carried to
+    Every run of ``seeded`` words of an item holds a seed, so no run of ``window`` words is missed; edited passages are found
+    as far as so many consecutive words (five, if not told otherwise) are left whole. Documents are read once, where they are, and not moved. The items are carried to
     them in blocks of at most ``BLOCK_BYTES`` of text; a larger set takes a pass per block.
 
     Nulls: null texts hold nothing, items with a null id or text and documents with a null id are left out. Items shorter
@@ -178,7 +178,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     found = None
     for k in range(blocks):
         part = known.where(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == k).orderBy("_i", "_t").collect()
-        block = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in part], min(window, SEEDED)))
+        block = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in part], min(window, seeded)))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             yield from _search(block.value, least_score)(batches)
@@ -190,5 +190,5 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
 def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 13) -> DataFrame:
     """``(doc_id, item_id)``: pairs that have ``window`` consecutive words in common."""
-    pairs = leaks(documents, doc_id, text, items, item_id, item_text, window, MATCH * window)
+    pairs = leaks(documents, doc_id, text, items, item_id, item_text, window, MATCH * window, SEEDED)
     return pairs.where(F.col("longest_run") >= window).select("doc_id", "item_id").distinct()

@@ -233,6 +233,13 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), "id", "t", it, "iid", "it").count() == 0 and leaks.leaks(df, "id", "t", it.limit(0), "iid", "it").count() == 0
 
 
+def test_passage_with_any_five_words_left_whole(spark):
+    words = [f"w{i}" for i in range(48)]
+    docs = [(k, " ".join(w if k <= i < k + 5 or i % 4 else f"x{i}" for i, w in enumerate(words))) for k in range(44)]
+    got = leaks.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(7, " ".join(words))], "i long, t string"), "i", "t").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(44)) and all(r["item_id"] == 7 and r["score"] >= 55 for r in got)
+
+
 def test_edited_passage(spark):
     item = "the narrow readers of the old diagram approved that urban engineer separately after the late owner claimed every orchard"
     edited = item.replace("urban", "rural").replace("late ", "")
