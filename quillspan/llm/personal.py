@@ -80,6 +80,7 @@ PHONES = [
         r"0\d{2,4}/\d{5,9}(?:-\d{1,5})?",
         rf"\+46-\d{{1,3}}-?\d{{2,3}}(?:{S}\d{{2,3}}){{1,3}}",
         rf"\+\d{{1,3}}(?:[ \-.]\(?\d{{1,5}}\)?){{2,6}}",
+        r"\+[1-9]\d{7,14}",
     )
 ]
 PHONE_START = re.compile(r"(?<![\w.,+(\-/])(?:\+\d|\(\d{3}\)|\d{3}[-.]\d{3}[-.]|0\d)|(?<=[|>*,;=(])\(?(?:\+\d|\d{3}[-.]\d{3}[-.]|0\d)")
@@ -296,14 +297,21 @@ def _names(t: str, beside: list[tuple[int, int]]) -> Iterator[Span]:
                     taken = x.end()
         elif len(w) > 2 and t[m.end() : m.end() + 1] in (" ", "\n", ","):  # a first name that isn't known, where a person is named
             left = t[max(0, a - 40) : a]
-            if TITLE_VERB.search(left) or PERSON.search(left):
+            closed = w[1:].islower() and CLOSING.search(left)
+            if TITLE_VERB.search(left) or PERSON.search(left) or closed or w[1:].islower() and PLACE_OF_NAME.search(left):
                 x = AFTER_FIRST.match(t, m.end())
-                if x and x[1].lower() not in THINGS:
+                if x and x[1].lower() not in THINGS and (not closed or not t[x.end() :].split("\n")[0].strip(" \t\r,.|")):
                     yield "name", a, x.end(), votes(a, x.end(), 0, 1 if "." in x[0] else 0)
                     taken = x.end()
 
 
 PERSON = re.compile(r"(?:\b(?:Dear|Hello|Signed:|Herr|Frau|Mme)\s|\bname=)$")
+# Salutations, titles and names of fields before, and farewells above, a name that may be unknown.
+PLACE_OF_NAME = re.compile(
+    r"(?:\b(?:Hi|Hey|Herrn|Mlle|Monsieur|Madame|Miss|Sra?\.?|Señora?|Bonjour|Cher|Chère|Hallo|Lieber?|Hola|Estimad[oa]|Caro|Cara|Olá|[Ss]igned by)[ ]|"
+    r"(?:^|\n)[>|*•\- \t]*(?:From|To|Cc|Attn|Author|Owner|Contact|Name|Nom|Nombre|Nome)[ ]?:[ ]?|\b(?:name|nom|nombre|nome|contact|user|customer|kunde)=)$"
+)
+CLOSING = re.compile(r"\b(?:Regards|regards|Best|Thanks|Thank you|Cheers|Sincerely|Yours(?: \w+)?|Cordialement|Bien à vous|Grüßen|Grüße|Gruß|Saludos|Atentamente|Atenciosamente|Abraços|С уважением),?[ \t]*\r?\n[>|*•\- \t]*$")
 
 
 def candidates(t: str) -> list[Span]:

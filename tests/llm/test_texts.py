@@ -283,6 +283,16 @@ def test_personal_spans():
     ]
 
 
+@pytest.mark.parametrize(("text", "value"), [("call +442071234567 today", "+442071234567"), ("tel +4915112345678.", "+4915112345678"), ("Thanks,\nZorbina Kletterman\n", "Zorbina Kletterman"), ("From: Zorbina Kletterman\nhello", "Zorbina Kletterman"), ("Hi Zorbina Kletterman,\nhello", "Zorbina Kletterman")])
+def test_compact_numbers_and_unknown_names_are_candidates(text, value):
+    assert value in [text[c[1] : c[2]] for c in personal.candidates(text)]
+
+
+@pytest.mark.parametrize("text", ["THE LEXERS FROM THE LEDGER REPORTED", "offset +1234567", "Thanks,\nDas Gebäude ist alt", "a letter from Zorbina Kletterman"])
+def test_no_candidates_in_running_text(text):
+    assert not [c for c in personal.candidates(text) if c[0] in ("name", "phone")]
+
+
 def test_model_tells_votes_apart():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
