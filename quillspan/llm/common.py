@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+__all__ = ["NORMALIZED", "hot_keys", "joined", "mix", "spread", "stored", "table"]
+
 #: The project's normalization as a SQL expression over a column name (ASCII letters, digits, single spaces).
 NORMALIZED = r"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ''), ' +', ' '))"
 
@@ -21,28 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="quillspan-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    atexit.register(shutil.rmtree, own, True)
-    return own
+def spread(spark: SparkSession) -> int:
+    """Number of reduce partitions the session is configured for."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as a table in the shared folder and read again: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """``(key)`` of the keys with more than ``limit`` rows, counted exactly and in each task first; at most rows / ``limit``."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > limit).select(key)
 
 
-def spread(spark: SparkSession) -> int:
-    """Number of reduce partitions the session is configured for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def joined(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key at most, where a key may hold a great part of ``left``.
+
+    Rows of null keys meet nothing and are not moved. Rows of ``hot`` keys stay where they are and the keys' few rows are
+    broadcast to them; only the others are shuffled.
+    """
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+    some = left.where(F.col(key).isNotNull())
+    if hot is None:
+        out = some.join(right, key, how)
+    else:
+        few = F.broadcast(hot)
+        cold = some.join(few, key, "left_anti").join(right, key, how)
+        warm = some.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+        out = cold.unionByName(warm)
+    return out if how == "inner" else out.unionByName(left.where(F.col(key).isNull()).select("*", *more))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,13 +54,3 @@ def mix(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
-
-
-def batch_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    """A record batch in the schema's order and types."""
-    return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in schema], schema=schema)
-
-
-def with_number(df: DataFrame, id_col: str) -> DataFrame:
-    """Only a helper for tables whose id may be null: rows without an id cannot be reported and are left out."""
-    return df.where(F.col(id_col).isNotNull())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, joined, spread, stored
 
 #: One field: a name, ``=`` or ``:``, a value without separators of fields.
 FIELD = r"^[^\p{L}\p{N}]*([\p{L}_][\p{L}\p{N}_.\-]*)\s*[=:]\s*([^=:;|,]*[\p{L}\p{N}][^=:;|,]*)$"
@@ -44,17 +44,35 @@ def _keyed(df: DataFrame, record_id: str, text: str) -> DataFrame:
     return rows.select(F.col(f"`{record_id}`").alias("_id"), *keys_of(t))
 
 
-def class_keys(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``(_id, _k)``: the key of the class of copies that each record belongs to."""
-    return linked(_keyed(df, record_id, text))
+def link_keys(keyed: DataFrame) -> DataFrame:
+    """``(_k, _g)``: the letters of every line of fields, once, with the key of the fields' class."""
+    return keyed.where(F.col("_kf").isNotNull()).groupBy("_k").agg(F.min("_kf").alias("_g"))
 
 
-def linked(keyed: DataFrame) -> DataFrame:
-    """``_k`` replaced by the class's key: that of the fields, also for lines with the letters of a line of fields."""
-    # one small row per distinct key of field lines: which field class the letters belong to
-    links = keyed.where(F.col("_kf").isNotNull()).groupBy("_k").agg(F.min("_kf").alias("_g")).withColumnRenamed("_k", "_lk")
-    rest = [c for c in keyed.columns if c not in ("_k", "_kf")]
-    return keyed.join(links, F.col("_k") == F.col("_lk"), "left").select(*rest, F.coalesce("_g", "_k").alias("_k"))
+def copy_classes(rows: DataFrame, limit: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(hot, classes)`` of stored ``(_id, _k, _kf)``: the hot keys, and a row ``(_k, keep_id, copies)`` per distinct key of
+    letters, with the smallest id and the size of the class of copies it belongs to.
+
+    Keys are counted exactly, with partial counts in each task. Those with more than ``limit`` rows are grouped in two
+    levels, under a salt and then without; all others take one shuffle. A field line's letters belong to the class of its
+    fields; those classes are grouped from rows of distinct keys, which holds for keys of fields that are hot as well.
+    """
+    hot = stored(hot_keys(rows, "_k", limit))
+    few = F.broadcast(hot)
+    of = [F.min("_m").alias("_m"), F.sum("_c").alias("_c"), F.min("_kf").alias("_g")]
+    one = rows.select("_k", F.col("_id").alias("_m"), F.lit(1).cast("long").alias("_c"), "_kf", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_s"))
+    cold = one.join(few, "_k", "left_anti").groupBy("_k").agg(*of)
+    salted = one.join(few, "_k", "left_semi").groupBy("_k", "_s").agg(F.min("_m").alias("_m"), F.sum("_c").alias("_c"), F.min("_kf").alias("_kf"))
+    keys = stored(cold.unionByName(salted.groupBy("_k").agg(*of)))
+    alone = keys.where(F.col("_g").isNull()).select("_k", F.col("_m").alias("keep_id"), F.col("_c").alias("copies"))
+    linked = keys.where(F.col("_g").isNotNull()).select("_g", "_k", "_m", "_c")
+    groups = linked.groupBy("_g").agg(F.min("_m").alias("keep_id"), F.sum("_c").alias("copies"))
+    return hot, alone.unionByName(joined(linked.select("_g", "_k"), groups, "_g", hot_keys(linked, "_g", limit), "inner").select("_k", "keep_id", "copies"))
+
+
+def _stored_keys(df: DataFrame, record_id: str, text: str, hot: int | None) -> tuple[DataFrame, int]:
+    rows = stored(_keyed(df, record_id, text))
+    return rows, hot or max(10_000, rows.count() // (4 * spread(df.sparkSession)))
 
 
 def copy_groups(df: DataFrame, record_id: str, text: str, hot: int | None = None, salts: int = 64) -> DataFrame:
@@ -65,44 +83,27 @@ def copy_groups(df: DataFrame, record_id: str, text: str, hot: int | None = None
     four or more fields also if their fields agree in any order. A line of fields and a line with the same letters but
     other marks are linked through their common letters, so groups are whole classes, not chains cut short.
 
-    Keys are counted first, with partial counts in each task. Keys with more than ``hot`` rows (default: a share of
-    the rows that one partition would hold) are grouped in two levels, under a salt and then without, and joined back by
-    broadcast - there are at most rows / ``hot`` of them; all other keys take one shuffle. The keeper is the minimum id.
+    The keys of all rows are computed once and stored (24 bytes a row). Keys with more than ``hot`` rows (default: a share of
+    the rows that one partition would hold) are salted, and their classes broadcast to their rows, which stay where they are
+    - there are at most rows / ``hot`` of them. The keeper is the minimum id.
 
     Nulls: rows with a null text or id, and texts without a letter or digit, are in no group and don't appear. Repeated
     ids count as copies of themselves. An empty table gives an empty result; clashing extra columns are never read.
     """
-    spark = df.sparkSession
-    rows = stored(class_keys(df, record_id, text))
-    counts = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = hot or max(10_000, total // (4 * parts))
-    heavy = stored(counts.where(F.col("_n") > limit))
-    few = heavy.count()  # at most total / limit <= 4 * parts rows
-    if not few:
-        return _one_level(rows).select(F.col("_id").alias(record_id), "keep_id", "copies")
-    keys = F.broadcast(heavy.select("_k"))
-    cold = _one_level(rows.join(keys, "_k", "left_anti"))
-    held = rows.join(keys, "_k", "left_semi")
-    salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
-    level1 = held.groupBy("_k", salt.alias("_s")).agg(F.min("_id").alias("_m"), F.count(F.lit(1)).alias("_c"))
-    level2 = level1.groupBy("_k").agg(F.min("_m").alias("keep_id"), F.sum("_c").alias("copies"))
-    warm = held.join(F.broadcast(level2), "_k").select("_id", "keep_id", "copies")
-    return cold.unionByName(warm).select(F.col("_id").alias(record_id), "keep_id", "copies")
-
-
-def _one_level(rows: DataFrame) -> DataFrame:
-    group = Window.partitionBy("_k")
-    return rows.select("_id", F.min("_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("copies"))
-
-
-def collapsed(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """One row per group: ``(keep_id, copies)``."""
-    return copy_groups(df, record_id, text).where(F.col(record_id) == F.col("keep_id")).select("keep_id", "copies").distinct()
-
-
-def further_copies(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``(keep_id, copy_id)`` for every record that is not its group's keeper."""
-    g = copy_groups(df, record_id, text)
-    return g.where(F.col(record_id) != F.col("keep_id")).select("keep_id", F.col(record_id).alias("copy_id"))
+    rows, limit = _stored_keys(df, record_id, text, hot)
+    keys, classes = copy_classes(rows, limit, salts)
+    return joined(rows.select("_id", "_k"), classes, "_k", keys, "inner").select(F.col("_id").alias(record_id), "keep_id", "copies")
+
+
+def collapsed(df: DataFrame, record_id: str, text: str, hot: int | None = None) -> DataFrame:
+    """One row per group: ``(keep_id, copies)``. Rows are only grouped, never joined back."""
+    rows, limit = _stored_keys(df, record_id, text, hot)
+    return copy_classes(rows, limit)[1].select("keep_id", "copies").distinct()
+
+
+def further_copies(df: DataFrame, record_id: str, text: str, hot: int | None = None) -> DataFrame:
+    """``(keep_id, copy_id)`` for every record that is not its group's keeper; only keys of groups of several are joined."""
+    rows, limit = _stored_keys(df, record_id, text, hot)
+    keys, classes = copy_classes(rows, limit)
+    found = joined(rows.select("_id", "_k"), classes.where(F.col("copies") > 1), "_k", keys, "inner")
+    return found.where(F.col("_id") != F.col("keep_id")).select("keep_id", F.col("_id").alias("copy_id"))

@@ -417,3 +417,15 @@ def garbled(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """
     rows = df.where(F.col(f"`{text}`").rlike(LOOKED_AT)).select(F.col(f"`{record_id}`").cast("long").alias("rec_id"), F.col(f"`{text}`").alias("_t"))
     return rows.mapInArrow(_repaired, "rec_id long, repaired string, whole boolean")
+
+
+def garbled_rows(df: DataFrame, text: str, wanted: bool = True) -> DataFrame:
+    """The rows of a table whose text is garbled, or (``wanted`` false) those whose text isn't; all columns as they are."""
+    at, schema = df.columns.index(text), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Repairer()
+        for b in batches:
+            yield b.filter(pa.array([t is not None and r.text(t)[0] is wanted or t is None and not wanted for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, schema)

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from .letters import CYRILLIC_LOOKS, LATIN_LOOKS
 
 # Characters without width, and spaces that don't break.
-ZERO_WIDTH = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-NO_BREAK = "   "
+ZERO_WIDTH = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff" + "\U000e0001" + "".join(map(chr, range(0xE0020, 0xE0080)))
+NO_BREAK = "\u00a0\u2007\u202f"
 WIDTH, ACCENT, ZERO, SPACE, LETTER = 1, 2, 4, 8, 16
-TOP = 0x10000
+#: All code points; beyond the second plane there are ideographs, selectors and tags only.
+TOP, SECOND = 0x110000, 0x20000
 _LATIN, _CYRILLIC, _GREEK, _ARMENIAN, _OTHER = 1, 2, 3, 4, 5
 
 
@@ -32,30 +33,39 @@ class Tables:
 
     def __init__(self) -> None:
         self.flag = np.zeros(TOP, np.uint8)
-        self.count = np.ones(TOP, np.int64)
+        self.count = np.ones(TOP, np.uint8)
         self.first = np.arange(TOP, dtype=np.uint32)
-        self.at = np.zeros(TOP, np.int64)
+        self.at = np.zeros(TOP, np.uint32)
         more: list[int] = []
         self.mark = np.zeros(TOP, bool)
+        self.mark[0xE0100:0xE01F0] = True
+        self.styled = np.zeros(TOP, bool)
         self.script = np.zeros(TOP, np.uint8)
+        self.script[SECOND:0xE0000] = _OTHER
         pairs: dict[int, int] = {}
-        for cp in range(0x80, TOP):
+        for cp in range(SECOND):
             c = chr(cp)
+            cat = unicodedata.category(c)
+            if cat == "Cn":
+                continue
+            if cat[0] == "L" and c not in "ªº":
+                name = unicodedata.name(c, "").split(" ")[0]
+                self.script[cp] = {"LATIN": _LATIN, "CYRILLIC": _CYRILLIC, "GREEK": _GREEK, "ARMENIAN": _ARMENIAN}.get(name, _OTHER)
+            self.mark[cp] = cat == "Mn"
             d = unicodedata.decomposition(c)
+            if not d:
+                continue
             if d.startswith(("<wide>", "<narrow>")) or cp == 0x3000 or 0xFB00 <= cp <= 0xFB06:
                 to = unicodedata.normalize("NFKC", c)
                 self.flag[cp] = WIDTH
                 self.count[cp], self.at[cp], self.first[cp] = len(to), len(more), ord(to[0])
                 more += map(ord, to)
-            elif d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", c) == c:
+            elif d.startswith("<font>"):  # letters and digits in the styles of mathematics
+                to = unicodedata.normalize("NFKC", c)
+                self.styled[cp], self.first[cp] = len(to) == 1, ord(to[0])
+            elif d[0] != "<" and " " in d and unicodedata.normalize("NFC", c) == c:
                 a, b = (int(x, 16) for x in d.split())
                 pairs[a << 32 | b] = cp
-            cat = unicodedata.category(c)
-            self.mark[cp] = cat == "Mn"
-        for cp in range(TOP):
-            if unicodedata.category(chr(cp))[0] == "L" and chr(cp) not in "ªº":
-                name = unicodedata.name(chr(cp), "").split(" ")[0]
-                self.script[cp] = {"LATIN": _LATIN, "CYRILLIC": _CYRILLIC, "GREEK": _GREEK, "ARMENIAN": _ARMENIAN}.get(name, _OTHER)
         for c in ZERO_WIDTH:
             self.flag[ord(c)], self.count[ord(c)] = ZERO, 0
         for c in NO_BREAK:
@@ -111,20 +121,26 @@ def normalized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if not len(points):
         return to_strings(points, start, valid), found
     row = np.repeat(np.arange(n), np.diff(start))
-    low = np.where(points < TOP, points, 0)
-    flag = t.flag[low]
+    flag = t.flag[points]
     np.bitwise_or.at(found, row[flag > 0], flag[flag > 0])
+    styled = t.styled[points]
+    if styled.any():  # a word in a style looks like another one; a single letter or a digit is a sign of mathematics, brought to the same form all the same
+        lettered = t.script[points] > 0
+        near = np.zeros(len(points), bool)
+        near[1:] = lettered[:-1] & (row[1:] == row[:-1])
+        near[:-1] |= lettered[1:] & (row[1:] == row[:-1])
+        found[row[styled & lettered & near]] |= LETTER
 
     # widths, spaces, zero-width characters, ligatures: gather, with offsets for what grows or goes
-    count = t.count[low]
-    new = np.where(points < TOP, t.first[low], points)
+    count = t.count[points].astype(np.int64)
+    new = t.first[points]
     if (count != 1).any():
         place = np.cumsum(count) - count
         out = np.repeat(new, count)
         many = np.flatnonzero(count > 1)
         for k in range(1, int(count.max()) if len(many) else 0):
             grown = many[count[many] > k]
-            out[place[grown] + k] = t.more[t.at[low[grown]] + k]
+            out[place[grown] + k] = t.more[t.at[points[grown]] + k]
         row = np.repeat(row, count)
         new = out
     # letters before marks, so that a mark is composed with the letter its word needs
@@ -133,7 +149,7 @@ def normalized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
     # marks: each pass joins the first mark after a letter to it, until no pair has a composed letter
     while len(points) > 1:
-        mark = t.mark[np.where(points < TOP, points, 0)]
+        mark = t.mark[points]
         at = np.flatnonzero(mark[1:] & ~mark[:-1] & (row[1:] == row[:-1])) + 1
         if not len(at):
             break
@@ -155,7 +171,7 @@ def normalized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _letters(points: np.ndarray, row: np.ndarray, n: int, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Look-alike letters brought to the script of their word; and which code points changed."""
-    low = np.where(points < TOP, points, 0)
+    low = points
     script = t.script[low]
     letter = (script > 0) | t.mark[low]
     look = (t.to_latin[low] > 0) & letter
@@ -197,7 +213,7 @@ def _letters(points: np.ndarray, row: np.ndarray, n: int, t: Tables) -> tuple[np
 
 def one_form(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``(rec_id, text, kinds)``: every row's text in one form; ``kinds`` has a bit for each sort of change (1 full width,
-    2 combining accent, 4 zero width, 8 non-breaking space, 16 look-alike letter).
+    2 combining accent, 4 zero width, 8 non-breaking space, 16 look-alike letter; none for single signs of mathematics).
 
     No shuffle. A null text stays null with kinds 0, an empty one empty; null ids and repeated rows are kept as they are;
     texts of any length are whole in their batch; extra columns are not read.
@@ -212,21 +228,16 @@ def one_form(df: DataFrame, record_id: str, text: str) -> DataFrame:
 
 
 def look_alike(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """``(rec_id, kinds)`` of the rows that hold such characters and aren't garbled by a wrong encoding.
+    """``(rec_id, kinds, text)`` of the rows that hold such characters, with the text as it stands.
 
-    Plain ASCII rows are dropped by the JVM; the encoding's search runs only over rows that changed.
+    Rows of plain ASCII are dropped by the JVM; the rest goes through the arrays of ``normalized``, nothing else.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .encoding import Repairer
-
-        r = Repairer()
         for b in batches:
             _, kinds = normalized(b.column(1))
             at = np.flatnonzero(kinds)
-            texts = b.column(1).take(pa.array(at)).to_pylist()
-            at = at[np.array([not r.text(x)[0] for x in texts], bool)] if len(at) else at
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(kinds[at].astype(np.int32))], names=["rec_id", "kinds"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(kinds[at].astype(np.int32)), b.column(1).take(pa.array(at))], names=["rec_id", "kinds", "text"])
 
     rows = df.where(F.col(f"`{text}`").rlike(r"[^\x00-\x7f]"))
-    return rows.select(F.col(f"`{record_id}`").cast("long").alias("rec_id"), F.col(f"`{text}`").alias("_t")).mapInArrow(run, "rec_id long, kinds int")
+    return rows.select(F.col(f"`{record_id}`").cast("long").alias("rec_id"), F.col(f"`{text}`").alias("_t")).mapInArrow(run, "rec_id long, kinds int, text string")

@@ -8,18 +8,19 @@ fit, largest first. Shards hold a bounded number of documents, so a shard costs
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary's tokenizer cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD = 20_000
@@ -34,11 +35,14 @@ def tokenizer(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, doc_id: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, tokens)``; a null text has none, a row with a null id is left out."""
+def token_counts(df: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
+    """``(doc_id, tokens)``; a null text has none, a row with a null id is left out. ``path`` names the vocabulary file on the
+    driver, which ships it to the executors."""
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "tokens"])
 
@@ -181,23 +185,23 @@ def pack_shard(docs: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
     return out + [(max(0, n - 1), doc, 0, 0, 0) for doc in empty]
 
 
-def packed(df: DataFrame, doc_id: str, text: str, capacities: DataFrame, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
+def packed(df: DataFrame, doc_id: str, text: str, capacities: DataFrame, path: str, shard: int = SHARD, most_capacities: int = 1000) -> DataFrame:
     """``(capacity_id, container, doc_id, piece, first_token, tokens)``: every document's place for every capacity.
 
     The text is tokenized where it is read; only ids and sizes are moved, in shards of about ``shard`` documents.
-    Capacities are a small table (at most 1,000 rows are accepted); one below 1 token or null holds nothing and is left
-    out. Documents without tokens take no room and lie in the shard's last container; null ids are left out; repeated
+    Capacities become part of the plan: more than ``most_capacities`` are refused, never cut; one below 1 token or null
+    holds nothing and is left out. Documents without tokens take no room and lie in the shard's last container; null ids are left out; repeated
     rows are packed each; an empty table gives an empty result; extra columns are not read.
     """
-    caps = capacities.select("capacity_id", "max_tokens").where(F.col("capacity_id").isNotNull() & (F.col("max_tokens") >= 1)).distinct().limit(1001).collect()
-    if len(caps) > 1000:
-        raise ValueError("more than 1,000 capacities")
+    caps = capacities.select("capacity_id", "max_tokens").where(F.col("capacity_id").isNotNull() & (F.col("max_tokens") >= 1)).distinct().limit(most_capacities + 1).collect()
+    if len(caps) > most_capacities:
+        raise ValueError(f"more than {most_capacities} capacities")
     sizes = stored(token_counts(df, doc_id, text, path))
     shards = 1 + sizes.count() // shard
-    each = F.explode(F.array(*[F.struct(F.lit(int(c[0])).cast("long").alias("capacity_id"), F.lit(int(c[1])).cast("long").alias("_cap")) for c in caps])) if caps else F.explode(F.array().cast("array<struct<capacity_id:bigint,_cap:bigint>>"))
     # numbers of rows in the stored table, so that rows with one and the same id are spread as well
     spread = sizes.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
-    rows = spread.select("doc_id", "tokens", "_shard", each.alias("_c")).select("doc_id", "tokens", "_shard", "_c.*")
+    each = F.array(*[F.struct(F.lit(int(c[0])).cast("long").alias("capacity_id"), F.lit(int(c[1])).cast("long").alias("_cap")) for c in caps]) if caps else F.array().cast("array<struct<capacity_id:bigint,_cap:bigint>>")
+    rows = spread.select("doc_id", "tokens", "_shard", F.explode(each).alias("_c")).select("doc_id", "tokens", "_shard", "_c.*")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         cap, s = int(part["_cap"].iloc[0]), int(key[1])

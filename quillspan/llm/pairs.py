@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, joined, spread, stored
 
 # First-person phrases that decline to write, per language (matched in lower case).
 REFUSALS = re.compile(
@@ -267,20 +267,30 @@ def last_word(c: str) -> Column:
     return F.lower(F.regexp_extract(F.col(c), r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)[^\p{L}\p{N}]*$", 1))
 
 
-def word_statistics(texts: DataFrame, text: str) -> DataFrame:
-    """``(_lang, word, known, final, longer)``: per language, and under '' over all texts, how often a word stands before
-    another one, how often a text ends with it and a full stop, and how often longer words stand there that it begins."""
+def word_statistics(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """``(_lang, word, known, final, longer)`` of the words ``asked`` (a column ``word``): per language, and under '' over all
+    texts, how often a word stands before another one, how often a text ends with it and a full stop, and how often longer
+    words stand there that it begins.
+
+    Words are counted in each task before they are moved. Of a longer word only those beginnings are looked at that are as
+    long as some word that is asked for, so a very long one costs no more than there are such lengths.
+    """
     t = texts.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("_t")).mapInArrow(_languages, "_t string, _lang string")
     parts = t.select("_lang", F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0)).alias("_w"), F.col("_t").rlike(r"[^.…][.!?][\"'”’»)\]]*\s*$").alias("_e"))
     flat = parts.select("_lang", F.size("_w").alias("_n"), "_e", F.posexplode("_w").alias("_p", "word"))
     inside = F.col("_p") < F.col("_n") - 1
     uses = stored(flat.groupBy("_lang", "word").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("known"), F.sum(F.when(~inside & F.col("_e"), 1).otherwise(0)).alias("final")))
-    every = uses.groupBy("word").agg(F.sum("known").alias("known"), F.sum("final").alias("final")).select(F.lit("").alias("_lang"), "word", "known", "final")
-    stats = uses.where(F.col("_lang") != "").unionByName(every)
-    begun = stats.where(F.length("word") > 1).select("_lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), (F.col("known") + F.col("final")).alias("longer"))
+    lengths = sorted(r[0] for r in asked.select(F.length("word")).distinct().collect() if r[0])  # a handful of numbers
+    if not lengths:
+        return uses.select("*", F.lit(0).cast("long").alias("longer")).limit(0)
     none = F.lit(0).cast("long")
-    both = stats.select("*", none.alias("longer")).unionByName(begun.select("_lang", "word", none.alias("known"), none.alias("final"), "longer"))
-    return both.groupBy("_lang", "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    begins = F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length("word")), lambda n: F.substring("word", F.lit(1), n)))
+    begun = uses.select("_lang", begins.alias("word"), none.alias("known"), none.alias("final"), (F.col("known") + F.col("final")).alias("longer"))
+    both = uses.where(F.length("word").isin(lengths)).select("*", none.alias("longer")).unionByName(begun)
+    own = both.groupBy("_lang", "word").agg(*(F.sum(c).alias(c) for c in COUNTS)).join(asked.select("word").distinct(), "word", "left_semi")
+    own = stored(own)
+    every = own.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)).select(F.lit("").alias("_lang"), "word", *COUNTS)
+    return own.where(F.col("_lang") != "").unionByName(every.select(*own.columns))
 
 
 def defective(requests: DataFrame, responses: DataFrame, suggestions: DataFrame, most_results: int = 5) -> DataFrame:
@@ -302,11 +312,16 @@ def defective(requests: DataFrame, responses: DataFrame, suggestions: DataFrame,
     silent = none.select("response_id", F.lit(0).alias("rank_no"), F.when(F.col("error").rlike("(?i)" + DECLINED.pattern), "refusal").otherwise("empty").alias("defect"))
 
     pairs = both.where(F.col("_s").isNotNull()).select("response_id", "rank_no", "query", "_text").mapInArrow(_pair_languages, PAIR)
+    # only a last word without a full stop has to be looked up; most pairs have none and are not moved
     pairs = stored(pairs.withColumn("word", F.when(~F.col("_text").rlike(r"[.!?][\"'”’»)\]]*\s*$"), last_word("_text"))))
-    stats = stored(word_statistics(suggestions, "text").join(pairs.select("word").distinct(), "word", "left_semi"))
-    own, every = stats.where(F.col("known") + F.col("final") + F.col("longer") > 0), stats.where(F.col("_lang") == "")
+    some = pairs.where(F.col("word") != "").select("_lang", "word").distinct()
+    stats = stored(word_statistics(suggestions, "text", some))
+    own, every = stats.where((F.col("_lang") != "") & (F.col("known") + F.col("final") + F.col("longer") > 0)), stats.where(F.col("_lang") == "")
     every = every.select("word", *(F.col(c).alias(f"_{c}") for c in COUNTS))
     # a word that its language doesn't have at all is looked up in all texts
     found = [F.when(F.col("known").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in COUNTS]
-    judged = pairs.join(own, ["_lang", "word"], "left").join(every, "word", "left").select("response_id", "rank_no", "query", "_text", *found)
+    known = stored(some.join(own, ["_lang", "word"], "left").join(every, "word", "left").select(F.to_json(F.struct("_lang", "word")).alias("_key"), *found))
+    asked = pairs.withColumn("_key", F.when(F.col("word") != "", F.to_json(F.struct("_lang", "word"))))
+    hot = stored(hot_keys(asked, "_key", max(10_000, pairs.count() // (4 * spread(pairs.sparkSession)))))
+    judged = joined(asked, known, "_key", hot).select("response_id", "rank_no", "query", "_text", *COUNTS)
     return judged.mapInArrow(_rows, SCHEMA).unionByName(silent.select("response_id", F.col("rank_no").cast("int"), "defect"))

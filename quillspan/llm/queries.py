@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: The vocabulary file that sizes are measured with.
+TOKENIZER = os.environ.get("QUILLSPAN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -98,9 +101,11 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows with such characters, less those that the search for wrong encodings finds among them."""
+    from .encoding import garbled_rows
     from .lookalikes import look_alike
 
-    return _both(look_alike, spark, sf, ALIKE).select("tbl", "rec_id").distinct()
+    return garbled_rows(_both(look_alike, spark, sf, ALIKE), "text", False).select("tbl", "rec_id").distinct()
 
 
 @query
@@ -160,7 +165,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import packed
 
-    return packed(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "capacities"))
+    return packed(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "capacities"), TOKENIZER)
 
 
 @query

@@ -16,7 +16,7 @@ RUNS = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run lengths over rows sorted by (term, record): a run of one term sums its weights, a change of record counts one.
+    """Run lengths over rows sorted by (term, record): a run of one term counts its rows, a change of record counts one.
 
     State between batches is the last term and record only, so a run may be of any length.
     """
@@ -26,7 +26,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        term, ids, weight = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        term, ids = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
         n = b.num_rows
         new_term = np.ones(n, bool)
         new_rec = np.ones(n, bool)
@@ -38,12 +38,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_rec[0] = not (same and ids[0] == last_rec)
         starts = np.flatnonzero(new_term)
         cut = np.concatenate([[0], starts]) if not (len(starts) and starts[0] == 0) else starts
-        sums = np.add.reduceat(weight, cut)
+        sums = np.diff(np.append(cut, n))
         recs = np.add.reduceat(new_rec.astype(np.int64), cut)
         names = term.take(pa.array(cut))
-        out_t: list[str] = []
-        out_o: list[np.ndarray] = []
-        out_r: list[np.ndarray] = []
         first = 0
         if same:
             occ, rec, first = occ + int(sums[0]), rec + int(recs[0]), 1
@@ -55,7 +52,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([names.slice(first, len(cut) - 1 - first), pa.array(sums[k], pa.int64()), pa.array(recs[k], pa.int64())], schema=RUNS)
             occ, rec = int(sums[-1]), int(recs[-1])
         last_term, last_rec = term[n - 1].as_py(), int(ids[n - 1])
-        del out_t, out_o, out_r
     if last_term is not None:
         yield pa.RecordBatch.from_arrays([pa.array([last_term]), pa.array([occ], pa.int64()), pa.array([rec], pa.int64())], schema=RUNS)
 
@@ -63,7 +59,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``(term, occurrences, records)`` for every non-empty space-separated part of ``text``.
 
-    Equal terms of one record are summed before anything moves. The pairs are range-partitioned by term *and* record, so a
+    Every occurrence is a pair (term, record); nothing is summed before they move. The pairs are range-partitioned by term *and* record, so a
     term that stands in a third of all rows is split over as many partitions as it needs; each partition is sorted by
     Spark's external sort and scanned for run lengths. A term cut by a range boundary leaves one partial row per
     partition, and the last, small aggregation adds those up (equal pairs never part, so records are counted exactly).
@@ -73,7 +69,7 @@ def term_counts(df: DataFrame, record_id: str, text: str) -> DataFrame:
     occurrences. Empty texts have no terms; an empty table gives an empty result. Other columns are ignored.
     """
     words = df.where(F.col(f"`{text}`").isNotNull()).select(F.coalesce(F.col(f"`{record_id}`").cast("long"), F.lit(-(2**63))).alias("_r"), F.explode(F.split(F.col(f"`{text}`"), " ")).alias("_t"))
-    pairs = words.where(F.col("_t") != "").select("_t", "_r", F.lit(1).alias("_w"))
+    pairs = words.where(F.col("_t") != "").select("_t", "_r")
     n = spread(df.sparkSession)
     runs = pairs.repartitionByRange(n, "_t", "_r").sortWithinPartitions("_t", "_r").mapInArrow(_scan, "term string, occurrences long, records long")
     return runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
@@ -83,6 +79,6 @@ def marked_terms(df: DataFrame, record_id: str, text: str, rare_records: int = 2
     """``term_counts`` with ``mark``: ``rare`` for terms in at most ``rare_records`` records, ``common`` for terms in more
     than ``common_share`` of the rows with a text, else null. If both hold (tiny tables), ``common`` wins only above
     ``rare_records``, i.e. ``rare`` comes first."""
-    rows = df.where(F.col(f"`{text}`").isNotNull()).count()
+    rows = df.agg(F.count(F.col(f"`{text}`"))).scalar()  # a subquery of the plan: no job runs before the result's own
     mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > common_share * rows, "common")
     return term_counts(df, record_id, text).withColumn("mark", mark)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalize_text
 from quillspan.llm import copies, nearlines, packing, terms, topn
+from quillspan.llm.queries import TOKENIZER
 
 
 # top rows of every group
@@ -82,8 +83,8 @@ def test_copies(spark, hot):
     df = spark.createDataFrame([(*r, 1, "k") for r in COPIES], "id long, t string, keep_id int, _k string")
     got = {r["id"]: (r["keep_id"], r["copies"]) for r in copies.copy_groups(df, "id", "t", hot, 4).collect()}
     assert got == {3: (1, 3), 1: (1, 3), 9: (1, 3), 4: (4, 1), 10: (10, 3), 11: (10, 3), 12: (10, 3), 13: (13, 1), 20: (20, 1), 21: (21, 1), 40: (40, 2)}
-    assert sorted(tuple(r) for r in copies.further_copies(df, "id", "t").collect()) == [(1, 3), (1, 9), (10, 11), (10, 12)]
-    assert copies.collapsed(df, "id", "t").count() == 7
+    assert sorted(tuple(r) for r in copies.further_copies(df, "id", "t", hot).collect()) == [(1, 3), (1, 9), (10, 11), (10, 12)]
+    assert sorted(tuple(r) for r in copies.collapsed(df, "id", "t", hot).collect()) == [(1, 3), (4, 1), (10, 3), (13, 1), (20, 1), (21, 1), (40, 2)]
     assert copies.copy_groups(df.limit(0), "id", "t").count() == 0
 
 
@@ -93,6 +94,15 @@ def test_hot_copies(spark):
     assert one == two and (0, 0, 10_000) in one
 
 
+def test_hot_fields_in_many_orders(spark):
+    """A third of the rows are the same fields in other orders: no key of letters is hot, the key of fields is."""
+    rng = random.Random(3)
+    fields = [f"f{k}=v{k}" for k in range(8)]
+    rows = [(i, "; ".join(rng.sample(fields, 8)) if i % 3 == 0 else f"own {i}") for i in range(1500)]
+    got = {r["id"]: (r["keep_id"], r["copies"]) for r in copies.copy_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t", 100, 8).collect()}
+    assert got == {i: (0, 500) if i % 3 == 0 else (i, 1) for i in range(1500)}
+
+
 # near lines
 
 
@@ -261,11 +271,13 @@ def test_packed_table(spark):
     text = "word " * 50
     docs = spark.createDataFrame([(1, text, 9), (2, None, 9), (3, "", 9), (4, "hi there", 9), (4, "hi there", 9), (None, "x", 9), (5, "x <|endoftext|> y", 9)], "doc_id long, text string, container int")
     caps = spark.createDataFrame([(1, 20), (2, 1000), (3, None), (None, 5), (4, 0)], "capacity_id long, max_tokens long")
-    rows = packing.packed(docs, "doc_id", "text", caps).collect()
+    rows = packing.packed(docs, "doc_id", "text", caps, TOKENIZER).collect()
     by = {}
     for r in rows:
         by.setdefault((r["capacity_id"], r["container"]), []).append(r["tokens"])
     assert {c for c, _ in by} == {1, 2} and all(sum(v) <= {1: 20, 2: 1000}[c] for (c, _), v in by.items())
     assert sorted(r["piece"] for r in rows if r["capacity_id"] == 1 and r["doc_id"] == 1) == [0, 1, 2]
     assert sum(r["doc_id"] == 4 for r in rows) == 4
-    assert packing.packed(docs.limit(0), "doc_id", "text", caps).count() == 0 and packing.packed(docs, "doc_id", "text", caps.limit(0)).count() == 0
+    assert packing.packed(docs.limit(0), "doc_id", "text", caps, TOKENIZER).count() == 0 and packing.packed(docs, "doc_id", "text", caps.limit(0), TOKENIZER).count() == 0
+    with pytest.raises(ValueError):
+        packing.packed(docs, "doc_id", "text", caps, TOKENIZER, most_capacities=1)
