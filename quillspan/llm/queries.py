@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import NORMALIZED, table
 
 #: The vocabulary file that sizes are measured with.
 TOKENIZER = os.environ.get("QUILLSPAN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -123,11 +123,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line's class of equal word sets, and the links between classes, for five words or more and a similarity of 0.8."""
-    from .nearlines import near_classes
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of enough words with its class of equal word sets, its group of similar ones, and its class's links."""
+    from .nearlines import near_groups
 
-    return near_classes(table(spark, sf, "sentences"), "sentence_id", "original_text")
+    return near_groups(table(spark, sf, "sentences"), "sentence_id", "original_text")
 
 
 @query
@@ -208,3 +208,19 @@ v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FR
 a AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
 b AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM v))
 SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)"""
+# all pairs of lines by the words they share; in groups, lines of equal words are one node
+_SETS = f"""s AS (SELECT sentence_id, list_sort(list_distinct(string_split({NORMALIZED.format(c="original_text").replace("'')", "'', 'g')").replace("' ')", "' ', 'g')")}, ' '))) AS w FROM sentences WHERE original_text IS NOT NULL),
+b AS (SELECT sentence_id, w FROM s WHERE len(w) >= 14)
+"""
+_SIMILAR = """
+x AS (SELECT {id} AS i, len(w) AS n, unnest(w) AS t FROM {of}),
+p AS (SELECT a.i AS a, b.i AS b FROM x a JOIN x b ON a.t = b.t AND a.i < b.i AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY a.i, b.i, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9)
+"""
+ORACLES["p4_found"] = _GROUPS + ", " + _SETS + ", " + _SIMILAR.format(id="sentence_id", of="b") + """
+SELECT a AS id_a, b AS id_b FROM p JOIN m x ON x.sentence_id = a JOIN m y ON y.sentence_id = b WHERE x.keep_id <> y.keep_id"""
+ORACLES["p4_groups"] = "WITH RECURSIVE " + _SETS + ", c AS (SELECT w, min(sentence_id) AS rep FROM b GROUP BY w), " + _SIMILAR.format(id="rep", of="c") + """,
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(n, g) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.n),
+g AS (SELECT n, min(g) AS g FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT sentence_id AS rec_id, rep AS class_id, g AS group_id, coalesce(links, 0) AS links FROM b JOIN c USING (w) JOIN g ON g.n = rep LEFT JOIN k ON k.a = rep"""

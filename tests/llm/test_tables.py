@@ -3,11 +3,13 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import normalize_text
-from quillspan.llm import copies, nearlines, packing, terms, topn
+from quillspan.llm import components, copies, nearlines, packing, terms, topn
 from quillspan.llm.queries import TOKENIZER
 
 
@@ -139,27 +141,55 @@ def test_near_lines(spark, t, least, size, vocab):
     assert nearlines.near_pairs(df.limit(0), "id", "txt", t, least).count() == 0
 
 
-def test_hot_key_in_tiles():
-    """Rows under one key, cut into small tiles, give the pairs that all comparisons give."""
-    import numpy as np
-    import pyarrow as pa
-
-    rng = np.random.default_rng(5)
-    n = 300
-    rid, bits = np.arange(n, dtype=np.int64), rng.integers(0, 2**63, n, dtype=np.uint64) & rng.integers(0, 2**63, n, dtype=np.uint64) & np.uint64(0xFFFF)
-    meta = (rng.integers(14, 40, n).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-    blob = nearlines._pack(np.full(n, 7, np.uint64), rid, bits, meta)
-    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([blob], pa.binary())], names=["p", "blob"])
-    whole = {(a, b) for x in nearlines._meet(0.7)(iter([batch])) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
-    old = nearlines.TILE, nearlines.HOT
-    nearlines.TILE, nearlines.HOT = 16, 50
-    try:
-        tiles = list(nearlines._meet(0.7)(iter([batch])))
-        assert len(tiles) > 20 and all(x.column(2)[0].is_valid for x in tiles)
-        pairs = {(a, b) for x in nearlines._tiles(0.7)(iter(tiles)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
-    finally:
-        nearlines.TILE, nearlines.HOT = old
-    assert pairs == whole and len(whole) > 100
+def met_rows(rng, n, keys):
+    """Rows under a few keys, in the order in which they arrive."""
+    k = (rng.integers(0, keys, n) << 16) | (rng.integers(14, 40, n) << 1) | 1
+    bits = rng.integers(-(2**63), 2**63, n) & rng.integers(-(2**63), 2**63, n) & (0xFFFF - 2**63)
+    order = np.argsort(k, kind="stable")
+    return k[order], np.arange(n, dtype=np.int64), bits
+
+
+def batches_of(rows, size):
+    for s in range(0, len(rows[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x[s : s + size]) for x in rows], names=["k", "rid", "bits"])
+
+
+def compared(rows):
+    """All pairs within a key, by definition."""
+    out = set()
+    k, rid, bits = rows
+    for a, b in combinations(range(len(k)), 2):
+        n, m = int(k[a] >> 1) & 0x7FFF, int(k[b] >> 1) & 0x7FFF
+        if k[a] >> 16 == k[b] >> 16 and n >= 0.7 * m - 1e-9 and (n + m - (int(bits[a] ^ bits[b]) % 2**64).bit_count()) // 2 >= 0.7 / 1.7 * (n + m) - 1e-9:
+            out.add((int(rid[a]), int(rid[b])))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_sorted_keys_in_a_stream(size):
+    rows = met_rows(np.random.default_rng(size), 300, 40)
+    got = [p for x in nearlines._meet(0.7)(batches_of(rows, size)) for p in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    assert set(got) == compared(rows) and got
+
+
+@pytest.mark.parametrize("size", [13, 60, 400])
+def test_hot_key_in_tiles(spark, monkeypatch, size):
+    """Rows under hot keys, given out in small tiles, make the pairs that all comparisons make; no task holds a key."""
+    rows = met_rows(np.random.default_rng(5), 300, 3)
+    monkeypatch.setattr(nearlines, "TILE", 16)
+    monkeypatch.setattr(nearlines, "HOT", 50)
+    met = pa.Table.from_batches(list(nearlines._meet(0.7)(batches_of(rows, size))), nearlines.MET_SCHEMA)
+    assert met.column("tile").null_count == 0 and met.num_rows >= 18
+    pairs = nearlines.tile_pairs(spark.createDataFrame(met), 0.7, 3)
+    assert {tuple(r) for r in pairs.collect()} == compared(rows)
+
+
+def test_huge_sets(spark):
+    """Sets beyond the sizes that are told apart are compared exactly."""
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:] + ["x"])), (3, " ".join(words[20_000:]))]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert [tuple(r) for r in nearlines.near_pairs(df, "id", "t").collect()] == [(1, 2)]
 
 
 def test_many_equal_lines_meet_once(spark):
@@ -171,21 +201,38 @@ def test_many_equal_lines_meet_once(spark):
     assert got == {(i, 1000) for i in range(400)} | {(i, 1001) for i in range(400)} | {(1000, 1001)}
 
 
-def test_near_classes_hold_every_line(spark):
+def test_near_groups_hold_every_line(spark):
     rng = random.Random(9)
     rows = lines(rng, 120, (5, 12), 25, 3)
     lone = [f"x{i}" for i in range(7)]
     rows += [(200, " ".join(lone)), (201, " ".join(reversed(lone))), (202, " ".join(lone[3:] + lone[:3])), (203, "y1 y2 y3 y4 y5"), (204, "y1 y2 y3 y4"), (200, " ".join(lone))]
     df = spark.createDataFrame([*rows, (205, None), (None, "z1 z2 z3 z4 z5")], "id long, txt string")
-    got = [tuple(r) for r in nearlines.near_classes(df, "id", "txt").select("kind", "a", "b").collect()]
+    got = [tuple(r) for r in nearlines.near_groups(df, "id", "txt", 0.8, 5).select("rec_id", "class_id", "group_id", "links").collect()]
     sets = {i: frozenset(normalize_text(x).split()) for i, x in rows}
     sets = {i: s for i, s in sets.items() if len(s) >= 5}
     rep = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
     links = {(a, b) for a, b in brute_pairs(rows, 0.8, 5) if rep[a] == a and rep[b] == b}
-    assert len(got) == len(set(got)) and links
-    assert {(a, b) for k, a, b in got if k == "link"} == links
-    assert {a: b for k, a, b in got if k == "member"} == rep
-    assert len(got) == len(rep) + len(links) and rep[202] == 200 and rep[203] == 203 and len(set(rep.values())) < len(rep) - 5
+    root = dict(rep)
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: (r, root[r], sum(r in p for p in links)) for i, r in rep.items()}
+    assert links and len(got) == len(want) and {i: (c, g, n) for i, c, g, n in got} == want
+    assert want[202][0] == 200 and want[203] == (203, 203, 0)
+    assert nearlines.near_groups(df.limit(0), "id", "txt").count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_components(spark, limit):
+    rng = random.Random(limit)
+    links = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long"), limit).collect()}
+    root = {n: n for p in links for n in p}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    alone = {n for n in root if all(a == b or n not in (a, b) for a, b in links)}
+    assert got == {n: r for n, r in root.items() if n not in alone}
 
 
 # packing
