@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -89,38 +90,61 @@ SELDOM, USUAL, WEIGHT = 0.02, 0.06, 6
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 
 
+CYRILLIC, HEBREW = re.compile("[Ѐ-ӿ]"), re.compile("[א-ת]")
+PLAIN = re.compile(r"\b[^\W\d_A-ZÀ-Þ][^\W\d_]*")
+OF_OTHERS = re.compile(r"[\u0400-\u05ff]")
+APOSTROPHE = re.compile("['’]")
+ELIDED, ELIDED_SHORT = re.compile(r"[dlnscjmtq]u?['’]"), re.compile(r"(?:[dlnscjmt]|qu)['’]")
+
+
 def words_of(t: str) -> list[str]:
+    if t.isascii():
+        return TOKEN.findall(t.lower())
     return [w.replace("’", "'") for w in TOKEN.findall(unicodedata.normalize("NFC", t).casefold())]
 
 
 def script_of(t: str) -> str:
     """The script of a text's words that aren't names in Latin letters: ``ru``, ``he`` or ``latin`` ('' without words)."""
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in t)
-    hebrew = sum("א" <= c <= "ת" for c in t)
-    plain = sum(c.isalpha() for m in re.findall(r"\b[^\W\d_A-ZÀ-Þ][^\W\d_]*", t) for c in m if not "Ѐ" <= c <= "׿")
-    top = max((cyrillic, "ru"), (hebrew, "he"), (plain, "latin"))
+    cyrillic = hebrew = 0
+    plain = "".join(PLAIN.findall(t))
+    if not t.isascii():
+        cyrillic, hebrew = len(CYRILLIC.findall(t)), len(HEBREW.findall(t))
+        plain = OF_OTHERS.sub("", plain)
+    count = len(plain) if plain.isalpha() else sum(map(str.isalpha, plain))
+    top = max((cyrillic, "ru"), (hebrew, "he"), (count, "latin"))
     return top[1] if top[0] else ""
 
 
+@lru_cache(1 << 16)
+def _hints(w: str) -> tuple[tuple[tuple[str, float], ...], tuple[frozenset[str], ...]]:
+    """What one word says: weights of languages, and the sets of languages it narrows a text down to, in order."""
+    score: list[tuple[str, float]] = []
+    sets: list[frozenset[str]] = []
+    low = w.lower()
+    if ELIDED_SHORT.match(low):
+        sets.append(frozenset(("fr",)))
+    named = w[0].isupper() and len(w) > 3 and low not in _OWN
+    for part in APOSTROPHE.split(low):
+        own = _OWN.get(part)
+        if own:
+            score += [(lang, 1 / len(own)) for lang in own]
+            sets.append(frozenset(own))
+    if ELIDED.match(low):
+        score.append(("fr", 1.0))
+    if not low.isascii():
+        for c in {c for c in low if c in LETTER_HINTS}:
+            own = LETTER_HINTS[c].split()
+            score += [(lang, 0.6 / len(own)) for lang in own]
+        sets += [frozenset(LETTER_HINTS[c].split()) for c in low if c in LETTER_HINTS]
+    return () if named else tuple(score), tuple(sets)
+
+
 def language_scores(t: str) -> dict[str, float]:
     """Evidence per Latin-script language: small words it has (shared ones count less), and letters that hint at it."""
     score = dict.fromkeys(SMALL_WORDS, 0.0)
     for w in TOKEN.findall(t):
-        if w[0].isupper() and len(w) > 3 and w.lower() not in _OWN:
-            continue
-        w = w.lower()
-        for part in re.split(r"['’]", w):
-            langs = _OWN.get(part)
-            if langs:
-                for lang in langs:
-                    score[lang] += 1 / len(langs)
-        if re.match(r"[dlnscjmtq]u?['’]", w):
-            score["fr"] += 1
-        seen = {c for c in w if c in LETTER_HINTS}
-        for c in seen:
-            own = LETTER_HINTS[c].split()
-            for lang in own:
-                score[lang] += 0.6 / len(own)
+        for lang, weight in _hints(w)[0]:
+            score[lang] += weight
     return score
 
 
@@ -129,18 +153,12 @@ def possible_languages(t: str) -> set[str]:
     s = script_of(t)
     if s in ("ru", "he"):
         return {s}
-    left, told = set(SMALL_WORDS), False
+    left, told = frozenset(SMALL_WORDS), False
     for w in TOKEN.findall(t):
-        if re.match(r"(?:[dlnscjmt]|qu)['’]", w.lower()) and "fr" in left:
-            left, told = {"fr"}, True
-        for part in re.split(r"['’]", w.lower()):
-            own = set(_OWN.get(part, ()))
-            if own and left & own:
-                left, told = left & own, True
-        for c in w.lower():
-            if c in LETTER_HINTS and left & (own := set(LETTER_HINTS[c].split())):
+        for own in _hints(w)[1]:
+            if left & own:
                 left, told = left & own, True
-    return left if told else set()
+    return set(left) if told else set()
 
 
 def language_of(t: str) -> str:
