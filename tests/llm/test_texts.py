@@ -228,19 +228,44 @@ def test_leaks(spark):
             if any(f" {' '.join(k[s : s + 13])} " in f" {words} " for s in range(18)):
                 brute.add((d, i))
     assert got == brute and want <= got
-    old, leaks.BLOCK_BYTES = leaks.BLOCK_BYTES, 500
-    try:
-        assert {tuple(r) for r in leaks.leaked_passages(df, "id", "t", it, "iid", "it").collect()} == brute
-    finally:
-        leaks.BLOCK_BYTES = old
     assert leaks.leaks(df.limit(0), "id", "t", it, "iid", "it").count() == 0 and leaks.leaks(df, "id", "t", it.limit(0), "iid", "it").count() == 0
 
 
-def test_passage_with_any_five_words_left_whole(spark):
+def test_full_bitmap_loses_nothing(spark, monkeypatch):
+    """With far too few bits everything passes, and the result is the same."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"t{rng.randrange(90)}" for _ in range(20))) for i in range(30)]
+    docs = [(d, " ".join(f"t{rng.randrange(90)}" for _ in range(15)) + " " + items[d % 30][1]) for d in range(40)]
+    tables = spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t"
+    want = sorted(tuple(r) for r in leaks.leaks(*tables).collect())
+    monkeypatch.setattr(leaks, "LEAST_BITS", 64)
+    monkeypatch.setattr(leaks, "MOST_BITS", 64)
+    assert sorted(tuple(r) for r in leaks.leaks(*tables).collect()) == want and len(want) >= 40
+
+
+def test_passage_with_any_four_words_left_whole(spark):
     words = [f"w{i}" for i in range(48)]
-    docs = [(k, " ".join(w if k <= i < k + 5 or i % 4 else f"x{i}" for i, w in enumerate(words))) for k in range(44)]
+    docs = [(k, " ".join(w if k <= i < k + 4 or i % 3 else f"x{i}" for i, w in enumerate(words))) for k in range(45)]
     got = leaks.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(7, " ".join(words))], "i long, t string"), "i", "t").collect()
-    assert sorted(r["doc_id"] for r in got) == list(range(44)) and all(r["item_id"] == 7 and r["score"] >= 55 for r in got)
+    assert sorted(r["doc_id"] for r in got) == list(range(45)) and all(r["item_id"] == 7 and r["score"] >= 45 for r in got)
+
+
+def edited(rng, words, every, kind):
+    """One word in so many changed, left out or doubled by another one."""
+    out = []
+    for i, w in enumerate(words):
+        other = f"z{rng.randrange(9999)}"
+        out += [w] if i % every else {"changed": [other], "left out": [], "put in": [other, w]}[kind]
+    return out
+
+
+@pytest.mark.parametrize("every", [8, 6, 5])
+def test_recall_by_rate_of_edits(spark, every):
+    rng = random.Random(every)
+    items = [[f"v{rng.randrange(400)}" for _ in range(rng.randint(26, 60))] for _ in range(60)]
+    docs = [(n, " ".join(["start", *edited(rng, w, every, kind), "end"])) for n, (w, kind) in enumerate((w, k) for w in items for k in ("changed", "left out", "put in"))]
+    got = leaks.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "i long, t string"), "i", "t").collect()
+    assert {(n, n // 3) for n in range(180)} <= {(r["doc_id"], r["item_id"]) for r in got}
 
 
 def test_edited_passage(spark):
