@@ -1,23 +1,25 @@
 """Problem 10: personal data in free text.
 
-Broad patterns give candidate spans. Labelers - shapes, gazetteers, words before and after - vote for or against each
-candidate or abstain. Expectation-maximisation over the counts of all vote patterns estimates how reliable each labeler is
-(no labelled data); its posteriors train a logistic classifier over the votes, which decides. Both models see counts of
-patterns only, of which there are few, whatever the number of documents.
+Broad patterns give candidate spans: every pair of capitalised words, every run of digits, every number beside a capitalised
+word, every @. Labelers - shapes, gazetteers, words before and after, what the same word does elsewhere in the corpus - vote
+for or against each candidate or abstain, and often disagree. Expectation-maximisation over the counts of all vote patterns
+estimates how reliable each labeler is (no labelled data); its posteriors train a logistic classifier over votes and shapes,
+which decides. Both models see counts of patterns only, of which there are few, whatever the number of documents.
 """
-
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import joined, spread, stored
+
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: A space that may be a line break of a hard wrap (with the marks of a quotation).
@@ -83,6 +85,11 @@ PHONES = [
         r"\+[1-9]\d{7,14}",
     )
 ]
+#: Any number that can be the start of a run of digits, and such a run; dates, versions, addresses of hosts, decimals.
+NUMBER_START = re.compile(r"(?<![\w.,+(\-/])(?:[+(]|\d)|(?<=[|>*,;=(])\(?[+\d]")
+DIGITS = re.compile(rf"\+?\(?\d{{1,5}}\)?(?:(?:{S}|[-./])?\(?\d{{1,9}}\)?){{1,6}}(?![\w])")
+OTHER_NUMBER = re.compile(r"\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\d{1,3}\.\d{1,3}(?:\.\d{1,3})?|\d+")
+CODE = re.compile(r"(?<![\w.,+(\-/#@])[A-Z]{0,3}-?\d[\dA-Z]{5,}(?:-[\dA-Z]+)*(?![\w])")
 PHONE_START = re.compile(r"(?<![\w.,+(\-/])(?:\+\d|\(\d{3}\)|\d{3}[-.]\d{3}[-.]|0\d)|(?<=[|>*,;=(])\(?(?:\+\d|\d{3}[-.]\d{3}[-.]|0\d)")
 PHONE_WORDS = re.compile(r"(?:\btel(?:efon|ephone|éfono|efone)?\b\.?|\bphone\b|\bfax\b|\bcall\b|\btext me at|\brufen sie|\bmobile?\b|\bm:|\bt:?|\banswers on|\bring\b|\bhandy\b|\bor\b|appelez|llame a|ligue|тел\.?|טלפון)\s*[:=]?\s*$", re.I)
 NO_PHONE = re.compile(r"(?:\broute|\bbuild|\bhost|\bpages?|\bshelf|\bversion|\bchecksum|\bhash|\bjob|\bref\.?|\bnº|\bnr\.?|\bno\.|\bnumber|\bid|\bssn|\bcard|\bpassport)\W*$", re.I)
@@ -130,19 +137,27 @@ ADDRESSES = [
         rf"(?i:P\.? ?O\.?{S}Box|Postfach|Apartado(?: de correos)?|Boîte postale|Locked Bag){S}\d{{1,6}}(?!\w)",
     )
 ]
+BESIDE = re.compile(rf"(?<![\w.#/+(-])\d{{1,4}}[A-Z]?,? {CAP}(?: {CAP})?(?!\w)|(?<![\w@.'’-])[A-ZÀ-Þ][\w'’-]{{2,}},? \d{{1,4}}[a-z]?(?![\w.:/-])")
 PLACE_AFTER = re.compile(rf"^(?:,{S}(?:(?i:Apt\.?|Flat|Unit|\d+º){S}?\w*,{S})?(?:\d{{4,5}}{S})?(?:\dº{S}\w,{S})?{CAP}|{S}(?:[A-Z]\w+{S})?\d{{5}}|,?{S}{CAP}{S}\d{{4,5}}|{S}{CAP}\b)")
-PLACE_WORDS = re.compile(r"(?:\baddress\b:?|moved to|\bto|\bat|lives? (?:in|at)|stands at|based at|adresse:?|dirección:?|endereço:?|wohnt in|visit|from|near|[,|:=]|\n)\s*$", re.I)
+PLACE_WORDS = re.compile(r"(?:\baddress\b:?|moved to|\bto|\bat|lives? (?:in|at)|stands at|based at|adresse:?|dirección:?|endereço:?|wohnt in|visit|from|near)\s*[:=|]?\s*$", re.I)
 
 #: Labelers per kind, in the order of their votes.
 LABELERS = {
-    "email": ("plain form", "disguised form", "host ending", "word before", "version or handle"),
-    "phone": ("known form", "word before", "leading sign", "number of digits", "other number before"),
-    "id_number": ("known form", "name before", "form of a phone", "loose number"),
-    "address": ("street and number", "place after", "word before", "line or field of its own"),
-    "name": ("first name", "word before", "word after", "parts of a name", "contact data beside", "in running text"),
+    "email": ("plain or disguised form", "host ending", "word before", "version or handle"),
+    "phone": ("form", "word before", "leading sign", "number of digits", "label of another number"),
+    "id_number": ("form", "label before", "phone nearby", "other number"),
+    "address": ("street or box", "place after", "word before", "field of its own", "small words"),
+    "name": ("gazetteer of first names", "words before", "words after", "parts of a name", "contact data beside", "line of its own", "small words and things", "line in capitals", "first word elsewhere"),
 }
+#: The labeler that looks a name's first word up in the whole corpus: votes from so many uses on, for or against, by the share
+#: of uses where a person is named.
+ELSEWHERE, LEAST_USES, NAMED_SHARE, OTHER_SHARE = 8, 3, 0.5, 0.1
+
+#: Labelers whose abstention tells nothing.
+SILENT = {"name": (0, ELSEWHERE)}
 
-Span = tuple[str, int, int, tuple[int, ...]]
+#: kind, start, end, votes, shape (categories that only the classifier sees), first word of a name
+Span = tuple[str, int, int, tuple[int, ...], tuple[int, ...], str]
 DIGIT = re.compile(r"\d")
 
 
@@ -175,39 +190,55 @@ def _emails(t: str) -> Iterator[Span]:
         plain = m[0] == "@" and "[" not in domain[0]
         digits = host[-1].isdigit() or host[0].isdigit()
         ending = host[-1].lower() in ENDINGS
-        if not plain and not ending:
-            continue
         left = t[max(0, local.start() - 24) : local.start()]
-        yield "email", local.start(), end, (1 if plain and not digits else 0, 1 if not plain else 0, 1 if ending else -1, 1 if MAIL_WORDS.search(left) else 0, -1 if digits or re.search(r"(?i)install\s$", left) else 0)
+        form = -1 if digits else 1
+        yield "email", local.start(), end, (form, 1 if ending else -1, 1 if MAIL_WORDS.search(left) else 0, -1 if digits or re.search(r"(?i)install\s$", left) else 0), (int(plain), min(3, len(host))), ""
 
 
 def _phones(t: str) -> Iterator[Span]:
     at = 0
-    for m in PHONE_START.finditer(t):
+    for m in NUMBER_START.finditer(t):
         a = m.start()
         if a < at:
             continue
-        best = max((x.end() for p in PHONES if (x := p.match(t, a))), default=0)
-        if not best or best < len(t) and (t[best].isalnum() or t[best] in "-/" and t[best + 1 : best + 2].isalnum()):
-            continue
-        at = best
+        best = 0
+        if PHONE_START.match(t, a):
+            best = max((x.end() for p in PHONES if (x := p.match(t, a))), default=0)
+            if best < len(t) and best and (t[best].isalnum() or t[best] in "-/" and t[best + 1 : best + 2].isalnum()):
+                best = 0
+        form = 1 if best else 0
+        if not best:  # a run of digits of no known form
+            x = DIGITS.match(t, a)
+            best = x.end() if x else 0
         value = t[a:best]
-        n = sum(c.isdigit() for c in value)
-        left = t[max(0, a - 24) : a]
-        iso = bool(re.fullmatch(r"\d{4}-\d\d-\d\d", value))
-        yield "phone", a, best, (-1 if iso else 1, 1 if PHONE_WORDS.search(left) else 0, 1 if value[0] in "+(" or value.startswith("0") else 0, 1 if 9 <= n <= 14 else -1, -1 if NO_PHONE.search(left) or ID_LABEL.search(left) else 0)
+        n = sum(map(str.isdigit, value))
+        if not 7 <= n <= 15:
+            continue
+        if form:
+            at = best
+        left = t[max(0, a - 48) : a]
+        if ID_LABEL.search(left):
+            continue  # a candidate of that kind
+        if OTHER_NUMBER.fullmatch(value):
+            form = -1
+        sign = value[0] in "+(" or value[0] == "0"
+        yield "phone", a, best, (form, 1 if PHONE_WORDS.search(left) else 0, 1 if sign else 0, 1 if 9 <= n <= 14 else -1, -1 if NO_PHONE.search(left) else 0), (min(n, 14), "+(0".find(value[0]) + 1), ""
 
 
 def _ids(t: str, low: str) -> Iterator[Span]:
     seen = set()
+
+    def votes(a: int, z: int, form: int, label: bool) -> tuple:
+        left = t[max(0, a - 24) : a]
+        letters = sum(map(str.isalpha, t[a:z]))
+        return (form, 1 if label else -1, -1 if PHONE_WORDS.search(left) else 0, -1 if not label and NO_PHONE.search(left) else 0), (min(letters, 3), min(z - a, 16)), ""
+
     for m in ID_START.finditer(t):
         a = m.start()
         end = max((x.end() for p in ID_SHAPES if (x := p.match(t, a)) and not t[x.end() : x.end() + 1].isalnum()), default=0)
-        if not end:
-            continue
-        seen.add(a)
-        left = t[max(0, a - 48) : a]
-        yield "id_number", a, end, (1, 1 if ID_LABEL.search(left) else 0, -1 if PHONE_WORDS.search(left) else 0, -1 if not ID_LABEL.search(left) else 0)
+        if end:
+            seen.add(a)
+            yield "id_number", a, end, *votes(a, end, 1, bool(ID_LABEL.search(t, max(0, a - 48), a)))
     for k in _finds(low, LABEL_WORDS):  # a label with a value of another form
         if not DIGIT.search(t, k, k + 48):
             continue
@@ -217,8 +248,11 @@ def _ids(t: str, low: str) -> Iterator[Span]:
                 break
             if sum(c.isdigit() for c in x[0]) >= 5:
                 seen.add(a)
-                yield "id_number", a, x.end(), (0, 1, 0, 0)
+                yield "id_number", a, x.end(), *votes(a, x.end(), 0, True)
             break
+    for m in CODE.finditer(t):  # codes of any other form
+        if m.start() not in seen:
+            yield "id_number", m.start(), m.end(), *votes(m.start(), m.end(), 0, bool(ID_LABEL.search(t[max(0, m.start() - 48) : m.start()])))
 
 
 def _address_spans(t: str, low: str) -> Iterator[tuple[int, int]]:
@@ -247,129 +281,131 @@ def _address_spans(t: str, low: str) -> Iterator[tuple[int, int]]:
 
 
 def _addresses(t: str, low: str) -> Iterator[Span]:
+    spans = {x: 1 for x in _address_spans(t, low)}
+    starts = {a for a, _ in spans}
+    for m in BESIDE.finditer(t):  # numbers beside capitalised words, of whatever sort
+        if m.start() not in starts:
+            spans.setdefault(m.span(), -1)
     done = -1
-    for a, z in sorted(set(_address_spans(t, low))):
-        if a < done:
+    for (a, z), street in sorted(spans.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+        if a < done and street > 0 or street < 0 and any(p < z and a < q for (p, q), s in spans.items() if s > 0):
             continue
-        done = z
+        done = z if street > 0 else done
         left, right = t[max(0, a - 24) : a], t[z : z + 48]
-        yield "address", a, z, (1, 1 if PLACE_AFTER.match(right) else 0, 1 if PLACE_WORDS.search(left) or not left else 0, 1 if not left.strip(" \t>|*-•") or left.rstrip(" \t>")[-1:] in "\n|,=:" else 0)
+        own = (not left.strip(" \t>|*-•") or left.rstrip(" \t>")[-1:] in "\n|,=:") and right.lstrip(" \t")[:1] in ("", "\n", "\r", ",", "|", ".", ")")
+        small = street < 0 and any(w.lower() in NO_NAMES for w in re.findall(r"[^\W\d]+", t[a:z]))
+        yield "address", a, z, (street, 1 if PLACE_AFTER.match(right) else 0, 1 if PLACE_WORDS.search(left) else 0, 1 if own else 0, -int(small)), (int(t[a].isdigit()), min(3, t.count(" ", a, z))), ""
 
 
-def _names(t: str, beside: list[tuple[int, int]]) -> Iterator[Span]:
+def _names(t: str, beside: list[tuple[int, int]], first_names: frozenset[str] = FIRST_NAMES) -> Iterator[Span]:
     begins = np.array(sorted(a for a, _ in beside), np.int64)
 
-    def votes(a: int, z: int, first: int, parts: int) -> tuple[int, ...]:
+    def span(a: int, z: int, first: str, last: str, parts: int, form: int) -> Span:
         left, right = t[max(0, a - 40) : a], t[z : z + 40]
-        before, after = bool(BEFORE_NAME.search(left)), bool(AFTER_NAME.match(right))
+        before, after = bool(BEFORE_NAME.search(left) or TITLE_VERB.search(left) or CLOSING.search(left)), bool(AFTER_NAME.match(right))
         k = int(np.searchsorted(begins, z))
-        near = k < len(begins) and begins[k] - z <= 40 and t.count("\n", z, int(begins[k])) <= 1 and not re.search(r"[.!?]\s", t[z : int(begins[k])])
+        near = k < len(begins) and begins[k] - z <= 40 and t.count("\n", z, int(begins[k])) <= 1 and not SENTENCE_END.search(t, z, int(begins[k]))
         alone = not left.split("\n")[-1].strip(" \t>|*-•") and (not right.split("\n")[0].strip(" \t|") or right[:1] in ",|")
-        running = not before and not near and bool(re.search(r"[a-zß-ÿ,][ ]$", left))
-        return (0 if running else first, 1 if before or TITLE_VERB.search(left) else 0, 1 if after else 0, parts, 1 if near else 1 if alone and first else 0, -1 if running else 0)
+        running = not before and not near and bool(RUNNING.search(left))
+        follow = NEXT_WORD.match(right)
+        small = form != 2 and first.lower() in NO_NAMES or last.lower() in NO_NAMES or last.lower() in THINGS or bool(follow and follow[1].lower() in THINGS)
+        capitals = first.isupper() and len(first) > 2 and last.isupper() and (CAPITALS.search(left) or CAPITALS_AFTER.match(right))
+        known = first.capitalize() in first_names if first.isupper() and len(first) > 2 else first in first_names
+        return "name", a, z, (0 if form == 2 else 1 if known else -1, 1 if before else -1 if running else 0, int(after), parts, int(near), int(alone), -int(small), -int(bool(capitals)), 0), (form, min(2, z - a >> 4)), "" if form == 2 else first.lower()
 
-    taken = -1
     for m in CAPITAL.finditer(t):
-        w, a = m[0], m.start()
-        if a < taken:
-            continue
-        known = w in FIRST_NAMES or len(w) > 2 and w in FIRST_UPPER
-        if known:
-            turned = UPPER_LAST.search(t, max(0, a - 48), a)
-            if turned and turned.start(1) >= taken and turned[1].title() not in FIRST_NAMES:
-                yield "name", turned.start(1), m.end(), votes(turned.start(1), m.end(), 1, 1)
-                taken = m.end()
-                continue
-            x = AFTER_FIRST.match(t, m.end())
-            if x and x[1].lower() not in THINGS:
-                z = x.end()
-                parts = 1 if "." in x[0] or re.search(r"\s[a-z]", x[0]) or "-" in x[1] else 0
-                follow = re.match(rf"{S}(\w+)", t[z : z + 24])
-                if not (follow and follow[1].lower() in THINGS):
-                    yield "name", a, z, votes(a, z, 1, parts)
-                    taken = z
-        elif len(w) == 1 and t[m.end() : m.end() + 1] == ".":
+        w, a, z = m[0], m.start(), m.end()
+        if len(w) == 1:
             x = INITIAL.match(t, a)
-            if x and x[1].lower() not in THINGS:
-                v = votes(a, x.end(), 0, 1)
-                if v[1] or v[2] or v[4]:
-                    yield "name", a, x.end(), v
-                    taken = x.end()
-        elif len(w) > 2 and t[m.end() : m.end() + 1] in (" ", "\n", ","):  # a first name that isn't known, where a person is named
-            left = t[max(0, a - 40) : a]
-            closed = w[1:].islower() and CLOSING.search(left)
-            if TITLE_VERB.search(left) or PERSON.search(left) or closed or w[1:].islower() and PLACE_OF_NAME.search(left):
-                x = AFTER_FIRST.match(t, m.end())
-                if x and x[1].lower() not in THINGS and (not closed or not t[x.end() :].split("\n")[0].strip(" \t\r,.|")):
-                    yield "name", a, x.end(), votes(a, x.end(), 0, 1 if "." in x[0] else 0)
-                    taken = x.end()
-
-
-PERSON = re.compile(r"(?:\b(?:Dear|Hello|Signed:|Herr|Frau|Mme)\s|\bname=)$")
-# Salutations, titles and names of fields before, and farewells above, a name that may be unknown.
-PLACE_OF_NAME = re.compile(
-    r"(?:\b(?:Hi|Hey|Herrn|Mlle|Monsieur|Madame|Miss|Sra?\.?|Señora?|Bonjour|Cher|Chère|Hallo|Lieber?|Hola|Estimad[oa]|Caro|Cara|Olá|[Ss]igned by)[ ]|"
-    r"(?:^|\n)[>|*•\- \t]*(?:From|To|Cc|Attn|Author|Owner|Contact|Name|Nom|Nombre|Nome)[ ]?:[ ]?|\b(?:name|nom|nombre|nome|contact|user|customer|kunde)=)$"
+            if x:
+                yield span(a, x.end(), w, x[1], 1, 2)
+            continue
+        if t[z : z + 1] not in (" ", "\n", "\r", "-"):
+            if len(w) > 2 and w.isupper() and (x := TURNED.match(t, z)):
+                yield span(a, x.end(), x[1], w, 1, 3)
+            continue
+        x = AFTER_FIRST.match(t, z)
+        if x:
+            parts = 1 if "." in x[0] or PARTICLES_IN.search(x[0]) or "-" in x[1] else 0
+            yield span(a, x.end(), w, x[1], parts, 1 if w.isupper() else 0)
+
+
+SENTENCE_END, RUNNING, NEXT_WORD = re.compile(r"[.!?]\s"), re.compile(r"[a-zß-ÿ,][ ]$"), re.compile(rf"{S}(\w+)")
+CAPITALS, CAPITALS_AFTER = re.compile(r"[A-ZÀ-Þ]{2,}[.,]? $"), re.compile(r"[.,]? [A-ZÀ-Þ]{2,}\b")
+TURNED, PARTICLES_IN = re.compile(rf",{S}([A-ZÀ-ÖØ-ÞŠŽ][a-zß-ÿ'’]+)(?!\w)"), re.compile(r"\s[a-z]")
+# Words that are no part of a name - articles, pronouns, prepositions, salutations, farewells, titles, labels.
+NO_NAMES = frozenset(
+    "a an and as at because before but by for from if in into its near of on or our so that the their these this those to under unless until when where while with your his her my all some most no not after although although both every keep"
+    " das der die dem den des ein eine einen im in am zum zur und oder mit von sie wir ich ihr rufen bitte mein unser kein jeder"
+    " le la les un une des du de et à au aux ce cette sa son ses el los las una y o os as um uma do da dos das"
+    " dear hello hi hey regards best thanks thank cheers sincerely yours signed herr herrn frau mme mlle monsieur madame mr mrs ms miss dr prof bonjour cher chère hallo liebe lieber hola estimado estimada caro cara olá grüßen grüße gruß saludos cordialement"
+    " tel phone fax call passport id ssn no route build version page box flat apt suite room ask contact name from cc attn"
+    " rua avenida travessa praça calle plaza paseo camino straße gasse platz allee street road lane avenue terrace gardens square court".split()
 )
 CLOSING = re.compile(r"\b(?:Regards|regards|Best|Thanks|Thank you|Cheers|Sincerely|Yours(?: \w+)?|Cordialement|Bien à vous|Grüßen|Grüße|Gruß|Saludos|Atentamente|Atenciosamente|Abraços|С уважением),?[ \t]*\r?\n[>|*•\- \t]*$")
 
 
-def candidates(t: str) -> list[Span]:
+def candidates(t: str, first_names: frozenset[str] = FIRST_NAMES) -> list[Span]:
     """All candidate spans of a text with the votes of their kind's labelers."""
     low = _lower(t)
     out = [*_emails(t), *_phones(t), *_ids(t, low), *_addresses(t, low)]
-    return out + list(_names(t, [(a, z) for k, a, z, v in out if k != "id_number" and sum(v) > 0]))
-
-
-# How often a labeler is expected to vote against, abstain and vote for.
-ON_TRUE, ON_FALSE = {-1: 0.05, 0: 0.45, 1: 0.5}, {-1: 0.35, 0: 0.6, 1: 0.05}
+    return out + list(_names(t, [(a, z) for k, a, z, v, *_ in out if k != "id_number" and v[0] > 0], first_names))
 
 
 class Model:
-    """Reliabilities by expectation-maximisation, and the classifier trained on what it believes."""
+    """Reliabilities by expectation-maximisation, and the classifier trained on what it believes.
+
+    ``counts`` maps (kind, votes, shape) to how many candidates have them.
+    """
 
-    def __init__(self, counts: Counter[tuple[str, tuple[int, ...]]], rounds: int = 40) -> None:
+    def __init__(self, counts: Counter[tuple[str, tuple[int, ...], tuple[int, ...]]], rounds: int = 200) -> None:
         self.weights: dict[str, np.ndarray] = {}
+        self.shapes: dict[str, list[list[int]]] = {}
+        self.reliability: dict[str, np.ndarray] = {}
         for kind in KINDS:
-            own = sorted((v, n) for (k, v), n in counts.items() if k == kind)
+            own = sorted((v, s, n) for (k, v, s), n in counts.items() if k == kind)
             if own:
-                votes, n = np.array([v for v, _ in own]), np.array([c for _, c in own], float)
-                self.weights[kind] = self.train(votes, n, self.believe(votes, n, rounds))
+                votes, shape, n = np.array([v for v, _, _ in own]), np.array([s for _, s, _ in own]), np.array([c for *_, c in own], float)
+                self.shapes[kind] = [sorted(set(c.tolist())) for c in shape.T]
+                p, self.reliability[kind] = self.believe(votes, n, rounds, SILENT.get(kind, ()))
+                self.weights[kind] = self.train(self.features(kind, votes, shape), n, p)
+        self.known: dict[tuple, float] = {}
 
     @staticmethod
-    def believe(votes: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
-        """Posterior of a true span per vote pattern (labelers independent given the truth).
+    def believe(votes: np.ndarray, n: np.ndarray, rounds: int, silent: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of a true span per vote pattern (labelers independent given the truth), and the rates of votes against,
+        abstentions and votes for of every labeler on true and on false spans.
 
-        A labeler's rates are estimated around what a labeler is: on false spans it rarely votes for, on true ones rarely
-        against. For false spans that prior stands in for those that are missing from three tenths of all candidates;
-        without it, where hardly any are there to learn from, the model would tell two sorts of true spans apart instead.
+        It begins with the majority of votes; rates are smoothed by one candidate, nothing else is assumed.
         """
         p = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5))
+        rates = np.zeros((votes.shape[1], 3, 2))
         for _ in range(rounds):
             true, false = p * n, (1 - p) * n
-            heavy = max(10.0, 0.3 * n.sum() - false.sum())
             prior = (true.sum() + 1) / (n.sum() + 2)
             log = np.full(len(p), np.log(prior) - np.log(1 - prior))
             for j in range(votes.shape[1]):
+                told = (votes[:, j] != 0) | (j not in silent)
                 for v in (-1, 0, 1):
                     at = votes[:, j] == v
-                    yes = (true[at].sum() + 10 * ON_TRUE[v]) / (true.sum() + 10)
-                    no = (false[at].sum() + heavy * ON_FALSE[v]) / (false.sum() + heavy)
-                    log[at] += np.log(yes) - np.log(no)
+                    if not told[at].all():
+                        continue
+                    rates[j, v + 1] = (true[at].sum() + 1 / 3) / (true[told].sum() + 1), (false[at].sum() + 1 / 3) / (false[told].sum() + 1)
+                    log[at] += np.log(rates[j, v + 1, 0]) - np.log(rates[j, v + 1, 1])
             new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
             if np.abs(new - p).max() < 1e-6:
                 break
             p = new
-        return p
+        return p, rates
 
-    @staticmethod
-    def features(votes: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.ones((len(votes), 1)), votes == 1, votes == -1], axis=1).astype(float)
+    def features(self, kind: str, votes: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        hot = [shape[:, [j]] == np.array(values)[None, :] for j, values in enumerate(self.shapes[kind])]
+        return np.concatenate([np.ones((len(votes), 1)), votes == 1, votes == -1, *hot], axis=1).astype(float)
 
-    @classmethod
-    def train(cls, votes: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def train(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Weighted logistic regression by Newton steps, with a small ridge."""
-        x, w = cls.features(votes), np.zeros(1 + 2 * votes.shape[1])
+        w = np.zeros(x.shape[1])
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (n * (q - p)) + 0.5 * w
@@ -380,94 +416,142 @@ class Model:
                 break
         return w
 
-    def probability(self, kind: str, votes: tuple[int, ...]) -> float:
+    def probability(self, kind: str, votes: tuple[int, ...], shape: tuple[int, ...]) -> float:
         if kind not in self.weights:
             return 0.0
-        z = float((self.features(np.array([votes])) @ self.weights[kind])[0])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = self.known.get((kind, votes, shape))
+        if p is None:
+            z = float((self.features(kind, np.array([votes]), np.array([shape])) @ self.weights[kind])[0])
+            p = self.known[kind, votes, shape] = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return p
+
+    def decide(self, spans: list[Span]) -> list[tuple[str, int, int]]:
+        """The spans believed, without overlaps."""
+        return chosen([(k, a, z, p) for k, a, z, v, s, _ in spans if (p := self.probability(k, v, s)) >= 0.5])
+
+
+def chosen(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
+    """Spans without overlaps: of two that overlap the more certain one, then the longer one."""
+    out: list[tuple[str, int, int]] = []
+    for _, k, _, a, z in sorted((-round(p, 6), KINDS.index(k), a - z, a, z) for k, a, z, p in spans):
+        if all(z <= b or a >= e for _, b, e in out):
+            out.append((KINDS[k], a, z))
+    return sorted(out, key=lambda s: s[1])
+
 
-    def decide(self, spans: list[Span], least: float = 0.5) -> list[tuple[str, int, int]]:
-        """The spans believed, without overlaps: of two that overlap the more certain one, then the longer one."""
-        ranked = sorted(((-round(self.probability(k, v), 6), KINDS.index(k), a - z, a, z) for k, a, z, v in spans))
-        out: list[tuple[str, int, int]] = []
-        for minus, k, _, a, z in ranked:
-            if -minus >= least and all(z <= b or a >= e for _, b, e in out):
-                out.append((KINDS[k], a, z))
-        return sorted(out, key=lambda s: s[1])
+def person_like(votes: tuple[int, ...]) -> bool:
+    """Whether a candidate stands where a person is named, whatever its words are."""
+    return votes[6] == votes[7] == 0 and votes[1] + votes[2] + votes[4] + votes[5] > 0
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
+    """Documents with ``c``, a number of id and text together."""
+    t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    return df.where(i.isNotNull() & t.isNotNull()).select(i.cast("long").alias("doc_id"), t.alias("_t"), F.xxhash64(i, t).alias("c"))
 
 
-def candidate_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, spans)``: the candidates of every document that has any, as JSON. One pass, nothing is moved."""
+CANDIDATES = pa.schema([("c", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int8()), ("a", pa.int32()), ("z", pa.int32()), ("votes", pa.string()), ("shape", pa.string()), ("first", pa.string()), ("named", pa.bool_())])
+
+
+def candidate_table(df: DataFrame, doc_id: str, text: str, first_names: frozenset[str] = FIRST_NAMES) -> DataFrame:
+    """A row per candidate: where it is, its votes and shape as text, a name's first word, and whether it stands where a
+    person is named. One pass over the texts, which are not moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, c) for i, t in enumerate(b.column(1).to_pylist()) if (c := candidates(t))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([json.dumps(c) for _, c in found], pa.string())], names=["doc_id", "spans"])
+            rows = []
+            for c, i, t in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, a, z, v, s, f in candidates(t, first_names):
+                    rows.append((c, i, KINDS.index(k), a, z, _text_of(v), _text_of(s), f or None, k == "name" and person_like(v)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(CANDIDATES), CANDIDATES, strict=True)], schema=CANDIDATES)
 
-    return _texts(df, doc_id, text).mapInArrow(run, "doc_id long, spans string")
+    return _texts(df, doc_id, text).mapInArrow(run, "c long, doc_id long, kind byte, a int, z int, votes string, shape string, first string, named boolean")
 
 
-def _spans(s: str) -> list[Span]:
-    return [(k, a, z, tuple(v)) for k, a, z, v in json.loads(s)]
+def _text_of(values: tuple[int, ...]) -> str:
+    return ",".join(map(str, values))
 
 
-def fit(table: DataFrame) -> Model:
-    """The model from the counts of all vote patterns (at most some hundred per kind come to the driver)."""
+@lru_cache(1 << 14)
+def _votes_of(votes: str, company: int) -> tuple[int, ...]:
+    v = tuple(map(int, votes.split(",")))
+    return (*v[:ELSEWHERE], company) if len(v) > ELSEWHERE else v
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str]] = Counter()
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                counts.update((k, json.dumps(v)) for k, _, _, v in _spans(s))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([v for _, v in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "votes", "n"])
 
-    rows = table.select("spans").mapInArrow(run, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
-    return Model(Counter({(r[0], tuple(json.loads(r[1]))): r[2] for r in rows}))
+@lru_cache(1 << 14)
+def _shape_of(shape: str) -> tuple[int, ...]:
+    return tuple(map(int, shape.split(",")))
 
 
-def personal_data(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, kind, start_pos, end_pos)`` of every place, in code points.
+def judged(table: DataFrame) -> tuple[DataFrame, Model]:
+    """Stored candidates with ``company``, the vote of what a name's first word does elsewhere, and the model fitted on all.
 
-    The documents are read once; their candidates are stored, the model is fitted on the counts of vote patterns of all
-    of them, and the stored candidates are classified. Null texts and ids are left out, empty texts have no places,
-    repeated rows are reported each, an empty table gives an empty result; extra columns are not read.
+    Words are counted in each task first; a word that very many candidates begin with ("the") is broadcast to them. Counts of
+    vote patterns (at most some thousand) come to the driver.
     """
-    from .common import stored
+    uses = stored(table.where(F.col("first").isNotNull()).groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("named").cast("long")).alias("m")))
+    share = F.col("m") / F.col("n")
+    told = uses.where(F.col("n") >= LEAST_USES).select("first", F.when(share >= NAMED_SHARE, 1).when(share < OTHER_SHARE, -1).alias("company")).where(F.col("company").isNotNull())
+    limit = max(10_000, table.count() // (4 * spread(table.sparkSession)))
+    rows = joined(table, told, "first", uses.where(F.col("n") > limit).select("first")).withColumn("company", F.coalesce("company", F.lit(0)))
+    counts = rows.groupBy("kind", "votes", "shape", "company").agg(F.count(F.lit(1)).alias("n")).collect()
+    return rows, Model(Counter({(KINDS[r[0]], _votes_of(r[1], r[3]), _shape_of(r[2])): r[4] for r in counts}))
 
-    table = stored(candidate_table(df, doc_id, text))
-    model = df.sparkSession.sparkContext.broadcast(fit(table))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(df: DataFrame, doc_id: str, text: str, first_names: frozenset[str] = FIRST_NAMES) -> DataFrame:
+    """``(c, doc_id, places)`` of the documents that have any: kinds and spans in order, without overlaps."""
+    rows, fitted = judged(stored(candidate_table(df, doc_id, text, first_names)))
+    model = df.sparkSession.sparkContext.broadcast(fitted)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [model.value.probability(KINDS[k], _votes_of(v, c), _shape_of(s)) for k, v, s, c in zip(*(b.column(n).to_pylist() for n in ("kind", "votes", "shape", "company")), strict=True)]
+            out = pa.RecordBatch.from_arrays([*(b.column(n) for n in ("c", "doc_id", "kind", "a", "z")), pa.array(p, pa.float64())], names=["c", "doc_id", "kind", "a", "z", "p"])
+            yield out.filter(pa.array([x >= 0.5 for x in p], pa.bool_()))
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *s) for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in model.value.decide(_spans(c))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "kind", "start_pos", "end_pos"])
+            places = [chosen([(KINDS[x["kind"]], x["a"], x["z"], x["p"]) for x in spans]) for spans in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"kind": k, "a": a, "z": z} for k, a, z in x] for x in places], PLACES)], names=["c", "doc_id", "places"])
+
+    kept = rows.mapInArrow(likely, "c long, doc_id long, kind byte, a int, z int, p double").distinct()
+    grouped = kept.groupBy("c", "doc_id").agg(F.collect_list(F.struct("kind", "a", "z", "p")).alias("_s"))  # one document's
+    return grouped.mapInArrow(resolved, "c long, doc_id long, places array<struct<kind:string,a:long,z:long>>")
+
 
-    return table.mapInArrow(run, "doc_id long, kind string, start_pos long, end_pos long")
+PLACES = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("z", pa.int64())]))
+
+
+def personal_data(df: DataFrame, doc_id: str, text: str, first_names: frozenset[str] = FIRST_NAMES) -> DataFrame:
+    """``(doc_id, kind, start_pos, end_pos)`` of every place, in code points.
+
+    The documents are read once; their candidates are stored, the models are fitted on the counts of vote patterns of all
+    of them, and the stored candidates are classified. Null texts and ids are left out, empty texts have no places, a row
+    repeated with its text is reported once, an empty table gives an empty result; extra columns are not read.
+    """
+    return _places(df, doc_id, text, first_names).select("doc_id", F.explode("places").alias("_p")).select("doc_id", F.col("_p.kind").alias("kind"), F.col("_p.a").alias("start_pos"), F.col("_p.z").alias("end_pos"))
 
 
 def redacted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, text, places)``: every text with typed placeholders for its personal data, the rest as it was.
 
-    A first pass counts votes for the model, a second one replaces; texts are never moved. Rows with a null text or id
-    are left out.
+    The places of ``personal_data`` are joined to the texts (broadcast, where Spark measures them to be few). Rows with a null
+    text or id are left out, repeated ones are kept.
     """
-    model = df.sparkSession.sparkContext.broadcast(fit(candidate_table(df, doc_id, text)))
+    found = _places(df, doc_id, text).select("c", F.col("doc_id").alias("_d"), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, places = [], []
-            for t in b.column(1).to_pylist():
-                spans = model.value.decide(candidates(t))
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 out, at = [], 0
-                for kind, a, z in spans:
-                    out += [t[at:a], PLACEHOLDER[kind]]
-                    at = z
+                for x in spans or []:
+                    out += [t[at : x["a"]], PLACEHOLDER[x["kind"]]]
+                    at = x["z"]
                 texts.append("".join([*out, t[at:]]))
-                places.append(len(spans))
+                places.append(len(spans or []))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(places, pa.int32())], names=["doc_id", "text", "places"])
 
-    return _texts(df, doc_id, text).mapInArrow(run, "doc_id long, text string, places int")
+    own = _texts(df, doc_id, text)
+    both = own.join(found, (own["c"] == found["c"]) & (F.col("doc_id") == F.col("_d")), "left").select("doc_id", "_t", "places")
+    return both.mapInArrow(run, "doc_id long, text string, places int")
