@@ -151,7 +151,7 @@ LABELERS = {
 }
 #: The labeler that looks a name's first word up in the whole corpus: votes from so many uses on, for or against, by the share
 #: of uses where a person is named.
-ELSEWHERE, LEAST_USES, NAMED_SHARE, OTHER_SHARE = 8, 3, 0.5, 0.1
+ELSEWHERE, LEAST_USES, NAMED_SHARE, OTHER_SHARE = 8, 3, 0.9, 0.1
 
 #: Labelers whose abstention tells nothing.
 SILENT = {"name": (0, ELSEWHERE)}
