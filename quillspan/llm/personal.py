@@ -58,7 +58,9 @@ BEFORE_NAME = re.compile(
 AFTER_NAME = re.compile(rf"^(?:{S}?(?:wrote|writes|reports?|reported|says)\s?:|{S}said{S}that|{S}asked{S}(?:why|whether|if|how)|{S}hat{S}angerufen|{S}a{S}demandé|{S}last{S}week|,{S}?(?:tel|phone|\+|\(?\d)|{S}?\(?[\w.+-]+\s?(?:@|\(at\)|\[at\]|AT\s)|{S}?\|{S}?[\w.+-]+|{S}?<|,\s*$)", re.I)
 TITLE_VERB = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme)\.?\s$")
 
-AT = re.compile(r"@|\s?\(at\)\s?|\s?\[at\]\s?|\s(?:AT)\s|\s&#64;\s", re.I)
+# What stands for @ (lower case); the word "at" between spaces does too.
+AT_SIGNS = ("@", "(at)", "[at]", "&#64;")
+AT_WORD = re.compile(r"at(?=\s)")
 LOCAL = re.compile(r"[\w.%+-]*\w$")
 DOT = rf"(?:\.|{S}?\[dot\]{S}?|{S}?\(dot\){S}?|{S}DOT{S})"
 DOMAIN = re.compile(rf"(?:[A-Za-z0-9-]+{DOT})+[A-Za-z0-9]+", re.I)
@@ -158,7 +160,7 @@ SILENT = {"name": (0, ELSEWHERE)}
 
 #: kind, start, end, votes, shape (categories that only the classifier sees), first word of a name
 Span = tuple[str, int, int, tuple[int, ...], tuple[int, ...], str]
-DIGIT = re.compile(r"\d")
+DIGIT, DIGIT_RUN = re.compile(r"\d"), re.compile(r"\d+")
 
 
 def _finds(text: str, words: tuple[str, ...]) -> Iterator[int]:
@@ -176,9 +178,24 @@ def _lower(t: str) -> str:
     return low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t)
 
 
-def _emails(t: str) -> Iterator[Span]:
-    for m in AT.finditer(t):
-        a, z = m.span()
+def _ats(t: str, low: str) -> Iterator[tuple[int, int]]:
+    """Spans of @ and of what may stand for it, with the spaces beside."""
+    for w in AT_SIGNS:
+        for k in _finds(low, (w,)):
+            z = k + len(w)
+            if w == "@":
+                yield k, z
+            elif w != "&#64;":
+                yield k - (k > 0 and t[k - 1].isspace()), z + t[z : z + 1].isspace()
+            elif k and t[k - 1].isspace() and t[z : z + 1].isspace():
+                yield k - 1, z + 1
+    for m in AT_WORD.finditer(low):
+        if m.start() and t[m.start() - 1].isspace():
+            yield m.start() - 1, m.end() + 1
+
+
+def _emails(t: str, low: str) -> Iterator[Span]:
+    for a, z in _ats(t, low):
         local = LOCAL.search(t, max(0, a - 64), a)
         domain = DOMAIN.match(t, z)
         if not local or not domain:
@@ -187,7 +204,7 @@ def _emails(t: str) -> Iterator[Span]:
         if any(not p for p in host):
             continue
         end = domain.end()
-        plain = m[0] == "@" and "[" not in domain[0]
+        plain = t[a:z] == "@" and "[" not in domain[0]
         digits = host[-1].isdigit() or host[0].isdigit()
         ending = host[-1].lower() in ENDINGS
         left = t[max(0, local.start() - 24) : local.start()]
@@ -195,11 +212,12 @@ def _emails(t: str) -> Iterator[Span]:
         yield "email", local.start(), end, (form, 1 if ending else -1, 1 if MAIL_WORDS.search(left) else 0, -1 if digits or re.search(r"(?i)install\s$", left) else 0), (int(plain), min(3, len(host))), ""
 
 
-def _phones(t: str) -> Iterator[Span]:
+def _phones(t: str, runs: list[int]) -> Iterator[Span]:
     at = 0
-    for m in NUMBER_START.finditer(t):
-        a = m.start()
-        if a < at:
+    for a in runs:
+        while a and t[a - 1] in "+(":
+            a -= 1
+        if a < at or not NUMBER_START.match(t, a):
             continue
         best = 0
         if PHONE_START.match(t, a):
@@ -225,16 +243,24 @@ def _phones(t: str) -> Iterator[Span]:
         yield "phone", a, best, (form, 1 if PHONE_WORDS.search(left) else 0, 1 if sign else 0, 1 if 9 <= n <= 14 else -1, -1 if NO_PHONE.search(left) else 0), (min(n, 14), "+(0".find(value[0]) + 1), ""
 
 
-def _ids(t: str, low: str) -> Iterator[Span]:
+def _ids(t: str, low: str, runs: list[int]) -> Iterator[Span]:
     seen = set()
+    starts = []
+    for p in runs:  # with the letters before the digits
+        a = p - 1 if p and t[p - 1] in "- \n\r\t" else p
+        k = a
+        while k and a - k < 3 and "A" <= t[k - 1] <= "Z":
+            k -= 1
+        starts.append(k if k < a else p)
 
     def votes(a: int, z: int, form: int, label: bool) -> tuple:
         left = t[max(0, a - 24) : a]
         letters = sum(map(str.isalpha, t[a:z]))
         return (form, 1 if label else -1, -1 if PHONE_WORDS.search(left) else 0, -1 if not label and NO_PHONE.search(left) else 0), (min(letters, 3), min(z - a, 16)), ""
 
-    for m in ID_START.finditer(t):
-        a = m.start()
+    for a in starts:
+        if not ID_START.match(t, a):
+            continue
         end = max((x.end() for p in ID_SHAPES if (x := p.match(t, a)) and not t[x.end() : x.end() + 1].isalnum()), default=0)
         if end:
             seen.add(a)
@@ -250,16 +276,15 @@ def _ids(t: str, low: str) -> Iterator[Span]:
                 seen.add(a)
                 yield "id_number", a, x.end(), *votes(a, x.end(), 0, True)
             break
-    for m in CODE.finditer(t):  # codes of any other form
-        if m.start() not in seen:
+    for a in starts:  # codes of any other form
+        if a not in seen and (m := CODE.match(t, a)):
             yield "id_number", m.start(), m.end(), *votes(m.start(), m.end(), 0, bool(ID_LABEL.search(t[max(0, m.start() - 48) : m.start()])))
 
 
-def _address_spans(t: str, low: str) -> Iterator[tuple[int, int]]:
+def _address_spans(t: str, low: str, runs: list[int]) -> Iterator[tuple[int, int]]:
     number, rue, german, first, box = ADDRESSES
-    for m in NUMBERED.finditer(t):
-        a = m.start()
-        if a and (t[a - 1].isalnum() or t[a - 1] in "-.#/"):
+    for a in runs:
+        if not NUMBERED.match(t, a) or a and (t[a - 1].isalnum() or t[a - 1] in "-.#/"):
             continue
         x = number.match(t, a) or rue.match(t, a)
         if x:
@@ -280,11 +305,15 @@ def _address_spans(t: str, low: str) -> Iterator[tuple[int, int]]:
                 yield x.span()
 
 
-def _addresses(t: str, low: str) -> Iterator[Span]:
-    spans = {x: 1 for x in _address_spans(t, low)}
+def _addresses(t: str, low: str, runs: list[int]) -> Iterator[Span]:
+    spans = {x: 1 for x in _address_spans(t, low, runs)}
     starts = {a for a, _ in spans}
-    for m in BESIDE.finditer(t):  # numbers beside capitalised words, of whatever sort
-        if m.start() not in starts:
+    for p in runs:  # numbers beside capitalised words, of whatever sort
+        m = BESIDE.match(t, p)
+        if not m and p > 3 and t[p - 1] == " ":
+            a = 1 + max(t.rfind(" ", 0, p - 1), t.rfind("\n", 0, p - 1))
+            m = BESIDE.match(t, a) if t[a].isupper() else None
+        if m and m.start() not in starts:
             spans.setdefault(m.span(), -1)
     done = -1
     for (a, z), street in sorted(spans.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
@@ -348,7 +377,8 @@ CLOSING = re.compile(r"\b(?:Regards|regards|Best|Thanks|Thank you|Cheers|Sincere
 def candidates(t: str, first_names: frozenset[str] = FIRST_NAMES) -> list[Span]:
     """All candidate spans of a text with the votes of their kind's labelers."""
     low = _lower(t)
-    out = [*_emails(t), *_phones(t), *_ids(t, low), *_addresses(t, low)]
+    runs = [m.start() for m in DIGIT_RUN.finditer(t)]
+    out = [*_emails(t, low), *_phones(t, runs), *_ids(t, low, runs), *_addresses(t, low, runs)]
     return out + list(_names(t, [(a, z) for k, a, z, v, *_ in out if k != "id_number" and v[0] > 0], first_names))
 
 
