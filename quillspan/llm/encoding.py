@@ -3,7 +3,8 @@
 Every word with a character outside ASCII (or an escape) is the start of a best-first search. A state is a text, an
 operation encodes it in one character set and decodes the bytes in another, or resolves escapes; a visited set holds the
 states' hashes, and a cost for implausible characters orders the queue. The cheapest text reached is the repair. Words
-repeat a lot, so each task keeps what it found.
+repeat a lot, so each task keeps what it found. The chains of operations that the words of a line propose are then judged
+over the whole line, by how frequent its pairs of letters are in the corpus: a line was garbled in one way.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ SPACING = frozenset("¤¦¨¬¯´¸¢£¥¶±ˆ˜ˇ˘˙˛˝‰†‡‚„‹›
 ESCAPED = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}|(?:=[89A-F][0-9A-F]){2,}")
 #: What a row must hold to be looked at (Java syntax): anything beyond ASCII, or an escape.
 LOOKED_AT = r"[^\x00-\x7f]|[\x01-\x08\x0e-\x1f\x7f]|&#?\w{2,8};|\\[ux][0-9a-fA-F]{2}|(%[89A-Fa-f][0-9A-Fa-f]){2}|(=[89A-F][0-9A-F]){2}"
-MARGIN, STEP, DEPTH = 0.9, 0.5, 5
+MARGIN, STEP = 0.9, 0.5
 #: Cost from which a word is garbled though nothing repairs it.
 LOST = 6
 #: What is left of a letter spelled in UTF-8 whose last byte was dropped.
@@ -47,6 +49,7 @@ CUT = re.compile("[a-zß-ÿ][ÂÃÐÑ][a-zß-ÿ]")
 WORD = re.compile(r"[^ \t\r\n]+")
 WIDE = re.compile("[\uff00-\uffef\u3000\xa0\u2007\u202f]")
 INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff]")
+TWO_SCRIPTS = re.compile("[A-Za-zÀ-ɏ][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-zÀ-ɏ]")
 CYRILLIC_WORD = re.compile("[\u0400-\u04ff]+")
 RUSSIAN_WORD = re.compile("(?<![\u0400-\u04ff])[а-яё]{3,}(?![\u0400-\u04ff])")
 PURE_CYRILLIC = re.compile(r"[\u0400-\u04ff\W\d_]+")
@@ -267,7 +270,8 @@ def search(word: str, mixed: bool = False, line: str = "") -> tuple[str, float,
     """The cheapest text reachable from a word, the cost it saves, and the operations that lead there.
 
     Best first: the queue is ordered by the text's cost plus what its operations cost. A state is visited once. A
-    successor is kept if it is cheaper than its parent, so the search ends by itself. A word that becomes plausible
+    successor is kept if it is cheaper than its parent - one that spells UTF-8 also if it is dearer by up to ten, as it may have to pass
+    through control characters; it is shorter than its parent. So the search ends by itself, with no limit on its depth. A word that becomes plausible
     by exchanging letters for those they look like is no case of a wrong encoding and is left alone.
     """
     start = cost(word, mixed, line)
@@ -301,7 +305,7 @@ def _cheapest(word: str, start: float, tried: list, mixed: bool, line: str) -> t
             best, best_cost, best_ops = text, rank, ops
         if own == 0 and ops:
             break
-        if own == 0 or len(ops) >= DEPTH:
+        if own == 0:
             continue
         paid = rank - own
         for op in tried:
@@ -339,10 +343,57 @@ def lost(word: str, mixed: bool = False, line: str = "") -> bool:
     return odd >= 2 and min(cost(x, mixed, line) for x in (bare, skeleton(bare), cyrillic_skeleton(bare))) >= LOST
 
 
+# How much rarer than usual a pair must be before a line's sets are doubted, and by how much a reading in another
+# set must be more frequent, for each pair that it changes and for the line (logarithms).
+RARE, BETTER, BETTER_LINE, FLOOR = 2.0, 2.0, 7.0, 0.1
+_SPACED = {c: " " for c in range(0x80) if not chr(c).isalpha()}
+#: The characters whose pairs are counted: all that the character sets know, and ASCII letters.
+ALPHABET = sorted({c for table in (*BYTES.values(), *({c: 0 for c in t.values()} for t in CHARS.values())) for c in table} | {c for name in SHOWN_AS for c in BYTES[name]})
+RECODES = [op for op in ALL_OPS if op[0] == "recode"]
+TABLES = {op: {ord(c): CHARS[op[2]][b] for c, b in BYTES[op[1]].items()} for op in RECODES}
+
+
+class Pairs:
+    """How frequent pairs of characters are in a corpus, of which at least one is beyond ASCII."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        total = sum(counts.values()) + 1
+        self.log = {p: math.log((n + FLOOR) / total) for p, n in counts.items()}
+        self.floor = math.log(FLOOR / total)
+        self.usual = sum(n * self.log[p] for p, n in counts.items()) / total
+
+    def score(self, t: str) -> tuple[float, int]:
+        """The sum of logarithms over the text's pairs, and their number."""
+        get, floor, s, n = self.log.get, self.floor, 0.0, 0
+        t = f" {t} ".translate(_SPACED)
+        for a, b in zip(t, t[1:], strict=False):
+            if a > "\x7f" or b > "\x7f":
+                s += get(a + b, floor)
+                n += 1
+        return s, n
+
+    def rarest(self, t: str) -> float:
+        """The logarithm of the text's rarest pair."""
+        t = f" {t} ".translate(_SPACED)
+        return min((self.log.get(a + b, self.floor) for a, b in zip(t, t[1:], strict=False) if a > "\x7f" or b > "\x7f"), default=0.0)
+
+
+def count_pairs(texts: list[str]) -> dict[str, int]:
+    """The pairs of the alphabet in texts, counted in one array."""
+    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").translate(_SPACED).encode("utf-32-le", "surrogatepass"), "<u4")
+    known = np.isin(points, np.array([0x20, *map(ord, ALPHABET), *range(0x41, 0x5B), *range(0x61, 0x7B)], np.uint32))
+    beyond = points > 0x7F
+    ok = known[:-1] & known[1:] & (beyond[:-1] | beyond[1:])
+    pairs, n = np.unique(points[:-1][ok].astype(np.uint64) << np.uint64(32) | points[1:][ok], return_counts=True)
+    return {chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF): int(k) for p, k in zip(pairs, n, strict=True)}
+
+
 class Repairer:
-    """Repairs texts word by word and remembers the words it has seen."""
+    """Repairs texts word by word, then by the line, and remembers the words it has seen. ``pairs``: how frequent pairs of
+    letters are; without them only the words decide."""
 
-    def __init__(self, most_words: int = 200_000) -> None:
+    def __init__(self, pairs: Pairs | None = None, most_words: int = 200_000) -> None:
+        self.pairs = pairs
         self.words: dict[tuple[str, bool, str], tuple[str, bool, tuple]] = {}
         self.most = most_words
 
@@ -371,6 +422,27 @@ class Repairer:
             return apply(op, w), True, (op,)
         return result
 
+    def reading(self, words: list[str], chains: list[tuple]) -> tuple[float, float, tuple, list[str]]:
+        """The most frequent reading of a line's words: its score, that of the words as they stand, the chain of operations that
+        leads to it, and the words. Chains come from the words' searches; every exchange of one set for another is tried, too."""
+        asked = " ".join(words)
+        own, n = self.pairs.score(asked)
+        best, chain, text, seen = own, (), asked, {asked}
+        for ops in [*chains, *((op,) for op in RECODES)]:
+            if len(ops) == 1 and ops[0] in TABLES:
+                new = asked.translate(TABLES[ops[0]])
+            else:
+                new = " ".join(_chained(ops, w) for w in words)
+            if new in seen:
+                continue
+            seen.add(new)
+            s, k = self.pairs.score(new)
+            # fewer pairs beyond ASCII are not better by their number: those that went count as usual ones
+            s += self.pairs.usual * max(0, n - k) - STEP * len(ops)
+            if s > best and new.count(" ") == asked.count(" "):
+                best, chain, text = s, ops, new
+        return best, own, chain, text.split(" ")
+
     def text(self, t: str) -> tuple[bool, str, bool]:
         """Whether the text is garbled, the text as it was (as far as it can be had), and whether that is whole."""
         parts = [m for m in WORD.finditer(t) if not m[0].isascii() or ESCAPED.search(m[0]) or HARD.search(m[0])]
@@ -378,45 +450,94 @@ class Repairer:
             return False, t, True
         mixed, line = of_mixed_case(t), script_of_line(t)
         results = [self.word(m[0], mixed, line) for m in parts]
-        if not any(r[1] for r in results):
+        flagged = any(r[1] for r in results)
+        if not flagged and not (self.pairs and self.doubted([m[0] for m in parts])):
             return False, t, True
         results = [self._hebrew(m[0], r, parts, line) for m, r in zip(parts, results, strict=True)]
         usual = Counter(r[2] for r in results if r[1] and r[2]).most_common(1)
-        out, at, whole = [], 0, True
+        words, whole = [], True
         for m, (new, wrong, ops) in zip(parts, results, strict=True):
             # words of one line were garbled alike: what most of them underwent is tried for those that are plausible by
             # chance, and for those that could be read in other ways as well
             if usual and ops != usual[0][0] and not (PURE_CYRILLIC.fullmatch(m[0]) and not m[0].isupper()):
-                other = m[0]
-                for op in usual[0][0]:
-                    other = apply(op, other)
+                other = _chained(usual[0][0], m[0])
                 if cost(other, mixed, line) <= cost(new, mixed, line):
                     new = other
             whole = whole and not (wrong and new == m[0])
+            words.append(new)
+        if self.pairs:
+            words, whole = self._line([m[0] for m in parts], words, [r[2] for r in results if r[2]], whole)
+            if not flagged and words == [m[0] for m in parts]:
+                return False, t, True
+        out, at = [], 0
+        for m, new in zip(parts, words, strict=True):
             out += [t[at : m.start()], new]
             at = m.end()
         fixed = "".join([*out, t[at:]])
         return True, fixed, whole and not HARD.search(fixed)
 
+    def doubted(self, words: list[str]) -> bool:
+        """Whether a line that no word of gives away has rare pairs, and only letters that its sets may have changed."""
+        return self.pairs.rarest(" ".join(words)) < self.pairs.usual - RARE and not any(WIDE.search(w) or INVISIBLE.search(w) or TWO_SCRIPTS.search(w) or unicodedata.normalize("NFC", w) != w for w in words)
+
+    def _line(self, words: list[str], fixed: list[str], chains: list[tuple], whole: bool) -> tuple[list[str], bool]:
+        """The words' own repairs, or the reading of the whole line where that is clearly more frequent."""
+        best, own, chain, read = self.reading(words, list(dict.fromkeys(chains)))
+        if not chain or len(read) != len(words):
+            return fixed, whole
+        now, n = self.pairs.score(" ".join(fixed))
+        if fixed != words:
+            now += self.pairs.usual * max(0, self.pairs.score(" ".join(words))[1] - n)
+            # a word of a mixed line that was sound stays as it is
+            return (read, True) if best > now and not any(map(HARD.search, read)) else (fixed, whole)
+        was, new = " ".join(words), " ".join(read)
+        changed = [a != b for a, b in zip(was, new, strict=False)] if len(was) == len(new) else [True] * len(was)
+        n = sum(a or b for a, b in zip([False, *changed], [*changed, False], strict=True))  # pairs with a changed character
+        if best - own >= max(BETTER_LINE, BETTER * n):
+            return read, True
+        return fixed, whole
+
+
+def _chained(ops: tuple, w: str) -> str:
+    for op in ops:
+        w = apply(op, w)
+    return w
+
+
+def letter_pairs(df: DataFrame, text: str) -> Pairs:
+    """The pairs of letters of all texts of a table. Counted in each task; the alphabet has some 600 characters, so there are at
+    most as many pairs as its square, and some thousand in practice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for b in batches:
+            counts.update(count_pairs(b.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    r = Repairer()
-    for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        rows = [(i, *x[1:]) for i, t in enumerate(texts) if (x := r.text(t))[0]]
-        take = pa.array([i for i, *_ in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.take(take), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.bool_())], names=["rec_id", "repaired", "whole"])
+    rows = df.where(F.col(f"`{text}`").rlike(r"[^\x00-\x7f]")).select(F.col(f"`{text}`").alias("_t"))
+    return Pairs({r[0]: r[1] for r in rows.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()})
 
 
 def garbled(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``(rec_id, repaired, whole)`` for every record whose text shows wrongly decoded characters.
 
-    ``whole`` is false where something stays lost (replacement or control characters, words nothing repairs). No shuffle: rows of plain ASCII are
+    ``whole`` is false where something stays lost (replacement or control characters, words nothing repairs). A first pass counts
+    the pairs of letters of all texts, a second one repairs. No text is moved: rows of plain ASCII are
     dropped by the JVM, the others are searched where they are read. Null or empty texts are never garbled, null ids stay
     null, repeated rows are reported each; an empty table gives an empty result. Only the two named columns are read.
     """
+    pairs = df.sparkSession.sparkContext.broadcast(letter_pairs(df, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Repairer(pairs.value)
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            rows = [(i, *x[1:]) for i, t in enumerate(texts) if (x := r.text(t))[0]]
+            take = pa.array([i for i, *_ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.bool_())], names=["rec_id", "repaired", "whole"])
+
     rows = df.where(F.col(f"`{text}`").rlike(LOOKED_AT)).select(F.col(f"`{record_id}`").cast("long").alias("rec_id"), F.col(f"`{text}`").alias("_t"))
-    return rows.mapInArrow(_repaired, "rec_id long, repaired string, whole boolean")
+    return rows.mapInArrow(run, "rec_id long, repaired string, whole boolean")
 
 
 def garbled_rows(df: DataFrame, text: str, wanted: bool = True) -> DataFrame:

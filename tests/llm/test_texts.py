@@ -58,6 +58,43 @@ def test_look_alikes_are_no_wrong_encoding():
         assert not encoding.Repairer().text(t)[0], t
 
 
+# Sentences of which lines are made.
+CLEAN = [
+    "La montaña pequeña llegó sin explicación después del café.", "El niño durmió mucho más allí, ¿verdad?", "Á última hora, la canción sonó así en el jardín.", "À côté du marché, le théâtre était fermé à sept heures.",
+    "Où est la forêt près de la rivière où naît le fleuve ?", "Dès l'été, les élèves préfèrent être à la plage.", "Größere Gäste hören die schöne Übung für später.", "Die Straße führt über müde Füße zum Mädchen.",
+    "O cão não começou às três; informações à mão.", "A região terá eleições já em março, não é?", "Большая таблица ждёт новой проверки до вечера.", "Тихий сад хранит старые ответы в каждой строке.", "Новый путь ведёт через лес к реке и обратно.", "Кто читает эти письма, тот знает ответ на вопрос.",
+]
+
+
+@pytest.mark.parametrize(
+    ("meant", "shown"),
+    [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "cp1251"), ("utf-8", "mac_roman"), ("cp1251", "koi8-r"), ("koi8-r", "cp1252"), ("koi8-r", "cp1251"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1250"), ("mac_roman", "cp1252"), ("cp866", "cp1251"), ("cp1252", "cp1251"), ("cp850", "cp1252")],
+)
+def test_restored_lines(meant, shown):
+    """Nine lines of ten come back as they were, whatever set they were shown in; clean ones are left alone."""
+    rng = random.Random(meant + shown)
+    latin, russian = CLEAN[:10], CLEAN[10:]
+    clean = [" ".join(rng.sample(part, 2)) for part in (latin, russian) for _ in range(150)]
+    pairs = encoding.Pairs(encoding.count_pairs(clean * 5))
+    repair = encoding.Repairer(pairs)
+    garbled = []
+    for t in dict.fromkeys(clean):
+        try:
+            g = t.encode(meant).decode(shown)
+        except UnicodeError:
+            continue
+        if g != t:
+            garbled.append((g, t))
+    right = sum(repair.text(g)[1] == t for g, t in garbled)
+    assert len(garbled) >= 12 and right >= 0.9 * len(garbled), (len(garbled), right)
+    assert not any(repair.text(t)[0] for t in clean)
+
+
+def test_pairs_are_counted_as_they_are_looked_up():
+    counts = encoding.count_pairs(["né, 5 été!", "a日é", "é"])
+    assert counts == {"né": 1, "é ": 3, " é": 2, "ét": 1, "té": 1}
+
+
 def test_garbled_table(spark):
     rows = [(1, "Ã©cole", "x"), (2, "école", "x"), (3, None, "x"), (4, "", "x"), (None, "Ã©t", "x"), (1, "Ã©cole", "x"), (5, "a" * 50_000 + "Ã©", "x")]
     df = spark.createDataFrame(rows, "id long, t string, rec_id string")
