@@ -49,7 +49,8 @@ CUT = re.compile("[a-zß-ÿ][ÂÃÐÑ][a-zß-ÿ]")
 WORD = re.compile(r"[^ \t\r\n]+")
 WIDE = re.compile("[\uff00-\uffef\u3000\xa0\u2007\u202f]")
 INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff]")
-TWO_SCRIPTS = re.compile("[A-Za-zÀ-ɏ][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-zÀ-ɏ]")
+TWO_SCRIPTS = re.compile("[A-Za-zÀ-ɏ][\u0370-\u058f]|[\u0370-\u058f][A-Za-zÀ-ɏ]|[ı\u0250-\u02af]")
+ANY_LETTER = re.compile(r"[^\W\d_ªº]")
 CYRILLIC_WORD = re.compile("[\u0400-\u04ff]+")
 RUSSIAN_WORD = re.compile("(?<![\u0400-\u04ff])[а-яё]{3,}(?![\u0400-\u04ff])")
 PURE_CYRILLIC = re.compile(r"[\u0400-\u04ff\W\d_]+")
@@ -451,7 +452,7 @@ class Repairer:
         mixed, line = of_mixed_case(t), script_of_line(t)
         results = [self.word(m[0], mixed, line) for m in parts]
         flagged = any(r[1] for r in results)
-        if not flagged and not (self.pairs and self.doubted([m[0] for m in parts])):
+        if not flagged and (mixed or not self.pairs or not self.doubted([m[0] for m in parts])):
             return False, t, True
         results = [self._hebrew(m[0], r, parts, line) for m, r in zip(parts, results, strict=True)]
         usual = Counter(r[2] for r in results if r[1] and r[2]).most_common(1)
@@ -467,7 +468,7 @@ class Repairer:
             words.append(new)
         if self.pairs:
             words, whole = self._line([m[0] for m in parts], words, [r[2] for r in results if r[2]], whole)
-            if not flagged and words == [m[0] for m in parts]:
+            if not flagged and not any(new != m[0] and ANY_LETTER.search(m[0]) for m, new in zip(parts, words, strict=True)):
                 return False, t, True
         out, at = [], 0
         for m, new in zip(parts, words, strict=True):
