@@ -13,6 +13,8 @@ BLANK = r"^[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 LEADING_SPACE = r"^[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Leading white space and characters that don't print (such as a byte order mark).
 LEADING_UNPRINTABLE = r"^[\x00-\x20\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\ufff9-\ufffb]+"
+#: White space at either end.
+OUTER_SPACE = LEADING_SPACE + "|" + LEADING_SPACE[1:-1] + "+$"
 GRAM = 3
 
 
@@ -55,6 +57,16 @@ def displayed_clean(c: Column) -> Column:
     return F.regexp_replace(c, LEADING_UNPRINTABLE, "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, OUTER_SPACE, "")
+
+
+def logged_column(c: Column) -> Column:
+    """``logged`` over a column."""
+    return F.replace(F.replace(F.substring(c, 1, 200), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
+
 def logged(query: str) -> str:
     """A query as it goes to the log: 200 characters, line ends escaped."""
     return query[:200].replace("\r", "\\r").replace("\n", "\\n")

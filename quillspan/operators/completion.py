@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import Compiled, any_pattern, gate, may_match, score
-from ..functions.text import displayed, logged, normalize, normalize_text, trigrams
+from ..functions.matching import SHORT_QUERY, Compiled, any_pattern, gate, may_match, score
+from ..functions.text import displayed, logged, normalize, normalize_text
 from ..logs import logger
 
 DEFAULT_K = 5
@@ -65,6 +68,11 @@ def observed_completions(sentences: DataFrame, query: str, k: int = DEFAULT_K) -
     return rows.orderBy(*_order()).limit(k), seen
 
 
+def display_order_columns() -> list:
+    """What results are shown in the order of, ascending."""
+    return [(-F.col("score")).alias("_1"), F.lower("completed_sentence").alias("_2"), F.col("completed_sentence").alias("_3"), F.col("source_text").alias("_4"), F.col("offset").alias("_5")]
+
+
 def display_order(results: DataFrame, most: int = DEFAULT_K) -> DataFrame:
     """The rows as they are shown, with ``rank`` from 1: by score, then text regardless of case, then as they were chosen.
 
@@ -81,50 +89,70 @@ def suggestion_lines(shown: DataFrame) -> DataFrame:
     return shown.select("rank", text.alias("line"))
 
 
+#: Queries that one pass over the lines carries.
+BLOCK = 20_000
+
+
+class _Queries:
+    """A block of queries, found together in a line: all texts of which a match needs one, in one automaton."""
+
+    def __init__(self, queries: list[str], k: int) -> None:
+        self.queries, self.k = queries, k
+        self.compiled = [Compiled(q) for q in queries]
+        needed: dict[str, list[int]] = {}
+        for n, c in enumerate(self.compiled):
+            # one edit leaves one half whole; short queries need one of their trigrams, or stand as they are
+            for part in dict.fromkeys(c.halves if len(c.query) > SHORT_QUERY else c.gates):
+                needed.setdefault(part, []).append(n)
+        self.needed = needed
+        self.search = ahocorasick.Automaton()
+        for part, of in needed.items():
+            self.search.add_word(part, of)
+        if needed:
+            self.search.make_automaton()
+
+    def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of a task's lines for each query."""
+        held: list[list[tuple[int, str, str, int]]] = [[] for _ in self.queries]
+        for b in batches:
+            for line, text, path, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found: set[int] = set()
+                for _, of in self.search.iter(line or "") if self.needed else ():
+                    found.update(of)
+                for n in found:
+                    s = self.compiled[n].score(line)
+                    if s is not None:
+                        held[n].append((-s, text, path, offset))
+                        if len(held[n]) > 64 + 4 * self.k:
+                            held[n] = sorted(held[n])[: self.k]
+        rows = [(self.queries[n], *r) for n, h in enumerate(held) for r in sorted(h)[: self.k]]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["_q", "_minus", "completed_sentence", "source_text", "offset"])
+
+
 def batch_completions(sentences: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The ``k`` best lines for every row ``(query_id, query)``: ``(query_id, rank, completed_sentence, ...)``.
 
-    Queries meet lines by equal trigrams, not by comparing all with all: one edit leaves one half of a query whole, so for six
-    characters or more the rarest trigram of either half is enough; three to five characters need all of theirs (the
-    gate); one and two characters are looked up as they stand among a line's runs of that length. What meets is checked
-    by the compiled query, and a group limit keeps k rows per query before the last shuffle. Lines are moved only where
-    they meet a query. A null query or one that normalizes to nothing has no rows; queries are told apart by their id.
+    The stated queries go to the lines, in blocks of ``BLOCK`` different ones, and every block is one pass: an automaton finds
+    the queries of which a line holds what any match needs, the compiled query scores it, and a task keeps k lines of each.
+    Only those are moved; lines that very many queries meet, or the other way round, cost time where they are and nothing
+    else. A null query or one that normalizes to nothing has no rows; queries are told apart by their id.
     """
-
-    known = queries.where(F.col("query").isNotNull()).select("query_id", "query")
-    asked = known.select("query_id", normalize(F.col("query")).alias("_q")).where(F.col("_q") != "")
-    size = F.length("_q")
-    half = F.floor(size / 2).cast("int")
-    part = F.explode(F.when(size >= 6, F.array(F.substring("_q", F.lit(1), half), F.substring("_q", half + 1, size))).otherwise(F.array("_q")))
-    grams = asked.where(size >= 3).select("query_id", "_q", part.alias("_part")).select("query_id", "_q", "_part", F.explode(F.array_distinct(trigrams(F.col("_part")))).alias("_g"))
-    line = F.col("normalized_text")
-
-    def holding(runs: Column, wanted: DataFrame) -> DataFrame:
-        # the alphabet has 37 characters, so there are at most 37^3 = 50,653 keys: a bounded broadcast
-        return sentences.select("source_path", "offset", F.explode(F.array_distinct(runs)).alias("_g")).join(F.broadcast(wanted.select("_g").distinct()), "_g")
-
-    held = holding(trigrams(line), grams)
-    sizes = F.broadcast(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
-    rare = Window.partitionBy("query_id", "_part").orderBy(F.coalesce("_n", F.lit(0)).asc(), F.col("_g").asc())
-    chosen = grams.join(sizes, "_g", "left").withColumn("_r", F.row_number().over(rare)).where((size < 6) | (F.col("_r") == 1)).select("query_id", "_q", "_g")
-    met = held.join(chosen, "_g").select("query_id", "_q", "source_path", "offset")
-    # queries of one or two characters only match as they stand; without any, this part is empty and costs nothing
-    tiny = asked.where(size < 3).select("query_id", "_q", F.col("_q").alias("_g"))
-    pairs = F.concat(F.regexp_extract_all(line, F.lit("(?=(.{2}))"), F.lit(1)), F.split(line, ""))
-    met = met.unionByName(holding(pairs, tiny).join(tiny, "_g").select("query_id", "_q", "source_path", "offset")).distinct()
-    both = met.join(sentences.select("source_path", "offset", "original_text", "normalized_text"), ["source_path", "offset"])
-
-    @F.pandas_udf("int")
-    def best(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        compiled: dict[str, Compiled] = {}
-        for q, text in parts:
-            for x in q.unique():
-                if x not in compiled:
-                    compiled[x] = Compiled(x)
-            yield pd.Series([compiled[a].score(b) for a, b in zip(q, text, strict=True)], dtype="Int32")
-
-    scored = both.withColumn("score", best("_q", "normalized_text")).where(F.col("score").isNotNull())
-    rows = scored.select("query_id", F.col("original_text").alias("completed_sentence"), F.col("source_path").alias("source_text"), F.col("offset").cast("int").alias("offset"), "score")
-    order = Window.partitionBy("query_id").orderBy(*_order())
-
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "completed_sentence", "source_text", "offset", "score")
+    spark = sentences.sparkSession
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", normalize(F.col("query")).alias("_q")).where(F.col("_q") != "")
+    texts = sorted(r[0] for r in asked.select("_q").distinct().collect())  # what is asked, not what is searched
+    lines = sentences.select("normalized_text", "original_text", "source_path", F.col("offset").cast("int"))
+    schema = "_q string, _minus int, completed_sentence string, source_text string, offset int"
+    found = [spark.createDataFrame([], schema)]
+    for n in range(0, len(texts), BLOCK):
+        block = spark.sparkContext.broadcast(texts[n : n + BLOCK])
+
+        def run(batches: Iterator[pa.RecordBatch], block: Any = block) -> Iterator[pa.RecordBatch]:
+            yield from _Queries(block.value, k).best(batches)
+
+        found.append(lines.mapInArrow(run, schema))
+    rows = reduce(DataFrame.unionByName, found).withColumn("score", -F.col("_minus"))
+    own = Window.partitionBy("_q").orderBy(*_order())
+    best = rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    return asked.join(best, "_q").select("query_id", "rank", "completed_sentence", "source_text", "offset", "score")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import SHORT_QUERY
 from ..functions.text import normalize_text, trigrams, trigrams_of, words
 from ..sources.archive import read_zip
+from ..storage import exists
 from . import lines as _lines
 
+#: Words that a short query may stand in for them to be looked up by name; beyond that the table is searched.
+MOST_WORDS = 1000
 TABLES = ("sentences", "word_postings", "trigram_postings", "vocabulary")
 
 
@@ -43,16 +46,20 @@ def vocabulary(sentences: DataFrame) -> DataFrame:
 
 
 def index_counts(sentences: DataFrame) -> DataFrame:
-    """One row: ``sentences``, ``words``, ``trigrams``."""
-    grams = sentences.select(F.explode(F.array_distinct(trigrams(F.col("normalized_text")))).alias("t")).distinct()
-    parts = (("sentences", sentences), ("words", vocabulary(sentences)), ("trigrams", grams))
-    counts = [d.agg(*[(F.count(F.lit(1)) if name == own else F.lit(0).cast("long")).alias(name) for name, _ in parts]) for own, d in parts]
-    return reduce(DataFrame.unionByName, counts).agg(*[F.sum(name).alias(name) for name, _ in parts])
+    """One row: ``sentences``, ``words``, ``trigrams``. One pass over the lines: words and trigrams leave them together, each
+    with a mark, and are made distinct in the tasks before the shuffle."""
+    line = F.col("normalized_text")
+    own, lines = F.array(F.lit("")), F.lit("l")
+    parts = F.array(F.struct(lines.alias("of"), own.alias("values")), F.struct(F.lit("w").alias("of"), F.array_distinct(words(line)).alias("values")), F.struct(F.lit("t").alias("of"), F.array_distinct(trigrams(line)).alias("values")))
+    flat = sentences.select(F.explode(parts).alias("_p")).select("_p.of", F.explode("_p.values").alias("value"))
+    per = flat.groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda kind: F.sum(F.when(F.col("of") == kind, F.col("n") if kind == "l" else 1).otherwise(0)).cast("long")
+    return per.agg(*(F.coalesce(count(k), F.lit(0)).alias(name) for k, name in (("l", "sentences"), ("w", "words"), ("t", "trigrams"))))
 
 
 def word_candidates(pairs: DataFrame, word: str) -> DataFrame:
-    """Ids of the lines that hold a word, sorted."""
-    return pairs.where(F.col("word") == word).select("sentence_id").orderBy("sentence_id")
+    """Ids of the lines that hold a word. Over a stored table only the word's own rows are read."""
+    return pairs.where(F.col("word") == word).select("sentence_id")
 
 
 def trigram_candidates(pairs: DataFrame, text: str) -> DataFrame:
@@ -60,6 +67,11 @@ def trigram_candidates(pairs: DataFrame, text: str) -> DataFrame:
     return pairs.where(F.col("trigram").isin(trigrams_of(text))).select("sentence_id").distinct()
 
 
+def intersected(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """Ids that are in all of several lookups, once each."""
+    return reduce(lambda a, b: a.join(b, "sentence_id", "left_semi"), more, first.distinct())
+
+
 def contains_word(vocab: DataFrame, word: str) -> bool:
     return not vocab.where(F.col("word") == word).limit(1).isEmpty()
 
@@ -81,36 +93,43 @@ def short_query_candidates(pairs: DataFrame, vocab_pairs: DataFrame, query: str)
     return trigram_candidates(pairs, query).union(vocab_pairs.where(F.col("word").contains(query)).select("sentence_id")).distinct()
 
 
-def candidates(sentences: DataFrame, query: str, pairs: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+def _within_one(word: str) -> Callable[[Column], Column]:
+    return lambda x: F.levenshtein(x, F.lit(word), 1) >= 0
+
+
+def candidates(sentences: DataFrame, query: str, pairs: DataFrame | None = None, grams: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Ids of the lines a normalized query is checked against.
 
     Up to five characters: lines with a trigram of it or with a word that holds it. Longer ones: lines with a trigram of
-    it, or with one of its words, or - for a word that no line has - with a word one edit away. ``pairs`` and ``grams`` are
-    stored index tables; without them the lines themselves are searched, which is cheaper than making the tables for one
-    query.
+    it, or with one of its words, or - for a word that no line has - with a word one edit away. ``pairs``, ``grams`` and
+    ``vocab`` are stored index tables, all or none: with them only the rows of the query's keys are read. Without them the
+    lines are searched in one pass; whether a word is unknown is a subquery of the same plan.
     """
     if not query:
         return sentences.select("sentence_id").limit(0)
-    line, parts = F.col("normalized_text"), trigrams_of(query)
-    by_trigram = trigram_candidates(grams, query) if grams is not None else sentences.where(reduce(lambda a, b: a | b, [line.contains(t) for t in parts], F.lit(False))).select("sentence_id")
-    if len(query) <= SHORT_QUERY:
+    line, wanted, long = F.col("normalized_text"), list(dict.fromkeys(query.split())), len(query) > SHORT_QUERY
+    if pairs is not None and grams is not None and vocab is not None:
+        by_trigram = grams.where(F.col("trigram").isin(trigrams_of(query))).select("sentence_id")
+        if not long:
+            held = [r[0] for r in vocab.where(F.col("word").contains(query)).limit(MOST_WORDS + 1).collect()]
+            some = pairs.where(F.col("word").isin(held)) if len(held) <= MOST_WORDS else pairs.where(F.col("word").contains(query))
+        else:
+            known = {r[0] for r in vocab.where(F.col("word").isin(wanted)).collect()}  # of the query's words
+            missing = [w for w in wanted if w not in known]
+            near = reduce(lambda a, b: a | b, [F.levenshtein("word", F.lit(w), 1) >= 0 for w in missing], F.lit(False))
+            close = vocab.where(near).select("word").distinct() if missing else vocab.select("word").limit(0)
+            some = pairs.where(F.col("word").isin(wanted)).unionByName(pairs.join(close, "word", "left_semi").select(*pairs.columns))
+        return by_trigram.unionByName(some.select("sentence_id")).distinct()
+    found = reduce(lambda a, b: a | b, [line.contains(t) for t in trigrams_of(query)], F.lit(False))
+    if not long:
         # a word holds a query without a space exactly if the line does
-        by_word = pairs.where(F.col("word").contains(query)) if pairs is not None else sentences.where(line.contains(query) if " " not in query else F.lit(False))
-        return by_trigram.union(by_word.select("sentence_id")).distinct()
-    wanted = list(dict.fromkeys(query.split()))
-    table = pairs if pairs is not None else word_pairs(sentences)
-    if pairs is None:
-        padded = F.concat(F.lit(" "), line, F.lit(" "))
-        exact = sentences.where(reduce(lambda a, b: a | b, [padded.contains(f" {w} ") for w in wanted]))
-        held = exact.select(F.explode(F.array_intersect(words(line), F.array(*map(F.lit, wanted)))).alias("word"))
-    else:
-        exact = held = pairs.where(F.col("word").isin(wanted))
-    asked = sentences.sparkSession.createDataFrame([(w,) for w in wanted], "asked string")
-    unknown = asked.join(held, F.col("asked") == F.col("word"), "left_anti")
-    # each unknown word against the vocabulary: a query has a handful of words, so they are the broadcast side
-    close = table.select("word").distinct().join(F.broadcast(unknown), F.levenshtein("word", "asked", 1) >= 0).select("word").distinct()
-    fuzzy = table.join(close, "word", "left_semi").select("sentence_id")
-    return exact.select("sentence_id").union(fuzzy).union(by_trigram).distinct()
+        return sentences.where(found | (line.contains(query) if " " not in query else F.lit(False))).select("sentence_id")
+    padded = F.concat(F.lit(" "), line, F.lit(" "))
+    for w in wanted:
+        has = padded.contains(f" {w} ")
+        unknown = ~F.coalesce(sentences.agg(F.max(has)).scalar(), F.lit(False))
+        found = found | has | unknown & F.exists(words(line), _within_one(w))
+    return sentences.where(found).select("sentence_id")
 
 
 def lookup(sentences: DataFrame, ids: DataFrame) -> DataFrame:
@@ -126,7 +145,7 @@ class CorpusIndex:
         self.words = words_table if words_table is not None else word_pairs(sentences)
         self.trigrams = trigram_table if trigram_table is not None else trigram_pairs(sentences)
         self.vocabulary = vocab if vocab is not None else vocabulary(sentences)
-        self._tables = (words_table, trigram_table)
+        self._tables = (words_table, trigram_table, vocab)
 
     @classmethod
     def build(cls, files: DataFrame) -> CorpusIndex:
@@ -143,26 +162,35 @@ class CorpusIndex:
         return candidates(self.sentences, normalize_text(query), *self._tables)
 
     def counts(self) -> DataFrame:
-        return index_counts(self.sentences)
+        """One row: ``sentences``, ``words``, ``trigrams``; of stored tables, by their keys alone."""
+        if self._tables[1] is None or self._tables[2] is None:
+            return index_counts(self.sentences)
+        parts = (self.sentences.agg(F.count(F.lit(1))), self.vocabulary.agg(F.count(F.lit(1))), self.trigrams.agg(F.countDistinct("trigram")))
+        one = self.sentences.sparkSession.range(1)
+        return one.select(*(p.scalar().alias(name) for p, name in zip(parts, ("sentences", "words", "trigrams"), strict=True)))
 
     def save(self, path: str, posting_tables: bool = True) -> None:
-        """One Parquet table per part; pairs are sorted by key, so a lookup reads few row groups."""
+        """One Parquet table per part, on whatever file system: lines by number, posting lists by key - sorted, so that a lookup
+        reads few row groups - and the vocabulary. Lists are cut by ranges of numbers, so none grows without bound."""
+        spark = self.sentences.sparkSession
         self.sentences.write.mode("overwrite").parquet(f"{path}/sentences")
         if posting_tables:
-            stored = CorpusIndex(self.sentences.sparkSession.read.parquet(f"{path}/sentences"))
-            stored.words.repartitionByRange("word", "sentence_id").sortWithinPartitions("word", "sentence_id").write.mode("overwrite").parquet(f"{path}/word_postings")
-            stored.trigrams.repartitionByRange("trigram", "sentence_id").sortWithinPartitions("trigram", "sentence_id").write.mode("overwrite").parquet(f"{path}/trigram_postings")
-            stored.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+            own = CorpusIndex(spark.read.parquet(f"{path}/sentences"))
+            for name, key, pairs in (("word_postings", "word", own.words), ("trigram_postings", "trigram", own.trigrams)):
+                lists = postings(pairs, key)
+                lists.repartitionByRange(key, "part").sortWithinPartitions(key, "part").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/{name}")
+            spark.read.parquet(f"{path}/word_postings").select("word").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CorpusIndex:
-        read = lambda t: spark.read.parquet(f"{path}/{t}") if Path(f"{path}/{t}/_SUCCESS").exists() else None
-        return cls(spark.read.parquet(f"{path}/sentences"), read("word_postings"), read("trigram_postings"), read("vocabulary"))
+        read = lambda t: spark.read.parquet(f"{path}/{t}") if exists(spark, f"{path}/{t}/_SUCCESS") else None
+        pairs = lambda t, key: None if t is None else t.select(key, F.explode("ids").alias("sentence_id"))
+        return cls(spark.read.parquet(f"{path}/sentences"), pairs(read("word_postings"), "word"), pairs(read("trigram_postings"), "trigram"), read("vocabulary"))
 
     @classmethod
     def load_or_build(cls, spark: SparkSession, zip_path: str, cache_path: str) -> CorpusIndex:
         """The stored index if it is whole, else a new one, stored; a stored one never touches the archive."""
-        if not all(Path(f"{cache_path}/{t}/_SUCCESS").exists() for t in TABLES):
+        if not all(exists(spark, f"{cache_path}/{t}/_SUCCESS") for t in TABLES):
             cls.build_from_zip(spark, zip_path).save(cache_path)
         return cls.load(spark, cache_path)
 

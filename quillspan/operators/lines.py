@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_SEP, is_blank, legacy_clean, normalize
+from ..storage import stored
 
 
 def raw_lines(files: DataFrame) -> DataFrame:
@@ -30,47 +34,75 @@ def sentences(files: DataFrame) -> DataFrame:
     return raw_lines(files).select("original_text", norm, "source_path", "offset", "file_ord")
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """``sentences`` with ``sentence_id``: from 0, dense, in the order of files (``file_ord``, ``source_path``) and lines.
+def first_numbers(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """``(order..., first)``: for every row the sum of ``size`` over all rows before it in the order of some columns.
 
-    Only the number of lines of each file is sorted; the text stays where it is unless there are too many files for their
-    first numbers to be broadcast. Neither files nor lines ever meet in one task: numbers are added up within the ranges
-    of the sort, and the ranges' totals on the driver.
+    A range sort, running sums within its ranges, and the ranges' totals (one row per range come to the driver). No range is
+    ever in one task with another.
     """
-    kept = F.filter(F.transform(F.split("text", LINE_SEP, -1), lambda x, i: F.struct(i.alias("offset"), x.alias("original_text"))), lambda s: ~is_blank(s["original_text"]))
-    counts = files.groupBy("file_ord", "source_path").agg(F.sum(F.coalesce(F.size(kept), F.lit(0))).alias("n")).persist()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in order)
 
-    def running(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def running(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total, part = 0, TaskContext.get().partitionId()
-        for p in parts:
-            ends = p["n"].cumsum() + total
-            yield pd.DataFrame({"_o": p["file_ord"], "_s": p["source_path"], "_part": part, "_first": ends - p["n"], "_end": ends})
-            total = int(ends.iloc[-1]) if len(p) else total
-
-    ordered = counts.repartitionByRange("file_ord", "source_path").sortWithinPartitions("file_ord", "source_path")
-    first = ordered.mapInPandas(running, "_o long, _s string, _part int, _first long, _end long").persist()
+        for b in parts:
+            n = b.column(len(order)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n) + total
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(ends)], names=[*order, "_part", "first", "_end"])
+            total = int(ends[-1]) if len(n) else total
+
+    ordered = rows.select(*order, size).repartitionByRange(*order).sortWithinPartitions(*order)
+    first = stored(ordered.mapInArrow(running, f"{schema}, _part int, first long, _end long"))
     ends = first.groupBy("_part").agg(F.max("_end").alias("n")).orderBy("_part").collect()  # one row per range
-    base = [(r["_part"], sum(x["n"] for x in ends[:k])) for k, r in enumerate(ends)]
-    bases = F.broadcast(files.sparkSession.createDataFrame(base, "_part int, _base long"))
-    first = first.join(bases, "_part").select("_o", "_s", (F.col("_base") + F.col("_first")).alias("_first"))
+    bases = list(zip((r["_part"] for r in ends), accumulate((r["n"] for r in ends), initial=0), strict=False))
+    base = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part int, _base long"))
+    return first.join(base, "_part").select(*order, (F.col("_base") + F.col("first")).alias("first"))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``sentences`` with ``sentence_id``: from 0, dense, in the order of files (``file_ord``, ``source_path``) and lines.
+
+    Only the number of lines of each file is sorted; the text stays where it is unless there are too many files for their
+    first numbers to be broadcast.
+    """
+    kept = F.filter(F.transform(F.split("text", LINE_SEP, -1), lambda x, i: F.struct(i.alias("offset"), x.alias("original_text"))), lambda s: ~is_blank(s["original_text"]))
+    counts = files.groupBy("file_ord", "source_path").agg(F.sum(F.coalesce(F.size(kept), F.lit(0))).alias("n"))
+    first = first_numbers(counts, ["file_ord", "source_path"], "n").select(F.col("file_ord").alias("_o"), F.col("source_path").alias("_s"), F.col("first").alias("_first"))
     both = files.join(first, F.col("file_ord").eqNullSafe(F.col("_o")) & (F.col("source_path") == F.col("_s")))
     split = both.select("source_path", "file_ord", "_first", F.posexplode(kept).alias("_i", "_l"))
     norm = F.explode(F.array(normalize(F.col("_l.original_text")))).alias("normalized_text")
     return split.select((F.col("_first") + F.col("_i")).alias("sentence_id"), F.col("_l.original_text").alias("original_text"), norm, "source_path", F.col("_l.offset").alias("offset"), "file_ord")
 
 
+LEGACY = "file string, sentence string, offset long, source_path string, line_no int"
+
+
+def _legacy_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their cleaned lines to a row per line, with the characters before it."""
+    for b in batches:
+        path, sentences = b.column(0), b.column(1)
+        n = pc.list_value_length(sentences).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = sentences.flatten()
+        ends = np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        before = np.concatenate([[0], ends])
+        start = np.concatenate([[0], np.cumsum(n)])
+        of = np.repeat(np.arange(len(n)), n)
+        offset = before[:-1] - before[start[:-1]][of]
+        paths = path.take(pa.array(of))
+        names = pc.replace_substring_regex(paths, "(?s)^.*/", "")
+        yield pa.RecordBatch.from_arrays([names, flat, pa.array(offset), paths, pa.array((np.arange(len(of)) - start[:-1][of]).astype(np.int32))], names=["file", "sentence", "offset", "source_path", "line_no"])
+
+
 def legacy_lines(files: DataFrame) -> DataFrame:
     """``(file, sentence, offset)`` of the older index: base name, cleaned line (blank ones kept), and offset in characters.
 
-    An offset is what the cleaned lines before it take, with one for each line end. Only ``.txt`` in lower case counts.
+    An offset is what the cleaned lines before it take, with one for each line end. Only ``.txt`` in lower case counts. Each
+    file is one row, so offsets are summed up where it is read; nothing is moved.
     """
-    own = files.where(F.col("source_path").endswith(".txt"))
+    own = files.where(F.col("source_path").endswith(".txt") & (F.col("text") != ""))
     # a last line end doesn't begin another line
     body = F.regexp_replace("text", r"(?:\r\n|[\n\r])\z", "")
-    split = own.where(F.col("text") != "").select("source_path", F.posexplode(F.split(body, r"\r\n|[\n\r]", -1)).alias("line_no", "line"))
-    clean = split.select("source_path", "line_no", legacy_clean(F.col("line")).alias("sentence"))
-    before = Window.partitionBy("source_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("sentence") + 1).over(before), F.lit(0)).cast("long")
-    return clean.select(F.element_at(F.split("source_path", "/"), -1).alias("file"), "sentence", offset.alias("offset"), "source_path", "line_no")
+    clean = F.transform(F.split(body, r"\r\n|[\n\r]", -1), legacy_clean)
+    return own.select("source_path", clean.alias("sentences")).mapInArrow(_legacy_rows, LEGACY)

@@ -1,7 +1,8 @@
-"""Sources of text files: zip archives (a Python data source, one partition per member), folders, document tables."""
+"""Sources of text files: zip archives (a Python data source, members by size), folders, document tables."""
 
 from __future__ import annotations
 
+import glob
 import zipfile
 from collections.abc import Iterator
 
@@ -20,29 +21,49 @@ def decode(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-class _Member(InputPartition):
-    def __init__(self, name: str, order: int) -> None:
-        self.name, self.order = name, order
+#: Text of the members that one task reads (more, if a single member is larger).
+TASK_BYTES = 32 << 20
+
+
+class _Members(InputPartition):
+    """Members of one archive, with the number of the first of them."""
+
+    def __init__(self, path: str, names: list[str], first: int) -> None:
+        self.path, self.names, self.first = path, names, first
 
 
 class _ZipReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, task_bytes: int) -> None:
+        self.paths, self.task_bytes = sorted(glob.glob(path)) or [path], task_bytes
 
     def partitions(self) -> list[InputPartition]:
-        with zipfile.ZipFile(self.path) as z:
-            names = [i.filename for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(".txt")]
-        return [_Member(n, k) for k, n in enumerate(names)] or [_Member("", -1)]
-
-    def read(self, partition: _Member) -> Iterator[tuple[str, str, int]]:
-        if partition.order >= 0:
-            with zipfile.ZipFile(self.path) as z, z.open(partition.name) as f:
-                yield decode(f.read()), partition.name, partition.order
+        out: list[InputPartition] = []
+        count = 0
+        for path in self.paths:
+            held, size = [], 0
+            with zipfile.ZipFile(path) as z:
+                members = [i for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(".txt")]
+            for i in members:
+                if held and size + i.file_size > self.task_bytes:
+                    out.append(_Members(path, held, count - len(held)))
+                    held, size = [], 0
+                held.append(i.filename)
+                size, count = size + i.file_size, count + 1
+            if held:
+                out.append(_Members(path, held, count - len(held)))
+        return out or [_Members("", [], 0)]
+
+    def read(self, partition: _Members) -> Iterator[tuple[str, str, int]]:
+        if partition.names:
+            with zipfile.ZipFile(partition.path) as z:
+                for n, name in enumerate(partition.names):
+                    yield decode(z.read(name)), name, partition.first + n
 
 
 class ZipTextSource(DataSource):
     """``spark.read.format("zip_text").load(path)``: the ``.txt`` members (any case of the ending, any depth) in archive
-    order, one row and one partition each. The archive must be readable under the same path on every executor."""
+    order, one row each; a task takes members of some 32 MiB and opens the archive once. ``path`` may be a pattern for
+    several archives, taken in the order of their names. They must be readable under the same path on every executor."""
 
     @classmethod
     def name(cls) -> str:
@@ -52,13 +73,13 @@ class ZipTextSource(DataSource):
         return FILES
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _ZipReader(self.options["path"])
+        return _ZipReader(self.options["path"], int(self.options.get("taskBytes", TASK_BYTES)))
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """The text members of an archive: ``(text, source_path, file_ord)``."""
+def read_zip(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The text members of an archive, or of several: ``(text, source_path, file_ord)``."""
     spark.dataSource.register(ZipTextSource)
-    return spark.read.format("zip_text").load(path)
+    return spark.read.format("zip_text").option("taskBytes", task_bytes).load(path)
 
 
 def decoded(content: Column) -> Column:
@@ -72,7 +93,11 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     # binaryFile reports file:/... or file:///...; what follows the folder's own path is the relative name
     base = "/" + path.split(":", 1)[-1].strip("/") + "/"
     name = F.expr("substring_index(path, :base, -1)".replace(":base", "'" + base.replace("\\", "\\\\").replace("'", "\\'") + "'"))
-    return files.select(decoded(F.col("content")).alias("text"), name.alias("source_path")).withColumn("file_ord", F.xxhash64("source_path"))
+    from ..operators.lines import first_numbers
+
+    paths = files.select(name.alias("source_path")).withColumn("_n", F.lit(1))
+    numbers = first_numbers(paths, ["source_path"], "_n").withColumnRenamed("first", "file_ord")
+    return files.select(decoded(F.col("content")).alias("text"), name.alias("source_path")).join(numbers, "source_path").select("text", "source_path", "file_ord")
 
 
 def from_documents(documents: DataFrame) -> DataFrame:

@@ -218,6 +218,37 @@ def test_session_stream_and_restart(spark, tmp_path):
     assert rows["a", 3]["query"] == "or knots" and rows["b", 2]["query"] == ""
 
 
+def test_sessions_that_answer(spark, sentences, tmp_path):
+    """Outputs of the stream are those of the machine, over two runs."""
+    from quillspan.streaming.sessions import answer_stream
+
+    class Translates:  # local, so that workers get it by value
+        def translate_to_english(self, text):
+            from quillspan.operators.generation import Translation
+
+            return Translation(text, "to be", "he")
+
+    lines = sentences(["To be or not to be", "  to bee", "to be sure", "else"])
+    search = ses.search_over(lambda: lines)
+    src, point, got = str(tmp_path / "in"), str(tmp_path / "cp"), {}
+
+    def write(df, n):
+        got.update({(r["session_id"], r["seq"]): (r["query"], r["output"], r["should_exit"]) for r in df.collect()})
+
+    script = {"a": ["to ", "be", "/help", "#", "zzz", "~"], "b": ["/mode ai", "x"], "c": ["/translate", "שלום", None]}
+    for part in (slice(0, 3), slice(3, 9)):
+        spark.createDataFrame([(s, k, t) for s, texts in script.items() for k, t in list(enumerate(texts))[part]], "session_id string, seq long, text string").write.mode("append").parquet(src)
+        answer_stream(spark.readStream.schema("session_id string, seq long, text string").parquet(src), lambda: lines, write, point, translator=Translates).awaitTermination()
+    want = {}
+    for s, texts in script.items():
+        state = ses.State()
+        for k, t in enumerate(texts):
+            done = ses.step(state, t or "", search, None, Translates())
+            state = done.state
+            want[s, k] = (state.query, done.output, done.should_exit)
+    assert got == want and "2. To be or not to be" in got["a", 1][1]
+
+
 def test_complete_stream(spark, sentences, tmp_path):
     from quillspan.streaming.sessions import complete_stream
 
@@ -262,7 +293,7 @@ def test_generation():
     request, timeout = o.requests[0]
     assert timeout == 30 and "m%20x:generateContent" in request.full_url and request.get_header("X-goog-api-key") == "k"
     body = json.loads(request.data)
-    assert body["contents"][0]["parts"][0]["text"].endswith("<prefix>\nHello\n</prefix>") and body["generationConfig"]["responseJsonSchema"]["maxItems"] == 3
+    assert "<prefix>\nHello\n</prefix>" in body["contents"][0]["parts"][0]["text"] and body["generationConfig"]["responseJsonSchema"]["maxItems"] == 3
 
 
 @pytest.mark.parametrize(
@@ -287,7 +318,7 @@ def test_retries(replies, error, calls):
     assert len(o.requests) == calls
 
 
-@pytest.mark.parametrize("args", [("", "c", 5), ("x" * 2001, "c", 5), ("x", " ", 5), ("x", "c" * 501, 5), ("x", "c", 0), ("x", "c", 6)])
+@pytest.mark.parametrize("args", [("", "c", 5), ("x" * 2001, "c", 5), ("x", " ", 5), ("x", "c" * 501, 5), ("x", "c", 0), ("x", "c", 6), ("\t\u00a0\u3000", "c", 5), ("x", "\u2003\n", 5)])
 def test_request_limits(spark, args):
     c, o = client()
     with pytest.raises(ValueError) as e:
@@ -372,6 +403,25 @@ def test_wire_handling(spark):
     assert len(rows) == 1 and rows[0]["mode"] == "SEARCH_MODE_AI" and rows[0]["suggestions"][0]["corpus"] is None and rows[0]["suggestions"][0]["ai"]["model"] == "m"
 
 
+def test_wire_column(spark, sentences):
+    lines = sentences(["To be or not to be", "to bee", "else"])
+    asked = [(1, wire.encode_request("to be", max_results=1)), (2, wire.encode_request("Hi", "ai")), (3, b"\xff"), (4, None), (5, wire.encode_request("to be")), (6, wire.encode_request("zzz"))]
+    rows = {r["id"]: wire.decode_response(bytes(r["response"])) for r in wire.handled_requests(spark.createDataFrame(asked, "id int, b binary"), "id", "b", lines).collect()}
+    assert [s.text for s in rows[1].suggestions] == ["To be or not to be"] and [s.text for s in rows[5].suggestions] == ["To be or not to be", "to bee"]
+    assert rows[2].error == wire.NO_GENERATOR and rows[3].error == "request is not valid Protobuf data" and rows[4].error == wire.NO_QUERY and not rows[6].suggestions and not rows[6].error
+
+    class Made:  # local, so that workers get it by value
+        def generate(self, prefix, context, count=5):
+            from quillspan.operators.generation import Generated, Suggestion
+
+            return Generated((Suggestion(f"{prefix} more", "m"),), "m", 7)
+
+    made = wire.handled_requests(spark.createDataFrame(asked[1:2], "id int, b binary"), "id", "b", lines, Made)
+    assert wire.decode_response(bytes(made.first()["response"])).suggestions[0].text == "Hi more"
+    blank = spark.createDataFrame([("\u00a0\t", "AI", 1)], "q string, m string, n int").select(wire.problem_column(F.col("q"), F.col("m"), F.col("n")).alias("p"))
+    assert blank.first()["p"] == wire.NO_QUERY == wire.problem("\u00a0\t", 2, 1)
+
+
 def test_wire_demo():
     search, _ = fake_search([ses.Completion("﻿ x", "a", 0, 1)])
     out = []

@@ -1,3 +1,4 @@
+import random
 import re
 import sys
 
@@ -56,7 +57,10 @@ def test_zip(spark, archive):
     path = archive({"top.txt": "line one\n\n   \nline two\n", "sub/nested.TXT": "x", "sub/deeper/n2.txt": b"caf\xe9 line\n", "image.png": b"\x00", "d.txt.bak": "no"})
     rows = lines.sentences(read_zip(spark, path)).orderBy("file_ord", "offset").collect()
     assert [(r["original_text"], r["source_path"], r["offset"]) for r in rows] == [("line one", "top.txt", 0), ("line two", "top.txt", 3), ("x", "sub/nested.TXT", 0), ("café line", "sub/deeper/n2.txt", 0)]
-    assert ZipTextSource.name() == "zip_text" and read_zip(spark, path).rdd.getNumPartitions() == 3
+    assert ZipTextSource.name() == "zip_text" and read_zip(spark, path).rdd.getNumPartitions() == 1
+    archive({"z.txt": "last"}, "more.zip")
+    several = read_zip(spark, path.replace("corpus.zip", "*.zip"), 10)
+    assert several.rdd.getNumPartitions() == 4 and [r["source_path"] for r in several.orderBy("file_ord").collect()] == ["top.txt", "sub/nested.TXT", "sub/deeper/n2.txt", "z.txt"]
 
 
 def test_empty_zip(spark, archive):
@@ -70,6 +74,10 @@ def test_folder(spark, tmp_path):
     (tmp_path / "in" / "c.md").write_text("no")
     got = {r["source_path"]: r["text"] for r in read_folder(spark, str(tmp_path / "in")).collect()}
     assert got == {"a.txt": "﻿bom\n", "deep/b.TXT": "café"}
+    for n in range(40):
+        (tmp_path / "in" / f"n{n}.txt").write_text("x")
+    rows = read_folder(spark, str(tmp_path / "in")).select("source_path", "file_ord").orderBy("file_ord").collect()
+    assert [r["file_ord"] for r in rows] == list(range(42)) and [r["source_path"] for r in rows] == sorted(r["source_path"] for r in rows)
 
 
 def test_numbers_are_dense_and_ordered(spark):
@@ -86,7 +94,7 @@ def test_index(spark, sentences):
     lists = {r["word"]: r["ids"] for r in ix.postings(words, "word").collect()}
     assert lists["hello"] == [1, 3, 5] and "" not in lists
     assert {r["trigram"]: r["lines"] for r in ix.posting_sizes(grams, "trigram").collect()}["hel"] == 3
-    assert [r[0] for r in ix.word_candidates(words, "hello").collect()] == [1, 3, 5] and ix.word_candidates(words, "hell").isEmpty()
+    assert sorted(r[0] for r in ix.word_candidates(words, "hello").collect()) == [1, 3, 5] and ix.word_candidates(words, "hell").isEmpty()
     assert {r[0] for r in ix.trigram_candidates(grams, "metric").collect()} == {0} and ix.trigram_candidates(grams, "he").isEmpty()
     vocab = ix.vocabulary(rows)
     assert ix.contains_word(vocab, "there") and not ix.contains_word(vocab, "ther")
@@ -113,9 +121,22 @@ def test_save_load_cache(spark, archive, tmp_path):
     assert sorted(b.sentences.collect()) == sorted(a.sentences.collect())
     assert [r["original_text"] for r in b.sentence(1).collect()] == ["foo"]
     assert {r[0] for r in b.candidates("hello").collect()} == {0}
+    assert tuple(b.counts().first()) == tuple(ix.index_counts(b.sentences).first()) == (2, 3, 10)
     assert ix.build_and_report(spark, path)["sentences"] == 2
 
 
+def test_stored_index_equals_lines(spark, archive, tmp_path):
+    rng = random.Random(5)
+    words = ["harbor", "quiet", "lantern", "of", "the", "a", "bridge", "moved", "hqrbor"]
+    path = archive({f"{n}.txt": "\n".join(" ".join(rng.choice(words) for _ in range(5)) for _ in range(30)) for n in range(4)})
+    stored = ix.CorpusIndex.load_or_build(spark, path, str(tmp_path / "i"))
+    for q in ("harbor of", "harxor of", "ridg", "the quet", "zz", "of", "lanternn brid", "a b", "xqz wvk", ""):
+        want = sorted(r[0] for r in ix.candidates(stored.sentences, q).collect())
+        assert sorted(r[0] for r in stored.candidates(q).collect()) == want, q
+    both = ix.intersected(ix.word_candidates(stored.words, "harbor"), ix.word_candidates(stored.words, "the"))
+    assert sorted(r[0] for r in both.collect()) == sorted(r["sentence_id"] for r in stored.sentences.collect() if {"harbor", "the"} <= set(r["normalized_text"].split()))
+
+
 def test_legacy_index(spark):
     df = spark.createDataFrame([("The cat sat\n\nthe dog!\n", "d/a.txt", 0), ("the cat sat", "b.txt", 1), ("x", "c.TXT", 2)], "text string, source_path string, file_ord long")
     rows = lines.legacy_lines(df)
