@@ -470,28 +470,46 @@ SELECT session_id, request_id, attempt, md5(coalesce(string_agg(own, '') OVER (P
 # generation and wire
 
 
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests, and all once more with white space of several kinds around the query and instead of the context."""
+    r = table(spark, sf, "search_requests").withColumn("padded", F.lit(False))
+    space = F.lit("\t\u00a0\u3000 ")
+    return r.unionByName(r.withColumn("padded", F.lit(True)).withColumn("query", F.concat(space, "query", space)).withColumn("context", F.when(F.col("max_results") > 2, space).otherwise(F.col("context"))))
+
+
+_REQUESTS = """(SELECT *, false AS padded FROM search_requests UNION ALL BY NAME SELECT * REPLACE ((chr(9) || chr(160) || chr(12288) || ' ') || query || (chr(9) || chr(160) || chr(12288) || ' ') AS query,
+ CASE WHEN max_results > 2 THEN chr(9) || chr(160) || chr(12288) || ' ' ELSE context END AS context), true AS padded FROM search_requests)"""
+
+
 @query
 def request_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What a generation service would say of every request."""
-    r = table(spark, sf, "search_requests")
-    return r.select("request_id", "attempt", generation.request_problem_column(F.col("query"), F.col("context"), F.col("max_results")).alias("problem"))
+    r = _requests(spark, sf)
+    return r.select("request_id", "attempt", "padded", generation.request_problem_column(F.col("query"), F.col("context"), F.col("max_results")).alias("problem"))
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
 
+def _trimmed(c: str) -> str:
+    return f"coalesce({_stripped(c)}, '')"
 
-_TRIMMED = "coalesce(trim({c}, ' '), '')"
-ORACLES["request_checks"] = f"""SELECT request_id, attempt, CASE WHEN {_TRIMMED.format(c='query')} = '' THEN 'prefix must not be empty' WHEN length(trim(query, ' ')) > 2000 THEN 'prefix must be at most 2000 characters'
-WHEN {_TRIMMED.format(c='context')} = '' THEN 'context must not be empty' WHEN length(trim(context, ' ')) > 500 THEN 'context must be at most 500 characters'
-WHEN NOT coalesce(max_results BETWEEN 1 AND 5, false) THEN 'count must be between 1 and 5' END AS problem FROM search_requests"""
+
+ORACLES["request_checks"] = f"""SELECT request_id, attempt, padded, CASE WHEN {_trimmed('query')} = '' THEN 'prefix must not be empty' WHEN length({_trimmed('query')}) > 2000 THEN 'prefix must be at most 2000 characters'
+WHEN {_trimmed('context')} = '' THEN 'context must not be empty' WHEN length({_trimmed('context')}) > 500 THEN 'context must be at most 500 characters'
+WHEN NOT coalesce(max_results BETWEEN 1 AND 5, false) THEN 'count must be between 1 and 5' END AS problem FROM {_REQUESTS}"""
 
 
 @query
 def wire_checks(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "search_requests")
-    return r.select("request_id", "attempt", wire.problem_column(F.col("query"), F.col("mode"), F.col("max_results")).alias("problem"))
+    r = _requests(spark, sf)
+    return r.select("request_id", "attempt", "padded", wire.problem_column(F.col("query"), F.col("mode"), F.col("max_results")).alias("problem"))
 
 
-_WIRE = f"""CASE WHEN {_TRIMMED.format(c='query')} = '' THEN 'query must not be empty' WHEN NOT coalesce(upper(mode) IN ('CORPUS', 'AI'), false) THEN 'request mode must be CORPUS or AI'
+_WIRE = f"""CASE WHEN {_trimmed('query')} = '' THEN 'query must not be empty' WHEN NOT coalesce(upper(mode) IN ('CORPUS', 'AI'), false) THEN 'request mode must be CORPUS or AI'
 WHEN max_results > 5 THEN 'max_results must be between 0 and 5' END"""
-ORACLES["wire_checks"] = f"SELECT request_id, attempt, {_WIRE} AS problem FROM search_requests"
+ORACLES["wire_checks"] = f"SELECT request_id, attempt, padded, {_WIRE} AS problem FROM {_REQUESTS}"
 
 
 @query
@@ -533,18 +551,333 @@ def suggestion_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     values = F.concat(F.lit("["), F.array_join(F.transform("_s", lambda x: F.to_json(F.array(x["text"])).substr(F.lit(2), F.length(F.to_json(F.array(x["text"]))) - 2)), ","), F.lit(",1]"))
     answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(values.alias("text"))).alias("parts")).alias("content"))).alias("candidates")))
     asked = table(spark, sf, "search_requests").groupBy("request_id").agg(F.max("query").alias("prefix"))
-    rows = table(spark, sf, "search_responses").join(asked, "request_id").join(texts, "response_id").where("prefix IS NOT NULL").select("response_id", F.trim("prefix").alias("prefix"), answer.alias("answer"))
+    rows = table(spark, sf, "search_responses").join(asked, "request_id").join(texts, "response_id").where("prefix IS NOT NULL").select("response_id", t.stripped(F.col("prefix")).alias("prefix"), answer.alias("answer"))
     return generation.cleaned_suggestions(rows, ["response_id"], "prefix", "answer")
 
 
-ORACLES["suggestion_cleanup"] = """
-WITH q AS (SELECT request_id, trim(max(query), ' ') AS prefix FROM search_requests GROUP BY request_id HAVING max(query) IS NOT NULL),
-x AS (SELECT r.response_id, rank_no, trim(s.text, ' ') AS text, prefix FROM search_responses r JOIN q USING (request_id) JOIN suggestions s USING (response_id) WHERE s.text IS NOT NULL),
+ORACLES["suggestion_cleanup"] = f"""
+WITH q AS (SELECT request_id, {_stripped('max(query)')} AS prefix FROM search_requests GROUP BY request_id HAVING max(query) IS NOT NULL),
+x AS (SELECT r.response_id, rank_no, {_stripped('s.text')} AS text, prefix FROM search_responses r JOIN q USING (request_id) JOIN suggestions s USING (response_id) WHERE s.text IS NOT NULL),
 g AS (SELECT *, row_number() OVER (PARTITION BY response_id, lower(upper(text)) ORDER BY rank_no, text) AS n FROM x WHERE text <> '' AND starts_with(lower(upper(text)), lower(upper(prefix)))),
 d AS (SELECT response_id, text, row_number() OVER (PARTITION BY response_id ORDER BY rank_no, text) AS rank FROM g WHERE n = 1)
 SELECT response_id, CAST(rank AS INTEGER) AS rank, text FROM d WHERE rank <= 5"""
 
 
+@query
+def generated_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every response's texts as the answer of a service that a client asks for the request's query: how many sentences the
+    client keeps, the first of them, and the sort of error it raises."""
+    texts = table(spark, sf, "suggestions").groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct("rank_no", "text"))).alias("_s"))
+    asked = table(spark, sf, "search_requests").groupBy("request_id").agg(F.max("query").alias("prefix"))
+    rows = table(spark, sf, "search_responses").join(asked, "request_id").join(texts, "response_id", "left").select("response_id", "prefix", F.transform("_s", lambda x: x["text"]).alias("texts"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for part in parts:
+            out = []
+            for number, prefix, own in zip(part["response_id"], part["prefix"], part["texts"], strict=True):
+                body = json.dumps({"candidates": [{"content": {"parts": [{"text": json.dumps(list(own) if own is not None else [])}]}}]}).encode()
+                client = generation.SuggestionClient("key", "model", opener=lambda request, timeout, body=body: io.BytesIO(body), environ={})
+                try:
+                    made = client.generate(prefix or "", "notes").suggestions
+                    out.append((number, len(made), made[0].text, None))
+                except (ValueError, generation.InvalidResponseError) as e:
+                    out.append((number, 0, None, type(e).__name__))
+            yield pd.DataFrame(out, columns=["response_id", "kept", "first", "error"])
+
+    return rows.mapInPandas(run, "response_id long, kept int, first string, error string")
+
+
+ORACLES["generated_suggestions"] = f"""
+WITH q AS (SELECT request_id, {_stripped('max(query)')} AS prefix FROM search_requests GROUP BY request_id),
+r AS (SELECT response_id, prefix, EXISTS (SELECT 1 FROM suggestions s WHERE s.response_id = r.response_id) AS some FROM search_responses r JOIN q USING (request_id)),
+x AS (SELECT r.response_id, rank_no, {_stripped('s.text')} AS text, prefix FROM r JOIN suggestions s USING (response_id) WHERE s.text IS NOT NULL AND coalesce(prefix, '') <> '' AND length(prefix) <= 2000),
+g AS (SELECT *, row_number() OVER (PARTITION BY response_id, lower(upper(text)) ORDER BY rank_no, text) AS n FROM x WHERE text <> '' AND starts_with(lower(upper(text)), lower(upper(prefix)))),
+d AS (SELECT response_id, least(count(*), 5) AS kept, arg_min(text, (rank_no, text)) AS first FROM g WHERE n = 1 GROUP BY response_id)
+SELECT response_id, CAST(coalesce(kept, 0) AS INTEGER) AS kept, first, CASE WHEN coalesce(prefix, '') = '' OR length(prefix) > 2000 THEN 'ValueError' WHEN kept IS NULL THEN 'InvalidResponseError' END AS error FROM r LEFT JOIN d USING (response_id)"""
+
+
+@query
+def translated_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query through the translation adapter, with a client that puts a word in front."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from types import SimpleNamespace
+
+        def translate_text(request: dict, timeout: float) -> SimpleNamespace:
+            return SimpleNamespace(translations=[SimpleNamespace(translated_text=f"en {request['contents'][0]}", detected_language_code="xx")])
+
+        service = generation.TranslationService("project", client=SimpleNamespace(translate_text=translate_text))
+        for part in parts:
+            out = []
+            for i, a, q in zip(part["request_id"], part["attempt"], part["query"], strict=True):
+                try:
+                    out.append((i, a, service.translate_to_english(q or "").translated_text, None))
+                except generation.TranslationError as e:
+                    out.append((i, a, None, str(e)))
+            yield pd.DataFrame(out, columns=["request_id", "attempt", "english", "error"])
+
+    return table(spark, sf, "search_requests").select("request_id", "attempt", "query").mapInPandas(run, "request_id long, attempt int, english string, error string")
+
+
+ORACLES["translated_queries"] = f"""SELECT request_id, attempt, CASE WHEN {_trimmed('query')} <> '' THEN 'en ' || {_trimmed('query')} END AS english,
+CASE WHEN {_trimmed('query')} = '' THEN 'translation input is empty' END AS error FROM search_requests"""
+
+
+@query
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies sent to the service, read back as JSON."""
+    r = table(spark, sf, "search_requests").where("query IS NOT NULL AND context IS NOT NULL AND max_results > 0")
+    body = r.select("request_id", "attempt", generation.payload_column(F.col("query"), F.col("context"), F.col("max_results")).alias("j"))
+    of = lambda path: F.get_json_object("j", path)
+    return body.select("request_id", "attempt", of("$.generationConfig.responseJsonSchema.maxItems").cast("int").alias("most"), of("$.generationConfig.responseMimeType").alias("kind"), F.length(of("$.contents[0].parts[0].text")).alias("size"))
+
+
+ORACLES["payloads"] = f"""SELECT p.request_id, p.attempt, CAST(max_results AS INTEGER) AS most, 'application/json' AS kind, CAST(length(prompt) - 1 + length(CAST(max_results AS VARCHAR)) AS INTEGER) AS size
+FROM ({ORACLES["prompts"]}) p JOIN search_requests r ON p.request_id = r.request_id AND p.attempt = r.attempt WHERE max_results > 0"""
+
+
+@query
+def wire_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for every text of the batch, in both modes, answered over bytes and decoded."""
+    asked = [(f"{mode}{i}", bytearray(wire.encode_request(q, mode, max_results=3))) for i, q in enumerate(BATCH) for mode in ("corpus", "ai")] + [("broken", bytearray(b"\xff"))]
+    came = wire.handled_requests(_one(spark, asked, "name string, payload binary"), "name", "payload", served(spark, sf).sentences)
+    rows = wire.decoded_responses(came, "name", "response")
+    flat = rows.select("name", "query", "mode", F.nullif("error", F.lit("")).alias("error"), F.posexplode_outer("suggestions").alias("at", "s"))
+    return flat.select("name", F.nullif("query", F.lit("")).alias("query"), "mode", "error", "at", F.col("s.text").alias("text"), F.col("s.corpus.source_text").alias("source_text"), F.col("s.corpus.offset").alias("offset"), F.col("s.corpus.score").alias("score"), F.col("s.ai").isNull().alias("corpus"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ORACLES["wire_responses"] = LINES + "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT 'corpus{i}' AS name, {_quoted(q)} AS query, 'SEARCH_MODE_CORPUS' AS mode, NULL AS error, CAST(k - 1 AS INTEGER) AS at, text, source_text, CAST("offset" AS BIGINT) AS "offset", score, true AS corpus FROM (VALUES (1)) one(x) LEFT JOIN
+ (SELECT row_number() OVER (ORDER BY score DESC, lower(completed_sentence), completed_sentence, source_text, "offset") AS k, completed_sentence AS text, source_text, "offset", score FROM (SELECT * FROM ({_matches_sql(q)}) {_BEST})) f ON k <= 3
+ UNION ALL SELECT 'ai{i}', {_quoted(q)}, 'SEARCH_MODE_AI', 'AI mode requires a contextual generator', NULL, NULL, NULL, NULL, NULL, true"""
+    for i, q in enumerate(BATCH)
+) + ") UNION ALL SELECT 'broken', NULL, 'SEARCH_MODE_UNSPECIFIED', 'request is not valid Protobuf data', NULL, NULL, NULL, NULL, NULL, true"
+
+
+@query
+def wire_demo(spark: SparkSession, sf: str) -> DataFrame:
+    """What the demo prints for a request, without its sizes."""
+    out: list[str] = []
+    code = wire.demo(["--query", TYPED["complete_exact"], "--max-results", "2"], session.search_over(lambda: served(spark, sf).sentences), write=out.append)
+    return _one(spark, [(n, line) for n, line in enumerate(x for x in out if x[0].isdigit())] + [(-1, f"exit {code}")], "n int, line string")
+
+
+ORACLES["wire_demo"] = LINES + f"""SELECT CAST(rank - 1 AS INTEGER) AS n, rank || '. ' || regexp_replace(completed_sentence, '^{_BLANK}+', '') || ' (corpus: source=' || source_text || ':' || "offset" || ', score=' || score || ')' AS line FROM ({_SHOWN}) WHERE rank <= 2
+UNION ALL SELECT -1, 'exit 0'"""
+
+
+# sessions that answer
+
+
+@query
+def session_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every input through the whole session machine, per session in order; what it would search for is its query's text."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        state, out = session.State(), []
+        for i, a, text in part.sort_values(["sent_at", "request_id", "attempt"])[["request_id", "attempt", "text"]].itertuples(index=False):
+            done = session.step(state, text, lambda q: [])
+            state = done.state
+            out.append((i, a, state.mode, len(state.query), done.output))
+        return pd.DataFrame(out, columns=["request_id", "attempt", "mode", "typed", "output"])
+
+    return _typed_inputs(spark, sf).groupBy("session_id").applyInPandas(run, "request_id long, attempt int, mode string, typed int, output string")
+
+
+ORACLES["session_answers"] = f"""
+WITH i AS (SELECT session_id, sent_at, request_id, attempt, CASE WHEN mode = 'AI' THEN coalesce(query, '') || '#' WHEN mode = 'UNSPECIFIED' THEN '/mode ai' WHEN max_results = 3 THEN '/context notes' ELSE coalesce(query, '') END AS text FROM search_requests),
+r AS (SELECT *, ends_with(text, '#') OR text = '/mode ai' AS reset FROM i),
+p AS (SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER w AS seg, CASE WHEN reset OR text LIKE '/%' THEN '' ELSE text END AS own,
+ CASE WHEN max(CASE WHEN text = '/mode ai' THEN 1 ELSE 0 END) OVER w = 1 THEN 'ai' ELSE 'corpus' END AS mode FROM r WINDOW w AS (PARTITION BY session_id ORDER BY sent_at, request_id, attempt ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, coalesce(string_agg(own, '') OVER (PARTITION BY session_id, seg ORDER BY sent_at, request_id, attempt ROWS UNBOUNDED PRECEDING), '') AS typed FROM p)
+SELECT request_id, attempt, mode, CAST(length(typed) AS INTEGER) AS typed, CASE WHEN ends_with(text, '#') THEN 'Query reset. Current mode: ' || upper(mode) || '.' WHEN text = '/mode ai' THEN 'Mode changed to AI. Query reset.' WHEN text = '/context notes' THEN 'AI context updated: notes'
+ WHEN regexp_full_match(typed, '{_BLANK}*') THEN 'Please enter some text.' WHEN mode = 'corpus' THEN 'No suggestions found.' ELSE 'AI mode is unavailable because no Gemini generator is configured. Your query was kept; use /mode corpus.' END AS output FROM a"""
+
+
+@query
+def basic_session(spark: SparkSession, sf: str) -> DataFrame:
+    """The older session at a terminal: everything it prints for a fixed script, over the corpus."""
+    script, out = iter(["The ", "quiet ", "/translate", "x", "/english", "#", "zqxj vvkw", "bye~"]), []
+    session.run_basic(session.search_over(lambda: served(spark, sf).sentences), read=lambda p: next(script), write=out.append)
+    return _one(spark, [(n, line) for n, line in enumerate("\n".join(out[2:3]).split("\n")[1:] + out[3:])], "n int, line string")
+
+
+ORACLES["basic_session"] = LINES + f"""SELECT CAST(rank - 1 AS INTEGER) AS n, rank || '. ' || regexp_replace(completed_sentence, '^{_BLANK}+', '') || ' (' || source_text || ':' || "offset" || ', score=' || score || ')' AS line FROM ({_SHOWN})
+UNION ALL SELECT * FROM (VALUES (5, 'Translation mode enabled. Target language: English.'), (6, 'Translation mode is unavailable: no translation service configured.'), (7, 'English mode enabled.'), (8, 'Query reset. Start a new sentence.'), (9, 'No suggestions found.'), (10, 'Goodbye.')) v(n, line)"""
+
+
+# sources, snapshots, programs
+
+
+@query
+def zip_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written into archives, a part of them each, and their lines read back."""
+    folder = _folder(spark, sf, "archives")
+    local = folder.removeprefix("file://").removeprefix("file:")
+    if not exists(spark, f"{folder}/_DONE"):
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            os.makedirs(local, exist_ok=True)
+            path = f"{local}/{TaskContext.get().partitionId():05d}.zip"
+            with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_DEFLATED) as z:
+                for part in parts:
+                    for name, text in zip(part["source_path"], part["text"], strict=True):
+                        z.writestr(name, text)
+            os.replace(f"{path}.part", path)
+            yield pd.DataFrame({"path": [path]})
+
+        from_documents(table(spark, sf, "documents").where("text IS NOT NULL")).mapInPandas(run, "path string").count()
+        open(f"{local}/_DONE", "w").close()
+    return lines.sentences(read_zip(spark, f"{local}/*.zip")).drop("file_ord")
+
+
+ORACLES["zip_lines"] = LINES + 'SELECT original_text, normalized_text, source_path, "offset" FROM s'
+
+
+def _items_folder(spark: SparkSession, sf: str) -> str:
+    """The benchmark's items as text files, every third one in Latin-1 with a letter that is no UTF-8 there."""
+    folder = _folder(spark, sf, "files", "benchmark")
+    local = folder.removeprefix("file://").removeprefix("file:")
+    if not os.path.exists(f"{local}/_DONE"):
+        for i, text in table(spark, sf, "benchmark").select("item_id", "text").toLocalIterator():
+            path = f"{local}/{i % 7}/{i}.{'TXT' if i % 2 else 'txt'}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(f"{text}\n\n{i} café\n".encode("latin-1" if i % 3 == 0 and all(c < "\u0100" for c in text) else "utf-8"))
+        open(f"{local}/_DONE", "w").close()
+    return local
+
+
+@query
+def folder_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files at several depths and in two encodings, in the order of their paths."""
+    return lines.raw_lines(read_folder(spark, _items_folder(spark, sf)))
+
+
+_ITEM_FILES = "SELECT item_id, item_id % 7 || '/' || item_id || CASE WHEN item_id % 2 = 1 THEN '.TXT' ELSE '.txt' END AS source_path, text FROM benchmark"
+ORACLES["folder_lines"] = f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY source_path) - 1 AS file_ord FROM ({_ITEM_FILES}))
+SELECT text AS original_text, source_path, 0 AS "offset", file_ord FROM f UNION ALL SELECT item_id || ' café', source_path, 2, file_ord FROM f"""
+
+
+def _corpora(spark: SparkSession, sf: str) -> list[str]:
+    """Two archives: the names of regions, and those of nations as well."""
+    local = _folder(spark, sf, "corpora", "nation").removeprefix("file://").removeprefix("file:")
+    paths = [f"{local}/{n}.zip" for n in (1, 2)]
+    os.makedirs(local, exist_ok=True)
+    if not all(map(os.path.exists, paths)):
+        names = {t: [r[0] for r in table(spark, sf, t).select(f"{t[0]}_name").orderBy(f"{t[0]}_name").collect()] for t in ("region", "nation")}
+        for path, parts in zip(paths, (("region",), ("region", "nation")), strict=True):
+            with zipfile.ZipFile(path, "w") as z:
+                for t in parts:
+                    z.writestr(f"{t}.txt", "\n\n".join(names[t]))
+    return paths
+
+
+@query
+def snapshot_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions published, one made current again, both read; what the program prints on the way, and what a reader that
+    follows the pointer sees."""
+    paths = _corpora(spark, sf)
+    where = f"{os.path.dirname(paths[0])}/snapshots"
+    for v, path in zip(("v1", "v2"), paths, strict=True):
+        snapshots.build_snapshot(spark, path, where, v)
+    rows: list[tuple[str, str]] = []
+    clock = iter(range(0, 100, 10))
+    follower = snapshots.HotReloadableIndex(spark, where, 1.0, clock=lambda: next(clock))
+    from ..snapshot_tool import main
+
+    for v in ("v1", "v2", "v1", "nope"):
+        printed = io.StringIO()
+        with contextlib.redirect_stdout(printed):
+            code = main(["--snapshots-dir", where, "--rollback", v])
+        rows.append((f"to {v}", f"exit {code}, current {snapshots.get_current_version(where)}, reader has {follower.get().sentences.count()} lines of {follower.current_version}"))
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        main(["--snapshots-dir", where, "--list"])
+    rows.append(("list", " ".join(printed.getvalue().split())))
+    stored = [snapshots.load_snapshot(spark, where, v).sentences.select(F.lit(v).alias("step"), F.concat_ws(" ", "source_path", "offset", "original_text").alias("what")) for v in snapshots.list_snapshot_versions(where)]
+    return _one(spark, rows, "step string, what string").unionByName(stored[0]).unionByName(stored[1])
+
+
+ORACLES["snapshot_versions"] = """
+WITH r AS (SELECT 'region.txt ' || 2 * (row_number() OVER (ORDER BY r_name) - 1) || ' ' || r_name AS what FROM region), n AS (SELECT 'nation.txt ' || 2 * (row_number() OVER (ORDER BY n_name) - 1) || ' ' || n_name AS what FROM nation),
+c AS (SELECT (SELECT count(*) FROM r) AS one, (SELECT count(*) FROM r) + (SELECT count(*) FROM n) AS two)
+SELECT 'v1' AS step, what FROM r UNION ALL SELECT 'v2', what FROM r UNION ALL SELECT 'v2', what FROM n UNION ALL SELECT 'list', 'v1 (current) v2'
+UNION ALL SELECT 'to v1', 'exit 0, current v1, reader has ' || one || ' lines of v1' FROM c UNION ALL SELECT 'to v2', 'exit 0, current v2, reader has ' || two || ' lines of v2' FROM c
+UNION ALL SELECT 'to v1', 'exit 0, current v1, reader has ' || one || ' lines of v1' FROM c UNION ALL SELECT 'to nope', 'exit 1, current v1, reader has ' || one || ' lines of v1' FROM c"""
+
+
+@query
+def index_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """An index built from an archive and stored; loaded again without the archive; and reported without being stored."""
+    path = _corpora(spark, sf)[1]
+    cache = f"{os.path.dirname(path)}/cache"
+    parts = [("built", index.CorpusIndex.load_or_build(spark, path, cache).counts().first()), ("loaded", index.CorpusIndex.load_or_build(spark, "/nowhere.zip", cache).counts().first())]
+    with contextlib.redirect_stdout(io.StringIO()):
+        told = index.build_and_report(spark, path)
+    rows = [(name, *r) for name, r in parts] + [("reported", *(told[x] for x in ("sentences", "words", "trigrams")))]
+    return _one(spark, rows, "how string, sentences long, words long, trigrams long")
+
+
+ORACLES["index_cache"] = f"""
+WITH s AS (SELECT {NORM.format(c='t')} AS normalized_text, row_number() OVER () AS sentence_id FROM (SELECT r_name AS t FROM region UNION ALL SELECT n_name FROM nation)), n AS (SELECT * FROM s)
+{WORDS}{GRAMS}, c AS ({_COUNTS}) SELECT how, c.* FROM c, (VALUES ('built'), ('loaded'), ('reported')) h(how)"""
+
+
+@query
+def display_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines without what doesn't print in front, each also with a byte order mark and a zero-width space put there."""
+    own = corpus(spark, sf).select("source_path", "offset", F.explode(F.array("original_text", F.concat(F.lit("\ufeff\u200b "), "original_text"))).alias("t"))
+    return own.select("source_path", "offset", t.displayed_clean(F.col("t")).alias("shown"))
+
+
+_UNPRINTABLE = r"[\x00-\x20\x7f-\xa0\xad\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}\x{fff9}-\x{fffb}]"
+ORACLES["display_clean"] = LINES + f"""SELECT source_path, "offset", regexp_replace(original_text, '^{_UNPRINTABLE}+', '') AS shown FROM s, (VALUES (1), (2)) twice(x)"""
+
+
+@query
+def logged_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries as they go to the log, each also with line ends in it."""
+    own = table(spark, sf, "search_requests").where("query IS NOT NULL").select("request_id", "attempt", F.explode(F.array("query", F.concat("query", F.lit("\r\n"), F.repeat("query", 9)))).alias("q"))
+    return own.select("request_id", "attempt", t.logged_column(F.col("q")).alias("logged"))
+
+
+ORACLES["logged_queries"] = """SELECT request_id, attempt, replace(replace(substr(q, 1, 200), chr(13), '\\r'), chr(10), '\\n') AS logged
+FROM (SELECT request_id, attempt, unnest([query, query || chr(13) || chr(10) || repeat(query, 9)]) AS q FROM search_requests WHERE query IS NOT NULL)"""
+
+
+@query
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What a query leaves in the log file."""
+    import logging
+
+    from ..logs import configure
+
+    path = configure("INFO", f"{os.path.dirname(_corpora(spark, sf)[0])}/app.log")
+    mine = [h for h in logging.getLogger().handlers if getattr(h, "_quillspan", False)]
+    start = path.stat().st_size if path.exists() else 0
+    completion.best_completions(served(spark, sf).sentences, "of\nKloteli").count()
+    for h in mine:
+        h.flush()
+        logging.getLogger().removeHandler(h)
+        h.close()
+    with open(path, encoding="utf-8") as f:
+        f.seek(start)
+        found = [x.rstrip("\n").split("query ", 1)[-1] for x in f if "query " in x]
+    return _one(spark, [(x,) for x in found], "line string")
+
+
+ORACLES["log_lines"] = "SELECT chr(39) || 'of' || chr(92) || chr(92) || 'nKloteli' || chr(39) AS line"
+
+
 # the older index
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
