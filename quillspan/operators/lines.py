@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +34,33 @@ def sentences(files: DataFrame) -> DataFrame:
 
 
 def first_numbers(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """``(order..., first)``: for every row the sum of ``size`` over all rows before it in the order of some columns.
+    """The rows without ``size`` and with ``first``: the sum of ``size`` over all rows before a row in the order of some columns.
 
     A range sort, running sums within its ranges, and the ranges' totals (one row per range come to the driver). No range is
     ever in one task with another.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in order)
+    kept = [f for f in rows.schema.fields if f.name != size]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def running(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total, part = 0, TaskContext.get().partitionId()
         for b in parts:
-            n = b.column(len(order)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(n) + total
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(ends)], names=[*order, "_part", "first", "_end"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(ends)], names=[*(f.name for f in kept), "_part", "first", "_end"])
             total = int(ends[-1]) if len(n) else total
 
-    ordered = rows.select(*order, size).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.select(*(f.name for f in kept), size).repartitionByRange(*order).sortWithinPartitions(*order)
     first = stored(ordered.mapInArrow(running, f"{schema}, _part int, first long, _end long"))
     ends = first.groupBy("_part").agg(F.max("_end").alias("n")).orderBy("_part").collect()  # one row per range
-    bases = list(zip((r["_part"] for r in ends), accumulate((r["n"] for r in ends), initial=0), strict=False))
-    base = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part int, _base long"))
-    return first.join(base, "_part").select(*order, (F.col("_base") + F.col("first")).alias("first"))
+    totals, base = [], 0
+    for r in ends:
+        totals.append((r["_part"], base))
+        base += r["n"]
+    bases = F.broadcast(rows.sparkSession.createDataFrame(totals, "_part int, _base long"))
+    return first.join(bases, "_part").select(*(f.name for f in kept), (F.col("_base") + F.col("first")).alias("first"))
 
 
 def numbered(files: DataFrame) -> DataFrame:
