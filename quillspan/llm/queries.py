@@ -224,3 +224,5 @@ r(n, g) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a =
 g AS (SELECT n, min(g) AS g FROM r GROUP BY n),
 k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
 SELECT sentence_id AS rec_id, rep AS class_id, g AS group_id, coalesce(links, 0) AS links FROM b JOIN c USING (w) JOIN g ON g.n = rep LEFT JOIN k ON k.a = rep"""
+# sizes keep well away from each limit, so four bytes a token tell the same documents
+ORACLES["p8_found"] = "SELECT capacity_id, doc_id FROM documents, capacities WHERE strlen(text) / 4.0 > max_tokens"
