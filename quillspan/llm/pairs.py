@@ -105,13 +105,11 @@ def words_of(t: str) -> list[str]:
 
 def script_of(t: str) -> str:
     """The script of a text's words that aren't names in Latin letters: ``ru``, ``he`` or ``latin`` ('' without words)."""
-    cyrillic = hebrew = 0
-    plain = "".join(PLAIN.findall(t))
-    if not t.isascii():
-        cyrillic, hebrew = len(CYRILLIC.findall(t)), len(HEBREW.findall(t))
-        plain = OF_OTHERS.sub("", plain)
-    count = len(plain) if plain.isalpha() else sum(map(str.isalpha, plain))
-    top = max((cyrillic, "ru"), (hebrew, "he"), (count, "latin"))
+    if t.isascii() or not OF_OTHERS.search(t):
+        return "latin" if PLAIN.search(t) else ""
+    cyrillic, hebrew = len(CYRILLIC.findall(t)), len(HEBREW.findall(t))
+    plain = OF_OTHERS.sub("", "".join(PLAIN.findall(t)))
+    top = max((cyrillic, "ru"), (hebrew, "he"), (sum(map(str.isalpha, plain)), "latin"))
     return top[1] if top[0] else ""
 
 
@@ -200,10 +198,19 @@ def open_ended(t: str) -> bool:
 
 def ending(t: str) -> tuple[str, str]:
     """The last word (lower case) and what follows it."""
+    z = len(t)
+    while z and not t[z - 1].isalnum():
+        z -= 1
+    if not z:
+        return "", t.strip()
+    # a word has no white space: it stands behind the last one
+    a = z
+    while a and not t[a - 1].isspace():
+        a -= 1
     last = None
-    for last in TOKEN.finditer(t):
+    for last in TOKEN.finditer(t, a, z):
         pass
-    return (last[0].lower(), t[last.end() :].strip()) if last else ("", t.strip())
+    return last[0].lower(), t[last.end() :].strip()
 
 
 def broken(known: int, final: int, longer: int) -> bool:
@@ -216,24 +223,28 @@ def broken(known: int, final: int, longer: int) -> bool:
     return n < SELDOM * longer and final <= SELDOM * n or final + WEIGHT * USUAL < SELDOM * (n + WEIGHT)
 
 
-def defects(query: str | None, text: str | None, known: int | None, final: int | None, longer: int | None) -> list[str]:
-    """The defects of one pair. ``known``/``final``: how often the text's last word stands inside or at a proper end of
-    other texts in its language; ``longer``: how often words stand there that it begins."""
-    if text is None or not any(c.isalnum() for c in text):
-        return ["empty"]
-    q, own = set(words_of(query or "")), set(words_of(text))
-    if q and own <= q:
-        return ["copy"]
+#: Without one of these parts (lower case) no phrase above can stand in a text.
+DECLINING = re.compile("sorry|afraid|n't|not|unable|possib|refus|declin|rather|décl|impossib|pas |nicht|keine|ablehn|lehne|posib|rechaz|negar|puedo|podré|debo|não|recus| не |могу|отказ|откло|ני |לסרב|לא ")
+
+
+def judged(query: str | None, text: str | None) -> tuple[list[str], str | None]:
+    """The defects of one pair that it shows by itself; and its last word, if how that is used elsewhere has to tell whether it
+    breaks off."""
+    if text is None or not any(map(str.isalnum, text)):
+        return ["empty"], None
+    q = words_of(query or "")
+    if q and set(words_of(text)) <= set(q):
+        return ["copy"], None
     out = []
-    if REFUSALS.search(text.lower().replace("’", "'")):
+    low = text.lower().replace("’", "'")
+    if DECLINING.search(low) and REFUSALS.search(low):
         out.append("refusal")
-    rest = continuation(query or "", text)
-    if not out and q:
+    elif q:
+        rest = continuation(query or "", text)
         asked, given = script_of(query or ""), script_of(rest)
-        may, b = possible_languages(query or ""), language_of(rest)
         if asked and given and asked != given:
             out.append("other_language")
-        elif b and may and b not in may:
+        elif (b := language_of(rest)) and (may := possible_languages(query or "")) and b not in may:
             found = language_scores(rest)
             if b not in found or found[b] >= max((found[x] for x in may if x in found), default=0) + 1:
                 out.append("other_language")
@@ -245,24 +256,25 @@ def defects(query: str | None, text: str | None, known: int | None, final: int |
         if closing or word in UNFINISHED:
             out.append("truncated")
         elif not word.isdigit():
-            if broken(known or 0, final or 0, longer or 0):
-                out.append("truncated")
-    return out
+            return out, word
+    return out, None
+
+
+def defects(query: str | None, text: str | None, known: int | None, final: int | None, longer: int | None) -> list[str]:
+    """The defects of one pair. ``known``/``final``: how often the text's last word stands inside or at a proper end of
+    other texts in its language; ``longer``: how often words stand there that it begins."""
+    out, word = judged(query, text)
+    return [*out, "truncated"] if word is not None and broken(known or 0, final or 0, longer or 0) else out
 
 
 COUNTS = ("known", "final", "longer")
-SCHEMA = "response_id long, rank_no int, defect string"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rid, rank, defect = [], [], []
-        for r, k, q, t, known, final, longer in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for d in defects(q, t, known, final, longer):
-                rid.append(r)
-                rank.append(k)
-                defect.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(rank, pa.int32()), pa.array(defect, pa.string())], names=["response_id", "rank_no", "defect"])
+def broken_column() -> Column:
+    """``broken`` over the columns of counts, nulls as 0."""
+    known, final, longer = (F.coalesce(F.col(c), F.lit(0)) for c in COUNTS)
+    n = known + final
+    return (n < SELDOM * longer) & (final <= SELDOM * n) | (final + WEIGHT * USUAL < SELDOM * (n + WEIGHT))
 
 
 def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +283,20 @@ def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([told_language(t) for t in b.column(0).to_pylist()], pa.string())], names=["_t", "_lang"])
 
 
-PAIR = "response_id long, rank_no int, query string, _text string, _lang string"
+PAIR = "response_id long, rank_no int, defects array<string>, _lang string, word string"
 
 
-def _pair_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with the language in which the answer ends: that of what follows the query, else of the whole text."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the defects they show; where a last word is in doubt, the word and the language in which the answer ends: that
+    of what follows the query, else of the whole text."""
     for b in batches:
-        lang = [(told_language(continuation(q or "", t)) or told_language(t)) if t else "" for q, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string())], names=["response_id", "rank_no", "query", "_text", "_lang"])
-
-
-def last_word(c: str) -> Column:
-    return F.lower(F.regexp_extract(F.col(c), r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)[^\p{L}\p{N}]*$", 1))
+        found, lang, words = [], [], []
+        for q, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            own, word = judged(q, t)
+            found.append(own)
+            words.append(word)
+            lang.append((told_language(continuation(q or "", t)) or told_language(t)) if word is not None else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string())), pa.array(lang, pa.string()), pa.array(words, pa.string())], names=["response_id", "rank_no", "defects", "_lang", "word"])
 
 
 def word_statistics(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
@@ -329,17 +343,19 @@ def defective(requests: DataFrame, responses: DataFrame, suggestions: DataFrame,
     none = both.where(F.col("_s").isNull() & F.col("query").rlike(r"[^\s ​]") & (F.coalesce("most", F.lit(0)) <= most_results))
     silent = none.select("response_id", F.lit(0).alias("rank_no"), F.when(F.col("error").rlike("(?i)" + DECLINED.pattern), "refusal").otherwise("empty").alias("defect"))
 
-    pairs = both.where(F.col("_s").isNotNull()).select("response_id", "rank_no", "query", "_text").mapInArrow(_pair_languages, PAIR)
+    pairs = stored(both.where(F.col("_s").isNotNull()).select("response_id", "rank_no", "query", "_text").mapInArrow(_pairs, PAIR))
+    shown = pairs.select("response_id", "rank_no", F.explode("defects").alias("defect"))
     # only a last word without a full stop has to be looked up; most pairs have none and are not moved
-    pairs = stored(pairs.withColumn("word", F.when(~F.col("_text").rlike(r"[.!?][\"'”’»)\]]*\s*$"), last_word("_text"))))
-    some = pairs.where(F.col("word") != "").select("_lang", "word").distinct()
+    doubted = pairs.where(F.col("word").isNotNull())
+    some = doubted.select("_lang", "word").distinct()
     stats = stored(word_statistics(suggestions, "text", some))
     own, every = stats.where((F.col("_lang") != "") & (F.col("known") + F.col("final") + F.col("longer") > 0)), stats.where(F.col("_lang") == "")
     every = every.select("word", *(F.col(c).alias(f"_{c}") for c in COUNTS))
     # a word that its language doesn't have at all is looked up in all texts
     found = [F.when(F.col("known").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in COUNTS]
-    known = stored(some.join(own, ["_lang", "word"], "left").join(every, "word", "left").select(F.to_json(F.struct("_lang", "word")).alias("_key"), *found))
-    asked = pairs.withColumn("_key", F.when(F.col("word") != "", F.to_json(F.struct("_lang", "word"))))
-    hot = stored(hot_keys(asked, "_key", max(10_000, pairs.count() // (4 * spread(pairs.sparkSession)))))
-    judged = joined(asked, known, "_key", hot).select("response_id", "rank_no", "query", "_text", *COUNTS)
-    return judged.mapInArrow(_rows, SCHEMA).unionByName(silent.select("response_id", F.col("rank_no").cast("int"), "defect"))
+    known = some.join(own, ["_lang", "word"], "left").join(every, "word", "left").select("_lang", "word", *found)
+    pieces = stored(known.where(broken_column()).select(F.to_json(F.struct("_lang", "word")).alias("_key")))
+    asked = doubted.select("response_id", "rank_no", F.to_json(F.struct("_lang", "word")).alias("_key"))
+    hot = hot_keys(asked, "_key", max(10_000, pairs.count() // (4 * spread(pairs.sparkSession))))
+    cut = joined(asked, pieces, "_key", stored(hot), "inner").select("response_id", "rank_no", F.lit("truncated").alias("defect"))
+    return shown.unionByName(cut).unionByName(silent.select("response_id", F.col("rank_no").cast("int"), "defect"))
