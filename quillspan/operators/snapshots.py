@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import os
-import shutil
 import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import storage
 from ..logs import logger
 from .index import CorpusIndex
 
-POINTER = "CURRENT"
+POINTER, WHOLE = "CURRENT", "_SUCCESS"
 INTERVAL_SECONDS = 2.0
 
 
@@ -36,58 +35,44 @@ def version_id(zip_path: str) -> str:
 def build_snapshot(spark: SparkSession, zip_path: str, snapshots_dir: str, version: str | None = None, posting_tables: bool = True) -> str:
     """A new version from an archive; the pointer stays. No lines: an error, before any folder is made. A version that is
     there already is used as it is. Written aside and renamed, so a version is whole or absent."""
-    root = Path(snapshots_dir)
     version = version or version_id(zip_path)
-    if (root / version).exists():
+    place = f"{snapshots_dir}/{version}"
+    if storage.is_folder(place):
         return version
     index = CorpusIndex.build_from_zip(spark, zip_path)
     if index.sentences.limit(1).isEmpty():
         raise SnapshotValidationError(f"no sentences in {zip_path}")
-    aside = root / f".build-{version}-{uuid.uuid4().hex[:8]}"
+    aside = f"{snapshots_dir}/.build-{version}-{uuid.uuid4().hex[:8]}"
     try:
-        index.save(str(aside), posting_tables)
-        (aside / "_SUCCESS").touch()
-        if (root / version).exists():
-            shutil.rmtree(aside)
-        else:
-            os.rename(aside, root / version)
+        index.save(aside, posting_tables)
+        storage.write_text(f"{aside}/{WHOLE}", "")
+        if not storage.move_folder(aside, place):
+            storage.remove_folder(aside)
     except BaseException:
-        shutil.rmtree(aside, ignore_errors=True)
+        storage.remove_folder(aside)
         raise
     return version
 
 
 def set_current_version(snapshots_dir: str, version: str) -> None:
     """Moves the pointer, in one step; a version that isn't there raises ``FileNotFoundError``."""
-    root = Path(snapshots_dir)
-    if not (root / version).is_dir():
+    if not storage.is_folder(f"{snapshots_dir}/{version}"):
         raise FileNotFoundError(f"no snapshot {version} under {snapshots_dir}")
-    aside = root / f".{POINTER}-{uuid.uuid4().hex[:8]}"
-    with open(aside, "w", encoding="utf-8") as f:
-        f.write(version)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(aside, root / POINTER)
+    storage.write_text(f"{snapshots_dir}/{POINTER}", version)
 
 
 def get_current_version(snapshots_dir: str) -> str | None:
-    try:
-        return Path(snapshots_dir, POINTER).read_text(encoding="utf-8").strip() or None
-    except FileNotFoundError:
-        return None
+    return (storage.read_text(f"{snapshots_dir}/{POINTER}") or "").strip() or None
 
 
 def load_snapshot(spark: SparkSession, snapshots_dir: str, version: str) -> CorpusIndex:
     """Any version, also one that isn't current."""
-    return CorpusIndex.load(spark, str(Path(snapshots_dir, version)))
+    return CorpusIndex.load(spark, f"{snapshots_dir}/{version}")
 
 
 def list_snapshot_versions(snapshots_dir: str) -> list[str]:
     """Whole versions, sorted."""
-    root = Path(snapshots_dir)
-    if not root.is_dir():
-        return []
-    return sorted(p.name for p in root.iterdir() if p.is_dir() and not p.name.startswith(".") and (p / "_SUCCESS").exists())
+    return [v for v in storage.folders_in(snapshots_dir) if not v.startswith(".") and storage.read_text(f"{snapshots_dir}/{v}/{WHOLE}") is not None]
 
 
 def publish_snapshot(spark: SparkSession, zip_path: str, snapshots_dir: str) -> str:
@@ -156,12 +141,15 @@ class HotReloadableIndex:
         self._index, self._version = index, version
 
 
-_providers: dict[str, HotReloadableIndex] = {}
+_providers: dict[str, tuple[HotReloadableIndex, dict[str, object]]] = {}
 
 
 def default_index(spark: SparkSession, **options: object) -> HotReloadableIndex:
-    """One provider per application."""
+    """One provider per application, made by the first call; other options later are an error, not ignored."""
     key = spark.sparkContext.applicationId
     if key not in _providers:
-        _providers[key] = HotReloadableIndex(spark, **options)
-    return _providers[key]
+        _providers[key] = (HotReloadableIndex(spark, **options), options)
+    provider, made_with = _providers[key]
+    if options and options != made_with:
+        raise ValueError(f"the application's index was made with {made_with}")
+    return provider

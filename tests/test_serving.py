@@ -69,6 +69,53 @@ def test_publish_list_rollback(spark, archive, tmp_path, capsys):
         sn.set_current_version(where, "nope")
 
 
+def test_snapshots_on_another_file_system(spark, archive, tmp_path, monkeypatch):
+    """The same steps through Hadoop's file systems."""
+    from quillspan import storage
+
+    monkeypatch.setattr(storage, "remote", lambda path: path.startswith("file:"))
+    where = f"file://{tmp_path}/far/snaps"
+    assert sn.list_snapshot_versions(where) == [] and sn.get_current_version(where) is None
+    for v in ("v1", "v2"):
+        sn.build_snapshot(spark, archive({"a.txt": f"{v} line"}, f"{v}.zip"), where, v, posting_tables=False)
+        sn.set_current_version(where, v)
+        assert sn.get_current_version(where) == v and sn.HotReloadableIndex(spark, where).sentences().first()["original_text"] == f"{v} line"
+    assert sn.list_snapshot_versions(where) == ["v1", "v2"] and not storage.move_folder(f"{where}/v1", f"{where}/v2")
+    sn.set_current_version(where, "v1")
+    assert sn.get_current_version(where) == "v1" and sorted(p.name for p in (tmp_path / "far" / "snaps").iterdir() if not p.name.endswith(".crc")) == ["CURRENT", "v1", "v2"]
+    storage.remove_folder(f"{where}/v2")
+    assert sn.list_snapshot_versions(where) == ["v1"]
+    with pytest.raises(FileNotFoundError):
+        sn.set_current_version(where, "v2")
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from quillspan import storage
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="far", getConf=lambda: conf))
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(session("spark://far:7077"))
+    assert storage.shared_folder(session("spark://far:7077", "/shared")) == "/shared"
+    assert storage.shared_folder(spark) == storage.shared_folder(spark)
+
+
+def test_stored_tables_are_removed(spark):
+    from quillspan import storage
+
+    df = storage.stored(spark.range(3).toDF("x"))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3 and storage.exists(spark, path)
+    kept = set(storage._written)
+    storage._written.clear()
+    storage._written.add(path)
+    storage.clear()
+    assert not storage.exists(spark, path)
+    storage._written.update(kept - {path})
+
+
 def test_empty_corpus_is_rejected(spark, archive, tmp_path):
     where = tmp_path / "snaps"
     path = archive({"empty.txt": "\n\n\n"})
@@ -114,7 +161,9 @@ def test_fallback_to_archive(spark, archive, tmp_path):
     assert hot.get().sentences.count() == 1 and hot.current_version is None
     with pytest.raises(FileNotFoundError):
         sn.HotReloadableIndex(spark, str(tmp_path / "none")).get()
-    assert sn.default_index(spark, snapshots_dir="x") is sn.default_index(spark)
+    assert sn.default_index(spark, snapshots_dir="x") is sn.default_index(spark) is sn.default_index(spark, snapshots_dir="x")
+    with pytest.raises(ValueError):
+        sn.default_index(spark, snapshots_dir="y")
 
 
 # sessions
