@@ -125,10 +125,10 @@ def candidates(sentences: DataFrame, query: str, pairs: DataFrame | None = None,
         # a word holds a query without a space exactly if the line does
         return sentences.where(found | (line.contains(query) if " " not in query else F.lit(False))).select("sentence_id")
     padded = F.concat(F.lit(" "), line, F.lit(" "))
-    for w in wanted:
-        has = padded.contains(f" {w} ")
-        unknown = ~F.coalesce(sentences.agg(F.max(has)).scalar(), F.lit(False))
-        found = found | has | unknown & F.exists(words(line), _within_one(w))
+    has = {f"w{n}": padded.contains(f" {w} ") for n, w in enumerate(wanted)}
+    known = sentences.agg(F.struct(*(F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in has.items()))).scalar()  # one pass for all words
+    for (n, c), w in zip(has.items(), wanted, strict=True):
+        found = found | c | ~known.getField(n) & F.exists(words(line), _within_one(w))
     return sentences.where(found).select("sentence_id")
 
 
