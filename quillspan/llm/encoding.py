@@ -346,7 +346,7 @@ def lost(word: str, mixed: bool = False, line: str = "") -> bool:
 
 # How much rarer than usual a pair must be before a line's sets are doubted, and by how much a reading in another
 # set must be more frequent, for each pair that it changes and for the line (logarithms).
-RARE, BETTER, BETTER_LINE, FLOOR = 2.0, 2.0, 7.0, 0.1
+RARE, BETTER, BETTER_SIGN, BETTER_LINE, FLOOR = 2.0, 2.0, 4.0, 7.0, 0.1
 _SPACED = {c: " " for c in range(0x80) if not chr(c).isalpha()}
 #: The characters whose pairs are counted: all that the character sets know, and ASCII letters.
 ALPHABET = sorted({c for table in (*BYTES.values(), *({c: 0 for c in t.values()} for t in CHARS.values())) for c in table} | {c for name in SHOWN_AS for c in BYTES[name]})
@@ -428,6 +428,7 @@ class Repairer:
         leads to it, and the words. Chains come from the words' searches; every exchange of one set for another is tried, too."""
         asked = " ".join(words)
         own, n = self.pairs.score(asked)
+        signs = not any(map(ANY_LETTER.search, words))  # then what is meant are signs as well
         best, chain, text, seen = own, (), asked, {asked}
         for ops in [*chains, *((op,) for op in RECODES)]:
             if len(ops) == 1 and ops[0] in TABLES:
@@ -440,7 +441,7 @@ class Repairer:
             s, k = self.pairs.score(new)
             # fewer pairs beyond ASCII are not better by their number: those that went count as usual ones
             s += self.pairs.usual * max(0, n - k) - STEP * len(ops)
-            if s > best and new.count(" ") == asked.count(" "):
+            if s > best and new.count(" ") == asked.count(" ") and not (signs and ANY_LETTER.search(new)) and not TWO_SCRIPTS.search(new):
                 best, chain, text = s, ops, new
         return best, own, chain, text.split(" ")
 
@@ -467,8 +468,10 @@ class Repairer:
             whole = whole and not (wrong and new == m[0])
             words.append(new)
         if self.pairs:
-            words, whole = self._line([m[0] for m in parts], words, [r[2] for r in results if r[2]], whole)
-            if not flagged and not any(new != m[0] and ANY_LETTER.search(m[0]) for m, new in zip(parts, words, strict=True)):
+            # what no word gave away may spell UTF-8 in a way that looks plausible
+            chains = [r[2] for r in results if r[2]] if flagged else [(op,) for op in UTF8_OPS if op[2] == "same"]
+            words, whole = self._line([m[0] for m in parts], words, chains, whole)
+            if not flagged and words == [m[0] for m in parts]:
                 return False, t, True
         out, at = [], 0
         for m, new in zip(parts, words, strict=True):
@@ -491,14 +494,22 @@ class Repairer:
             now += self.pairs.usual * max(0, self.pairs.score(" ".join(words))[1] - n)
             # a word of a mixed line that was sound stays as it is
             return (read, True) if best > now and not any(map(HARD.search, read)) else (fixed, whole)
-        was, new = " ".join(words), " ".join(read)
-        changed = [a != b for a, b in zip(was, new, strict=False)] if len(was) == len(new) else [True] * len(was)
-        n = sum(a or b for a, b in zip([False, *changed], [*changed, False], strict=True))  # pairs with a changed character
-        if best - own >= max(BETTER_LINE, BETTER * n):
+        n = sum(_changed(a, b) for a, b in zip(words, read, strict=True))
+        # where only signs change, as a dash does, the one read must be far more frequent than the one shown
+        lettered = any(a != b and ANY_LETTER.search(a) for a, b in zip(words, read, strict=True))
+        if best - own >= max(BETTER_LINE, (BETTER if lettered else BETTER_SIGN) * n):
             return read, True
         return fixed, whole
 
 
+def _changed(a: str, b: str) -> int:
+    """How many pairs of characters of a word another reading of it changes."""
+    if len(a) != len(b):
+        return len(a) + 1
+    differ = [False, *(x != y for x, y in zip(a, b, strict=True)), False]
+    return sum(x or y for x, y in zip(differ, differ[1:], strict=False))
+
+
 def _chained(ops: tuple, w: str) -> str:
     for op in ops:
         w = apply(op, w)
