@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -204,3 +205,15 @@ def build_and_report(spark: SparkSession, zip_path: str) -> dict[str, float]:
     out = {"sentences": row[0], "words": row[1], "trigrams": row[2], "seconds": time.monotonic() - began}
     print(f"{zip_path}: {out['sentences']} sentences, {out['words']} words, {out['trigrams']} trigrams, {out['seconds']:.2f} s")
     return out
+
+
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
+    """``python -m quillspan.operators.index ARCHIVE``: what an archive's index would hold."""
+    archives = list(sys.argv[1:] if argv is None else argv)
+    for path in archives:
+        build_and_report(spark or SparkSession.builder.getOrCreate(), path)
+    return 0 if archives else 2
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -113,7 +113,7 @@ def test_fuzzy(spark, word, hit):
     assert [r[0] for r in ix.fuzzy_lookup(vocab, word).collect()] == (["python"] if hit else [])
 
 
-def test_save_load_cache(spark, archive, tmp_path):
+def test_save_load_cache(spark, archive, tmp_path, capsys):
     path, cache = archive({"a.txt": "hello world\nfoo"}), str(tmp_path / "cache")
     a = ix.CorpusIndex.load_or_build(spark, path, cache)
     assert a.sentences.count() == 2 and a.words.count() == 3 and a.vocabulary.count() == 3
@@ -123,6 +123,8 @@ def test_save_load_cache(spark, archive, tmp_path):
     assert {r[0] for r in b.candidates("hello").collect()} == {0}
     assert tuple(b.counts().first()) == tuple(ix.index_counts(b.sentences).first()) == (2, 3, 10)
     assert ix.build_and_report(spark, path)["sentences"] == 2
+    capsys.readouterr()
+    assert ix.main([path], spark) == 0 and "2 sentences, 3 words, 10 trigrams" in capsys.readouterr().out and ix.main([]) == 2
 
 
 def test_stored_index_equals_lines(spark, archive, tmp_path):
